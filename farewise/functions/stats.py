@@ -12,11 +12,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from farewise.functions.scalars import col
 
 _STEPS = 200
-_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _log_gamma(x):
+    return np.vectorize(math.lgamma, otypes=[float])(x)
 
 
 def beta_cdf(x, a, b):
@@ -121,18 +125,18 @@ def _on_present(function, *series: pd.Series) -> pd.Series:
     return out.astype(object).where(out.notna(), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_ppf(p: pd.Series, df: pd.Series) -> pd.Series:
     return _on_present(t_quantile, p, df.where(df > 0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _norm_ppf(p: pd.Series) -> pd.Series:
     inv = np.vectorize(normal_quantile, otypes=[float])
     return _on_present(inv, p.where((p > 0) & (p < 1)))
 
 
-@F.pandas_udf("lower double, upper double")
+@F.pandas_udf(T.StructType([T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())]))
 def _clopper_pearson(k: pd.Series, n: pd.Series, level: pd.Series) -> pd.DataFrame:
     n = n.where(n > 0)
 
@@ -145,7 +149,7 @@ def _clopper_pearson(k: pd.Series, n: pd.Series, level: pd.Series) -> pd.DataFra
     return pd.DataFrame({"lower": _on_present(low, k, n, level), "upper": _on_present(high, k, n, level)})
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _binom(k: pd.Series, n: pd.Series, p: pd.Series, alternative: pd.Series) -> pd.Series:
     out = pd.Series([None] * len(k), index=k.index, dtype=object)
     for kind in alternative.unique():

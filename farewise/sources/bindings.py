@@ -362,4 +362,4 @@ def with_views(body: str, *names: str, **extra: str) -> str:
     ctes = {**views, **extra}
     if not ctes:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({text})" for n, text in ctes.items()) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({text})" for n, text in ctes.items()) + "\n" + body
