@@ -406,10 +406,10 @@ _POINTS = "SELECT " + ", ".join(f"list_dot_product(list_transform(m[3:{_WIDTH}],
 _PROJ = "SELECT *, " + ", ".join(f"list_dot_product(load[3:{_WIDTH}], (SELECT c FROM means)) * e_{s} / (1 - lev) AS base_{s}, load[1] * e_{s} / (1 - lev) AS price_{s}, load[2] * e_{s} / (1 - lev) AS pricey_{s}" for s in "xy") + " FROM scored"
 _DELTA = f"""
 SELECT 'before_probability' AS metric, 'X' AS outcome, b_x AS point, (SELECT SQRT(SUM(POW(base_x, 2))) FROM proj) AS standard_error FROM pts
-UNION ALL SELECT 'after_probability', 'X', b_x + th_x * {_D!r}, (SELECT SQRT(SUM(POW(base_x + {_D!r} * price_x, 2))) FROM proj) FROM pts
+UNION ALL SELECT 'after_probability', 'X', b_x + th_x * {_D!r}::DOUBLE, (SELECT SQRT(SUM(POW(base_x + {_D!r}::DOUBLE * price_x, 2))) FROM proj) FROM pts
 UNION ALL SELECT 'before_probability', 'NONE', 1 - b_x - b_y, (SELECT SQRT(SUM(POW(base_x + base_y, 2))) FROM proj) FROM pts
-UNION ALL SELECT 'delta_percentage_points', 'Y', 100 * th_y * {_D!r}, (SELECT SQRT(SUM(POW(100 * {_D!r} * price_y, 2))) FROM proj) FROM pts
-UNION ALL SELECT 'delta_expected_bookings', 'ALL', 10000 * (th_x + th_y) * {_D!r}, (SELECT SQRT(SUM(POW(10000 * {_D!r} * (price_x + price_y), 2))) FROM proj) FROM pts
+UNION ALL SELECT 'delta_percentage_points', 'Y', 100 * th_y * {_D!r}::DOUBLE, (SELECT SQRT(SUM(POW(100 * {_D!r}::DOUBLE * price_y, 2))) FROM proj) FROM pts
+UNION ALL SELECT 'delta_expected_bookings', 'ALL', 10000::DOUBLE * (th_x + th_y) * {_D!r}::DOUBLE, (SELECT SQRT(SUM(POW(10000::DOUBLE * {_D!r}::DOUBLE * (price_x + price_y), 2))) FROM proj) FROM pts
 UNION ALL SELECT 'elasticity', 'X/X', th_x / b_x, (SELECT SQRT(SUM(POW(price_x / (SELECT b_x FROM pts) - (SELECT th_x / (b_x * b_x) FROM pts) * base_x, 2))) FROM proj) FROM pts"""
 _TQ = recursive(tq=t_quantiles("tq_in"))
 
