@@ -46,11 +46,11 @@ def sql_shown(select: str, columns: dict[str, str]) -> str:
     parts = []
     for name, kind in columns.items():
         if kind.startswith("r"):
-            parts.append(f"ROUND({name}::DOUBLE, {kind[1:] or 6}) + 0.0 AS {name}")
+            parts.append(f'ROUND("{name}"::DOUBLE, {kind[1:] or 6}) + 0.0 AS "{name}"')
         elif kind == "i":
-            parts.append(f"{name}::BIGINT AS {name}")
+            parts.append(f'"{name}"::BIGINT AS "{name}"')
         elif kind == "t":
-            parts.append(f"CAST({name} AS VARCHAR) AS {name}")
+            parts.append(f'CAST("{name}" AS VARCHAR) AS "{name}"')
         else:
-            parts.append(name)
+            parts.append(f'"{name}"')
     return f"SELECT {', '.join(parts)} FROM ({select})"
