@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import all_of, any_of, hash_uniform, is_finite, total
+from farewise.functions.skew import NATIVE_GROUP_ROWS, Quantile, exact_quantiles
 from farewise.operators.quality import check_contract
 from farewise.sources.tables import ContractError
 
@@ -44,15 +45,26 @@ def choice_quality(raw: DataFrame, identity: Sequence[str]) -> DataFrame:
     return rules.unionByName(extra.select(F.lit("repeated_task").alias("rule"), "violations"))
 
 
-def split_people(df: DataFrame, seed: int, person: str = "person_id", train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """Label rows train, validation or test by a keyed draw per person.
+def split_people(
+    df: DataFrame, seed: int, person: str = "person_id", train: float = 0.7, validation: float = 0.15,
+    max_group_rows: int = NATIVE_GROUP_ROWS,
+) -> DataFrame:
+    """Label rows train, validation or test by person, with exact shares of people.
 
-    The draw depends on the person only, so all tasks of a person share a split without any
-    shuffle; shares hold in expectation.
+    People are ordered by a keyed draw; the two cut points are order statistics over distinct
+    people, so rows are labelled by comparing their own draw and are never shuffled.
     """
-    u = hash_uniform(F.lit(seed), person)
-    label = F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test")
-    return df.withColumn("split", label)
+    draw = hash_uniform(F.lit(seed), person)
+    people = df.select(person).distinct().select(draw.alias("u"))
+    n = people.count()
+    if n < 7:
+        raise ContractError("a person-level split needs at least seven people")
+    ranks = [int(n * train), int(n * (train + validation) + 1e-9)]
+    wanted = [Quantile(f"cut{i}", "u", r / (n - 1)) for i, r in enumerate(ranks)]
+    cuts = exact_quantiles(people, [], wanted, max_group_rows=max_group_rows).first()
+    # Half a hash step below the cut keeps the comparison safe from interpolation noise.
+    first, second = (F.lit(float(c) - 2.0**-34) for c in cuts)
+    return df.withColumn("split", F.when(draw < first, "train").when(draw < second, "validation").otherwise("test"))
 
 
 def choice_features(df: DataFrame, pass_holder: str | None = None, scale: float = 100.0) -> DataFrame:
@@ -97,10 +109,10 @@ def _chosen() -> Column:
 
 def _newton_sums(df: DataFrame, beta: Sequence[float]) -> tuple[float, np.ndarray, np.ndarray]:
     """Log-likelihood, gradient and information at beta from one aggregate of 15 sums."""
-    k = len(PARAMETERS)
+    k = len(beta)
     scored = log_probabilities(df, beta)
     p = [F.coalesce(F.exp(F.col(f"lp{j}")), F.lit(0.0)) for j in range(ALTERNATIVES)]
-    x = [_design(j) for j in range(ALTERNATIVES)]
+    x = [_design(j)[:k] for j in range(ALTERNATIVES)]
     named = scored.select(
         _chosen().alias("ll"),
         *[total([p[j] * x[j][a] for j in range(ALTERNATIVES)]).alias(f"e{a}") for a in range(k)],
@@ -117,7 +129,7 @@ def _newton_sums(df: DataFrame, beta: Sequence[float]) -> tuple[float, np.ndarra
     return float(row[0]), gradient, information
 
 
-def fit_mnl(df: DataFrame, tolerance: float = 1e-7, max_steps: int = 50) -> dict:
+def fit_mnl(df: DataFrame, attributes: bool = True, tolerance: float = 1e-7, max_steps: int = 50) -> dict:
     """Maximum likelihood: one aggregate per Newton step over the persisted features.
 
     The likelihood is concave, so a step is halved until it improves. A singular information
@@ -126,10 +138,11 @@ def fit_mnl(df: DataFrame, tolerance: float = 1e-7, max_steps: int = 50) -> dict
     columns = ["choice_index", *[f"{p}{j}" for j in range(ALTERNATIVES) for p in ("t", "c", "av")]]
     data = df.select(*columns).persist()
     try:
-        n = data.count()
-        if not n:
-            raise ContractError("no choices to fit")
-        beta = np.zeros(len(PARAMETERS))
+        counts = data.agg(F.count(F.lit(1)), F.count_distinct("choice_index")).first()
+        n = counts[0]
+        if counts[1] != ALTERNATIVES:
+            raise ContractError("training needs observed choices of every alternative")
+        beta = np.zeros(len(PARAMETERS) if attributes else 2)
         value, gradient, information = _newton_sums(data, beta)
         for step in range(max_steps):
             if np.linalg.matrix_rank(information / n, tol=1e-10) < len(beta):

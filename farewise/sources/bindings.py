@@ -22,9 +22,9 @@ def after_epoch(seconds: Column) -> Column:
     return F.timestamp_add("SECOND", seconds.cast("int"), ntz(EPOCH))
 
 
-def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """24-column trip records, one per order line."""
-    line = table(spark, sf_dir, "lineitem")
+def trips(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> DataFrame:
+    """24-column trip records, one per order line; `line` may be a stream of order lines."""
+    line = table(spark, sf_dir, "lineitem") if line is None else line
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -106,9 +106,10 @@ def choice_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.withColumn("h", digest).withColumns({"multiplier_x": level(1), "multiplier_y": level(2)})
 
 
-def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def state_changes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
     kind = F.col("event_type")
-    return table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events") if events is None else events
+    return events.select(
         F.col("user_id").alias("vehicle_id"),
         "event_id",
         "ts",
@@ -117,11 +118,12 @@ def state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """One ride request per order, with its origin zone and the state it ends in."""
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
     key, status = F.col("o_orderkey"), F.col("o_orderstatus")
     third = key % 3 == 0
-    return table(spark, sf_dir, "orders").select(
+    return orders.select(
         key.alias("request_id"),
         (F.col("o_custkey") % 100).alias("vehicle_id"),
         F.when(key % 2 == 0, "X").otherwise("Y").alias("service_id"),
@@ -133,11 +135,11 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def request_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def request_events(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
     """State log of each request: created, queued, assigned, on_trip, then one terminal state."""
     names = ["created", "queued", "assigned", "on_trip", "completed", "canceled", "expired"]
     step = F.posexplode(F.array(*[F.lit(n) for n in names])).alias("position", "state")
-    steps = requests(spark, sf_dir).select("*", step).withColumn("step", F.col("position") + 1)
+    steps = requests(spark, sf_dir, orders).select("*", step).withColumn("step", F.col("position") + 1)
     reached = (
         (F.col("step") <= 2)
         | (F.col("step").isin(3, 4) & F.col("final_state").isin("completed", "on_trip"))
