@@ -15,8 +15,9 @@ from farewise.streaming import streams
 
 
 def stream(spark, sf: str, name: str) -> DataFrame:
-    path = f"{sf}/{name}.parquet"
-    return streams.read_stream(spark, path, spark.read.parquet(path).schema)
+    # A file stream takes a folder or a pattern; the pattern also matches a table kept as one file.
+    pattern = f"{sf}/{name}.parque[t]"
+    return streams.read_stream(spark, pattern, spark.read.parquet(f"{sf}/{name}.parquet").schema)
 
 
 def trip_stream(spark, sf) -> DataFrame:
