@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import ntz, safe_div
@@ -12,7 +12,6 @@ from farewise.functions.skew import NATIVE_GROUP_ROWS, Quantile, exact_quantiles
 from farewise.sources.tables import ContractError
 
 KEYS = ["zone_id", "hour", "is_weekend"]
-LEVELS = 4
 WANTED = (
     Quantile("distance_km", "trip_km", 0.5),
     Quantile("trip_seconds_p50", "trip_time", 0.5),
@@ -67,33 +66,25 @@ def context_levels(train: DataFrame, max_group_rows: int = NATIVE_GROUP_ROWS) ->
     )
 
 
-def context_keys(spark: SparkSession, zones: Sequence[int]) -> DataFrame:
-    """Every zone x 24 hours x weekend flag."""
-    return (
-        spark.createDataFrame([(int(z),) for z in zones], "zone_id int")
-        .withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
-        .withColumn("is_weekend", F.explode(F.array(F.lit(False), F.lit(True))))
-    )
-
+def hierarchical_fallback(levels: DataFrame, zones: Sequence[int], min_n: int) -> DataFrame:
+    """For every zone x hour x weekend the statistics of the finest level with enough trips.
 
-def hierarchical_fallback(keys: DataFrame, levels: DataFrame, min_n: int) -> DataFrame:
-    """Statistics of the finest level with at least `min_n` trips, for each requested key."""
-    enough = levels.filter(F.col("sample_count") >= min_n)
-    value = F.struct(*VALUES)
-    out = keys
-    for level in range(LEVELS):
-        on = KEYS[: LEVELS - 1 - level]
-        table = enough.filter(F.col("level") == level).select(*on, value.alias(f"l{level}"))
-        if on:
-            out = out.join(table, on, "left")
-        else:
-            out = out.withColumn(f"l{level}", table.scalar())
-    present = [F.when(F.col(f"l{i}").isNotNull(), i) for i in range(LEVELS)]
-    return out.select(
-        *KEYS,
-        F.coalesce(*[F.col(f"l{i}") for i in range(LEVELS)]).alias("v"),
-        F.coalesce(*present).alias("fallback_level"),
-    ).select(
+    Each level row is expanded to the keys it can serve and the lowest level per key is kept:
+    one aggregate over a few rows per key instead of one join per level.
+    """
+    serves = levels.filter(F.col("sample_count") >= min_n).select(
+        "level",
+        F.when(F.col("zone_id").isNull(), F.array(*[F.lit(int(z)) for z in zones])).otherwise(F.array("zone_id")).alias("zs"),
+        F.when(F.col("hour").isNull(), F.sequence(F.lit(0), F.lit(23))).otherwise(F.array("hour")).alias("hs"),
+        F.when(F.col("is_weekend").isNull(), F.array(F.lit(False), F.lit(True))).otherwise(F.array("is_weekend")).alias("ws"),
+        F.struct(*VALUES).alias("v"),
+    )
+    keyed = (
+        serves.withColumn("zone_id", F.explode("zs")).withColumn("hour", F.explode("hs"))
+        .withColumn("is_weekend", F.explode("ws")).filter(F.col("zone_id").isin([int(z) for z in zones]))
+    )
+    best = keyed.groupBy(*KEYS).agg(F.min_by("v", "level").alias("v"), F.min("level").alias("fallback_level"))
+    return best.select(
         *KEYS,
         *[F.col(f"v.{c}").alias(c) for c in VALUES],
         "fallback_level",
@@ -103,11 +94,14 @@ def hierarchical_fallback(keys: DataFrame, levels: DataFrame, min_n: int) -> Dat
     )
 
 
-def minmax_scale(df: DataFrame, column: str, out: str) -> DataFrame:
-    """(x - min) / (max - min) over the table, 0.5 when the column is constant."""
-    low = df.agg(F.min(column)).scalar()
-    high = df.agg(F.max(column)).scalar()
-    return df.withColumn(out, F.coalesce(safe_div(F.col(column) - low, high - low), F.lit(0.5)))
+def minmax_scale(contexts: DataFrame, column: str, out: str) -> DataFrame:
+    """(x - min) / (max - min) over the table, 0.5 when the column is constant.
+
+    For the context table, which has one row per zone, hour and weekend flag.
+    """
+    whole = Window.partitionBy(F.lit(1))
+    low, high = F.min(column).over(whole), F.max(column).over(whole)
+    return contexts.withColumn(out, F.coalesce(safe_div(F.col(column) - low, high - low), F.lit(0.5)))
 
 
 def fallback_histogram(contexts: DataFrame) -> DataFrame:
@@ -124,7 +118,7 @@ def build_context(
     max_group_rows: int = NATIVE_GROUP_ROWS,
 ) -> DataFrame:
     levels = context_levels(train_rows(silver, train_end), max_group_rows)
-    contexts = hierarchical_fallback(context_keys(silver.sparkSession, zones), levels, min_n)
+    contexts = hierarchical_fallback(levels, zones, min_n)
     return minmax_scale(contexts, "distance_km", "distance_scaled")
 
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import safe_div, total, weighted_mean
@@ -398,14 +398,15 @@ def base_rate(gram: Gram, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def collect_gram(df: DataFrame, controls: Sequence[str]) -> tuple[Gram, tuple[int, ...], tuple]:
-    """One pass: the cross products plus the exact range of both prices."""
-    ranges = df.agg(*[f(c) for c in TREATMENTS for f in (F.min, F.max)]).first()
-    row = weighted_gram(df, controls).first()
+    """One job: the cross products, and the exact range of both prices observed on the way."""
+    seen = Observation()
+    ranges = [f(c).alias(f"{f.__name__}{k}") for k, c in enumerate(TREATMENTS) for f in (F.min, F.max)]
+    row = weighted_gram(df.observe(seen, *ranges), controls).first()
     if row is None:
         raise ContractError("no rows to fit")
-    spread = [ranges[1] - ranges[0], ranges[3] - ranges[2]]
-    active = tuple(k for k in range(2) if spread[k] > 1e-10)
-    constants = tuple(None if k in active else float(ranges[2 * k]) for k in range(2))
+    found = seen.get
+    active = tuple(k for k in range(2) if found[f"max{k}"] - found[f"min{k}"] > 1e-10)
+    constants = tuple(None if k in active else float(found[f"min{k}"]) for k in range(2))
     return Gram(row["g"], controls), active, constants
 
 

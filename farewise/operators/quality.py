@@ -18,7 +18,7 @@ from farewise.functions.scalars import (
     true_or_false,
 )
 from farewise.functions.skew import broadcast_if_small
-from farewise.sources.tables import FLAG_COLUMNS, TRIP_COLUMNS, ContractError
+from farewise.sources.tables import FLAG_COLUMNS, TRIP_COLUMNS, ContractError, write_table
 
 # License codes and their brand, and the mile in kilometres.
 PLATFORMS = {"HV0003": "Uber", "HV0005": "Lyft"}
@@ -105,9 +105,8 @@ def derive_trip(df: DataFrame, slot_minutes: int = 30) -> DataFrame:
 
 def slot_start(ts: Column, minutes: int) -> Column:
     """Start of the slot holding `ts`, counted from local midnight."""
-    midnight = F.to_date(ts).cast("timestamp_ntz")
-    elapsed = F.timestamp_diff("MINUTE", midnight, ts)
-    return F.timestamp_add("MINUTE", (elapsed - elapsed % minutes).cast("int"), midnight)
+    elapsed = F.hour(ts) * 60 + F.minute(ts)
+    return F.timestamp_add("MINUTE", elapsed - elapsed % minutes, F.to_date(ts).cast("timestamp_ntz"))
 
 
 def validity_flags(df: DataFrame, warn_seconds: float = 60.0) -> DataFrame:
@@ -160,11 +159,15 @@ def build_silver(
     )
 
 
-def write_silver(silver: DataFrame, path: str) -> str:
-    """Store silver by local date, so later date filters prune partitions."""
-    from farewise.sources.tables import write_table
+def write_silver(silver: DataFrame, path: str) -> DataFrame:
+    """Store silver by local date and read it back, so later date filters prune partitions.
 
-    return write_table(silver, path, partition_by=("pickup_date_local",))
+    Rows are rebalanced by date first: a day lands in few files, and a day that holds far more
+    rows than the others is split over several tasks.
+    """
+    balanced = silver.hint("rebalance", "pickup_date_local")
+    write_table(balanced, path, partition_by=("pickup_date_local",))
+    return silver.sparkSession.read.schema(silver.schema).parquet(path).select(*silver.columns)
 
 
 def quality_report(df: DataFrame, columns: Sequence[str], flags: Sequence[str]) -> DataFrame:

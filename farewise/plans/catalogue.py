@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Persist a small shared table once per session; equal plans find the same cache entry."""
+    return df if df.storageLevel != StorageLevel.NONE else df.persist()
+
+
 def shown(df: DataFrame, places: int = 6) -> DataFrame:
     """Round doubles and print times as text, so both engines give the same values."""
     out = []

@@ -7,9 +7,8 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewise.functions.scalars import rounded
 from farewise.operators import choice, estimate, inference, resample
-from farewise.plans.catalogue import query, shown, sql_shown
+from farewise.plans.catalogue import kept, query, shown, sql_shown
 from farewise.plans.sqlkit import cross_products, eliminated, recursive, t_quantiles
 from farewise.plans.trips import CONTEXT_MIN, _CTX_CTES, _context, on_silver
 from farewise.sources import bindings
@@ -34,7 +33,8 @@ def feature_blocks(spark: SparkSession, sf: str) -> DataFrame:
             "fold": F.day("day_id") % FOLDS,
         }
     )
-    return choice.calendar_features(blocks, "slot_start_local")
+    # One row per zone, day and slot: small, and used by every query below.
+    return kept(choice.calendar_features(blocks, "slot_start_local"))
 
 
 def encoded(spark, sf) -> DataFrame:

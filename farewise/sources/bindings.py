@@ -28,45 +28,58 @@ def trips(spark: SparkSession, sf_dir: str, line: DataFrame | None = None) -> Da
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    joined = (
-        line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(orders.join(customer, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
-    )
-    pickup = after_epoch(
-        (F.col("o_orderkey") % 31) * 86400
-        + ((F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 1440) * 60
-    )
-    minutes = F.col("l_quantity").cast("bigint")
     price, number = F.col("l_extendedprice"), F.col("l_linenumber")
+    minutes = F.col("l_quantity").cast("bigint")
     yes_no = F.when(F.col("l_linestatus") == "O", " y ").otherwise("n")
-    request = F.timestamp_add("SECOND", ((1 - F.col("l_suppkey") % 20) * 30).cast("int"), F.col("pu"))
-    return joined.withColumn("pu", pickup).select(
+    # Line columns are derived below the joins, so that nothing above repeats the work.
+    lines = line.select(
+        "l_orderkey",
+        "l_suppkey",
         F.when(F.col("l_returnflag") == "R", "HV0003").when(F.col("l_returnflag") == "A", "HV0005")
         .otherwise("HV0004").alias("hvfhs_license_num"),
-        F.concat(F.lit("B"), F.col("s_nationkey").cast("string")).alias("dispatching_base_num"),
-        F.when(number != 7, F.concat(F.lit("B"), F.col("c_nationkey").cast("string"))).alias("originating_base_num"),
         F.when(number == 5, "UNKNOWN").otherwise(yes_no).alias("shared_request_flag"),
         F.when(number == 1, F.lit(None)).otherwise(yes_no).alias("shared_match_flag"),
         F.lit("N").alias("access_a_ride_flag"),
         F.when(F.col("l_tax") > 0.07, "Y").otherwise("N").alias("wav_request_flag"),
         F.when(F.col("l_tax") > 0.07, "y").otherwise("N").alias("wav_match_flag"),
-        request.alias("request_datetime"),
-        F.timestamp_add("SECOND", F.lit(-15), F.col("pu")).alias("on_scene_datetime"),
-        F.when(F.col("l_partkey") % 97 != 0, F.col("pu")).alias("pickup_datetime"),
-        F.timestamp_add("MINUTE", minutes.cast("int"), F.col("pu")).alias("dropoff_datetime"),
-        F.col("c_nationkey").alias("PULocationID"),
-        (F.col("s_nationkey") + F.when(number == 6, 100).otherwise(0)).alias("DOLocationID"),
+        (((F.col("l_partkey") * 7 + F.col("l_suppkey") * 13) % 1440) * 60).alias("day_seconds"),
+        (F.col("l_partkey") % 97 != 0).alias("has_pickup"),
+        ((1 - F.col("l_suppkey") % 20) * 30).cast("int").alias("request_offset"),
+        number.alias("number"),
         (minutes * 60 + F.when(number == 3, 90).otherwise(0)).alias("trip_time"),
+        minutes.cast("int").alias("minutes"),
         F.when((number == 4) & (F.col("l_discount") == 0), -1.0).otherwise(F.col("l_quantity") * 0.4).alias("trip_miles"),
         (F.when(F.col("l_discount") >= 0.1, -price).otherwise(price) / 1000).alias("base_passenger_fare"),
         F.when(number != 2, F.col("l_tax")).alias("tolls"),
         (price / 50000).alias("bcf"),
         (price / 20000).alias("sales_tax"),
-        F.when(F.col("c_nationkey") < 3, 2.75).otherwise(0.0).alias("congestion_surcharge"),
-        F.when(F.col("s_nationkey") == 1, 2.5).otherwise(0.0).alias("airport_fee"),
         (F.col("l_discount") * 10).alias("tips"),
         (price * (1 - F.col("l_discount")) / 1000).alias("driver_pay"),
     )
+    placed = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+        "o_orderkey", F.col("c_nationkey").alias("PULocationID"), ((F.col("o_orderkey") % 31) * 86400).alias("day_start"),
+        F.concat(F.lit("B"), F.col("c_nationkey").cast("string")).alias("origin_base"),
+        F.when(F.col("c_nationkey") < 3, 2.75).otherwise(0.0).alias("congestion_surcharge"),
+    )
+    joined = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    timed = joined.withColumn("pu", after_epoch(F.col("day_start") + F.col("day_seconds"))).select(
+        "*", F.when(F.col("has_pickup"), F.col("pu")).alias("pickup_datetime")
+    )
+    return timed.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "hvfhs_license_num",
+        F.concat(F.lit("B"), F.col("s_nationkey").cast("string")).alias("dispatching_base_num"),
+        F.when(F.col("number") != 7, F.col("origin_base")).alias("originating_base_num"),
+        "shared_request_flag", "shared_match_flag", "access_a_ride_flag", "wav_request_flag", "wav_match_flag",
+        F.timestamp_add("SECOND", F.col("request_offset"), F.col("pu")).alias("request_datetime"),
+        F.timestamp_add("SECOND", F.lit(-15), F.col("pu")).alias("on_scene_datetime"),
+        "pickup_datetime",
+        F.timestamp_add("MINUTE", F.col("minutes"), F.col("pu")).alias("dropoff_datetime"),
+        "PULocationID",
+        (F.col("s_nationkey") + F.when(F.col("number") == 6, 100).otherwise(0)).alias("DOLocationID"),
+        "trip_time", "trip_miles", "base_passenger_fare", "tolls", "bcf", "sales_tax", "congestion_surcharge",
+        F.when(F.col("s_nationkey") == 1, 2.5).otherwise(0.0).alias("airport_fee"),
+        "tips", "driver_pay",
+    )
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
