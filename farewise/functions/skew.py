@@ -62,14 +62,28 @@ def exact_quantiles(
     group takes the sketch-and-refine plan, whose per-group state is bounded.
     """
     if largest_group(df, keys) <= max_group_rows:
-        return df.groupBy(*keys).agg(*extra, *_native(wanted))
+        return _native(df, keys, wanted, extra)
     plain = df.groupBy(*keys).agg(*(extra or [F.count(F.lit(1)).alias("_rows")]))
     joined = null_safe_join(plain, _refined(df, keys, wanted), keys, "left")
     return joined if extra else joined.drop("_rows")
 
 
-def _native(wanted: Sequence[Quantile]) -> list[Column]:
-    return [F.percentile(q.source, q.prob).alias(q.name) for q in wanted]
+def _native(df: DataFrame, keys: Sequence[str], wanted: Sequence[Quantile], extra: Sequence[Column]) -> DataFrame:
+    """Built-in percentiles, one shared state for all probabilities of the same values."""
+    metrics = list(dict.fromkeys((q.value, q.valid) for q in wanted))
+    probs = {m: [q.prob for q in wanted if (q.value, q.valid) == m] for m in metrics}
+    source = {(q.value, q.valid): q.source for q in wanted}
+    states = [
+        F.percentile(source[m], F.array(*[F.lit(p) for p in probs[m]])).alias(f"_m{i}")
+        for i, m in enumerate(metrics)
+    ]
+    out = df.groupBy(*keys).agg(*extra, *states)
+    plain = [c for c in out.columns if not c.startswith("_m")]
+    picked = [
+        F.col(f"_m{metrics.index((q.value, q.valid))}")[probs[(q.value, q.valid)].index(q.prob)].alias(q.name)
+        for q in wanted
+    ]
+    return out.select(*plain, *picked)
 
 
 def _refined(df: DataFrame, keys: Sequence[str], wanted: Sequence[Quantile]) -> DataFrame:
@@ -164,9 +178,11 @@ def with_neighbour(
     values = F.struct(*columns)
     ordering = [F.col(c) if ahead else F.col(c).desc() for c in order]
     piece = Window.partitionBy(*keys, "_chunk").orderBy(*ordering)
-    inner = df.withColumn("_chunk", chunk).withColumn("_near", F.lead(values).over(piece))
+    cut = df.withColumn("_chunk", chunk)
+    inner = cut.withColumn("_near", F.lead(values).over(piece))
     pick = F.min_by if ahead else F.max_by
-    edges = inner.groupBy(*keys, "_chunk").agg(
+    # Edges come from the unsorted rows: partial aggregation, no second sort.
+    edges = cut.groupBy(*keys, "_chunk").agg(
         pick(values, F.struct(*order)).alias("_edge")
     )
     along = F.col("_chunk") if ahead else F.col("_chunk").desc()
@@ -190,12 +206,13 @@ def with_running_max(
     piece = (
         Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    inner = df.withColumn("_chunk", chunk).withColumn("_here", F.max(value).over(piece))
+    cut = df.withColumn("_chunk", chunk)
+    inner = cut.withColumn("_here", F.max(value).over(piece))
     earlier = (
         Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
     carried = (
-        inner.groupBy(*keys, "_chunk")
+        cut.groupBy(*keys, "_chunk")
         .agg(F.max(value).alias("_top"))
         .select(*keys, "_chunk", F.max("_top").over(earlier).alias("_before"))
     )

@@ -45,9 +45,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder for a written intermediate table."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def materialize(df, name: str):
-    """Cut lineage by writing a table to the shared folder and reading it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
