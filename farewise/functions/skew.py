@@ -180,11 +180,13 @@ def with_neighbour(
     piece = Window.partitionBy(*keys, "_chunk").orderBy(*ordering)
     cut = df.withColumn("_chunk", chunk)
     inner = cut.withColumn("_near", F.lead(values).over(piece))
-    pick = F.min_by if ahead else F.max_by
-    # Edges come from the unsorted rows: partial aggregation, no second sort.
-    edges = cut.groupBy(*keys, "_chunk").agg(
-        pick(values, F.struct(*order)).alias("_edge")
-    )
+    # Edges come from the unsorted rows by partial aggregation. Asking only for the leading order
+    # column keeps a primitive state, so that aggregation hashes instead of sorting.
+    if list(columns) == [order[0]]:
+        edge = F.struct((F.min if ahead else F.max)(order[0]).alias(order[0]))
+    else:
+        edge = (F.min_by if ahead else F.max_by)(values, F.struct(*order))
+    edges = cut.groupBy(*keys, "_chunk").agg(edge.alias("_edge"))
     along = F.col("_chunk") if ahead else F.col("_chunk").desc()
     edges = edges.select(
         *keys,

@@ -52,8 +52,10 @@ def context_levels(train: DataFrame, max_group_rows: int = NATIVE_GROUP_ROWS) ->
             .agg(
                 F.grouping_id().cast("int").alias("grouping_id"),
                 F.count(F.lit(1)).alias("sample_count"),
-                *[F.percentile(q.source, q.prob).alias(q.name) for q in WANTED],
+                F.percentile("trip_km", 0.5).alias("distance_km"),
+                F.percentile("trip_time", F.array(F.lit(0.5), F.lit(0.9))).alias("seconds"),
             )
+            .withColumns({"trip_seconds_p50": F.col("seconds")[0], "trip_seconds_p90": F.col("seconds")[1]})
             .select(level.alias("level"), *KEYS, *VALUES)
         )
     kept = F.posexplode(F.array(F.lit(3), F.lit(2), F.lit(1), F.lit(0))).alias("level", "n_keys")

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farewise.functions.scalars import safe_div, seconds_between
+from farewise.functions.scalars import ntz, safe_div, seconds_between
 from farewise.functions.skew import NATIVE_GROUP_ROWS, Quantile, exact_quantiles, with_neighbour, with_running_max
 
 # Request, vehicle and offer states.
 OPEN_STATES = ("created", "queued", "assigned", "pickup", "on_trip")
 TERMINAL_STATES = ("completed", "canceled", "expired")
+LIFE_CYCLE = OPEN_STATES + TERMINAL_STATES
 VEHICLE_STATES = ("idle", "dispatch", "to_pickup", "on_trip", "offline", "unavailable")
 SERVICEABLE_STATES = ("idle", "dispatch", "to_pickup", "on_trip")
 RESPONSES = ("accepted", "rejected", "timed_out")
@@ -30,22 +31,26 @@ def within(ts: str | Column, start: Column, end: Column) -> Column:
 def request_lifecycle(events: DataFrame) -> DataFrame:
     """One row per request: first time in each state, latest state, service and vehicle.
 
-    Every aggregate is mergeable, so a request with any number of events costs one short
-    state per map task.
+    Every state of the aggregation is a number (the latest state travels as time and life-cycle
+    position in one integer), so it hashes and merges map-side without sorting. States that
+    share a time follow the life-cycle order.
     """
+    order = F.array(*[F.lit(s) for s in LIFE_CYCLE])
+    stamp = F.timestamp_diff("MICROSECOND", ntz("1970-01-01 00:00:00"), F.col("event_ts"))
+    packed = stamp * len(LIFE_CYCLE) + F.array_position(order, F.col("state")) - 1
     at = lambda s: F.min(F.when(F.col("state") == s, F.col("event_ts")))
-    order = F.struct("event_ts", "step")
-    return events.groupBy("request_id").agg(
-        F.min("service_id").alias("service_id"),
+    grouped = events.groupBy("request_id", "service_id").agg(
         at("created").alias("created_at"),
         at("assigned").alias("assigned_at"),
         at("on_trip").alias("pickup_at"),
         at("completed").alias("completed_at"),
         at("canceled").alias("canceled_at"),
         at("expired").alias("expired_at"),
-        F.max_by("state", order).alias("state"),
+        F.max(packed).alias("latest"),
         F.max("vehicle_id").alias("vehicle_id"),
     )
+    state = F.element_at(order, F.pmod("latest", F.lit(len(LIFE_CYCLE))).cast("int") + 1)
+    return grouped.withColumn("state", state).drop("latest")
 
 
 def wait_measures(requests: DataFrame, end: Column) -> DataFrame:
