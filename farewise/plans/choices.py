@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from farewise.operators import choice, estimate, inference, resample
 from farewise.plans.catalogue import kept, query, shown, sql_shown
-from farewise.plans.sqlkit import cross_products, eliminated, recursive, t_quantiles
+from farewise.plans.sqlkit import cross_products, eliminated, normal_cdf, normal_quantiles, recursive, t_quantiles
 from farewise.plans.trips import CONTEXT_MIN, _CTX_CTES, _context, on_silver
 from farewise.sources import bindings
 from farewise.sources.bindings import with_views
@@ -520,15 +520,30 @@ def jack_rows(spark, sf) -> DataFrame:
     return resample.jackknife_prices_only(train(spark, sf)).unpivot(["day_id"], list(resample.THETAS), "effect", "theta")
 
 
-@query("F04_bca_statistics", sql_shown(on_blocks("""SELECT effect, MAX(point) AS point, MAX(n_draws) AS n_draws, MAX(rk) AS rank, COUNT(*) AS n_jackknife, SUM(POW(mj - j.theta, 3)) / (6 * POW(SUM(POW(mj - j.theta, 2)), 1.5)) AS acceleration
-FROM (SELECT *, AVG(theta) OVER (PARTITION BY effect) AS mj FROM lj) j JOIN (SELECT effect, MAX(point) AS point, COUNT(*) AS n_draws, (COUNT(*) FILTER (WHERE theta < point) + COUNT(*) FILTER (WHERE theta <= point)) / (2.0 * COUNT(*))::DOUBLE AS rk FROM l JOIN lp USING (effect) GROUP BY 1) d USING (effect) GROUP BY 1""", **_BOOT, l=_LONG, **_JACK), {"effect": "", "point": "r", "n_draws": "i", "rank": "r", "n_jackknife": "i", "acceleration": "r"}))
+_BCA_STATS = """SELECT effect, MAX(point) AS point, MAX(n_draws) AS n_draws, MAX(rk) AS rank, COUNT(*) AS n_jackknife, SUM(POW(mj - j.theta, 3)) / (6 * POW(SUM(POW(mj - j.theta, 2)), 1.5)) AS acceleration
+FROM (SELECT *, AVG(theta) OVER (PARTITION BY effect) AS mj FROM lj) j JOIN (SELECT effect, MAX(point) AS point, COUNT(*) AS n_draws, (COUNT(*) FILTER (WHERE theta < point) + COUNT(*) FILTER (WHERE theta <= point)) / (2.0 * COUNT(*))::DOUBLE AS rk FROM l JOIN lp USING (effect) GROUP BY 1) d USING (effect) GROUP BY 1"""
+
+
+@query("F04_bca_statistics", sql_shown(on_blocks("SELECT * FROM st", **_BOOT, l=_LONG, **_JACK, st=_BCA_STATS), {"effect": "", "point": "r", "n_draws": "i", "rank": "r", "n_jackknife": "i", "acceleration": "r"}))
 def f04_statistics(spark, sf):
     draws = long_draws(resample.bootstrap_prices_only(train(spark, sf), DRAWS))
     stats = resample.bca_statistics(point_rows(spark, sf), draws, jack_rows(spark, sf), ["effect"], "theta")
     return shown(stats.select("effect", "point", "n_draws", "rank", "n_jackknife", "acceleration"))
 
 
-@query("F04_basic_bca_interval")
+_Z975 = "1.959963984540054::DOUBLE"
+_BCA = {
+    "nq_in": "SELECT effect AS id, rank AS p FROM st",
+    **recursive(nq=normal_quantiles("nq_in")),
+    "shift": f"SELECT st.*, z0, z0 + (z0 - {_Z975}) / (1 - acceleration * (z0 - {_Z975})) AS a1, z0 + (z0 + {_Z975}) / (1 - acceleration * (z0 + {_Z975})) AS a2 FROM st JOIN (SELECT id AS effect, (lo + hi) / 2 AS z0 FROM nq WHERE step = 48) USING (effect)",
+    "adj": f"SELECT *, {normal_cdf('a1')} AS p1, {normal_cdf('a2')} AS p2, (SELECT list_sort(list(theta)) FROM l WHERE l.effect = shift.effect) AS s FROM shift",
+    "bca": "SELECT *, p1 >= 1.0 / (n_draws + 1) AND p2 <= 1 - 1.0 / (n_draws + 1) AS inside, p1 * (n_draws - 1) AS h1, p2 * (n_draws - 1) AS h2 FROM adj",
+}
+_AT = "CASE WHEN inside THEN s[FLOOR({h})::INT + 1] + ({h} - FLOOR({h})) * (s[CEIL({h})::INT + 1] - s[FLOOR({h})::INT + 1]) END"
+
+
+@query("F04_basic_bca_interval", sql_shown(on_blocks(f"""SELECT effect, pl AS percentile_lower, pu AS percentile_upper, 2 * point - pu AS basic_lower, 2 * point - pl AS basic_upper, {_AT.format(h="h1")} AS bca_lower, {_AT.format(h="h2")} AS bca_upper, z0, acceleration, p1 AS adjusted_lower_probability, p2 AS adjusted_upper_probability,
+CASE WHEN NOT inside THEN 'adjusted_probabilities_outside_empirical_tail_support' END AS reason FROM bca JOIN (SELECT effect, QUANTILE_CONT(theta, 0.025) AS pl, QUANTILE_CONT(theta, 0.975) AS pu FROM l GROUP BY 1) USING (effect)""", **_BOOT, l=_LONG, **_JACK, st=_BCA_STATS, **_BCA), {"effect": "", **dict.fromkeys(("percentile_lower", "percentile_upper", "basic_lower", "basic_upper", "bca_lower", "bca_upper", "z0", "acceleration", "adjusted_lower_probability", "adjusted_upper_probability"), "r"), "reason": ""}))
 def f04(spark, sf):
     draws = long_draws(resample.bootstrap_prices_only(train(spark, sf), DRAWS))
     return shown(resample.basic_bca_interval(point_rows(spark, sf), draws, jack_rows(spark, sf), ["effect"], "theta"))

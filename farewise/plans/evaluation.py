@@ -534,12 +534,34 @@ def o05_constants(spark, sf):
     return shown(spark.createDataFrame([row], "asc_0 double, asc_2 double, log_likelihood double"))
 
 
-@query("O05_fit_mnl")
+def _newton_sql() -> str:
+    """Recursive body: twelve Newton steps from zero; b holds the estimates, se their errors."""
+    x = [["1", "0", "t0", "c0"], ["0", "0", "t1", "c1"], ["0", "1", "t2", "c2"]]
+    p = ["p0", "p1", "p2"]
+    mean = [" + ".join(f"{p[j]} * {x[j][a]}" for j in range(3)) for a in range(4)]
+    chosen = [f"CASE choice_index WHEN 0 THEN {x[0][a]} WHEN 1 THEN {x[1][a]} ELSE {x[2][a]} END" for a in range(4)]
+    rows = []
+    for a in range(4):
+        second = [f"SUM({' + '.join(f'{p[j]} * {x[j][a]} * {x[j][b]}' for j in range(3))} - ({mean[a]}) * ({mean[b]}))" for b in range(4)]
+        unit = ["1.0" if a == b else "0.0" for b in range(4)]
+        rows.append("[" + ", ".join([*second, f"SUM({chosen[a]} - ({mean[a]}))", *unit]) + "]")
+    utility = "b[1] + b[3] * t0 + b[4] * c0 AS u0, b[3] * t1 + b[4] * c1 AS u1, b[2] + b[3] * t2 + b[4] * c2 AS u2"
+    shares = f"SELECT k, b, choice_index, t0, t1, t2, c0, c1, c2, EXP(u0) / d AS p0, EXP(u1) / d AS p1, CASE WHEN av2 THEN EXP(u2) ELSE 0 END / d AS p2 FROM (SELECT *, EXP(u0) + EXP(u1) + CASE WHEN av2 THEN EXP(u2) ELSE 0 END AS d FROM (SELECT nw.k, nw.b, mt.*, {utility} FROM nw CROSS JOIN mt WHERE k < 12))"
+    body = f"SELECT k, b, [{', '.join(rows)}]::DOUBLE[][] AS m FROM ({shares}) GROUP BY k, b"
+    for i in range(1, 5):
+        body = f"SELECT k, b, list_transform(m, lambda r, i: CASE WHEN i = {i} THEN list_transform(r, lambda v: v / m[{i}][{i}]) ELSE list_transform(r, lambda v, j: v - r[{i}] * m[{i}][j] / m[{i}][{i}]) END) AS m FROM ({body})"
+    return f"SELECT 0 AS k, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS b, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS se UNION ALL SELECT k + 1, list_transform(b, lambda v, i: v + m[i][5]), list_transform(b, lambda v, i: SQRT(m[i][5 + i])) FROM ({body})"
+
+
+_TASKS_SQL = "SELECT choice_index, av2, tt0 / 100 AS t0, tt1 / 100 AS t1, tt2 / 100 AS t2, co0 / 100 AS c0, co1 / 100 AS c1, co2 / 100 AS c2 FROM choice_tasks WHERE NOT (choice_index = 2 AND NOT av2)"
+
+
+@query("O05_fit_mnl", sql_shown(on_tasks("SELECT UNNEST(['asc_0', 'asc_2', 'time', 'cost']) AS parameter, UNNEST(b) AS estimate, UNNEST(se) AS standard_error FROM nw WHERE k = 12", mt=_TASKS_SQL, nw=_newton_sql()), {"parameter": "", "estimate": "r5", "standard_error": "r5"}))
 def o05(spark, sf):
     data = mnl.choice_features(mnl.prepare_choices(tasks(spark, sf)))
     fit = mnl.fit_mnl(data)
     rows = [(n, float(b), float(s)) for n, b, s in zip(mnl.PARAMETERS, fit["beta"], fit["standard_errors"])]
-    return shown(spark.createDataFrame(rows, "parameter string, estimate double, standard_error double"))
+    return shown(spark.createDataFrame(rows, "parameter string, estimate double, standard_error double"), 5)
 
 
 @query("O06_score_mnl", sql_shown(on_tasks("SELECT split, SUM(n) AS n_tasks, COUNT(*) AS n_people, SUM(l) / SUM(n) AS log_loss, AVG(l / n) AS person_mean_loss, SUM(h) / SUM(n) AS accuracy FROM (SELECT split, person_id, COUNT(*) AS n, SUM(-lpc) AS l, SUM((pick = choice_index)::INT)::DOUBLE AS h FROM lp JOIN sp USING (person_id) WHERE lpc IS NOT NULL GROUP BY 1, 2) GROUP BY 1", people=_PEOPLE, sp=_SPLIT_P, ut=_UTIL, lp=_LP), {"split": "", "n_tasks": "i", "n_people": "i", "log_loss": "r", "person_mean_loss": "r", "accuracy": "r"}))

@@ -30,6 +30,20 @@ def t_cdf(x: str, df: str) -> str:
     )
 
 
+def normal_cdf(x: str) -> str:
+    """Standard normal distribution: Simpson's rule from 0."""
+    weight = "CASE WHEN j IN (0, 200) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(0.5 + {x} / 600 * list_sum(list_transform(range(0, 201), lambda j: {weight} * exp(-POW({x} * j / 200.0, 2) / 2))) / sqrt(2 * pi()))"
+
+
+def normal_quantiles(source: str) -> str:
+    """Recursive body over (id, p): bisection for the normal quantile."""
+    mid = "((lo + hi) / 2)"
+    return f"""SELECT id, p, -8.0::DOUBLE AS lo, 8.0::DOUBLE AS hi, 0 AS step FROM {source} UNION ALL
+SELECT id, p, CASE WHEN c < p THEN {mid} ELSE lo END, CASE WHEN c < p THEN hi ELSE {mid} END, step + 1
+FROM (SELECT *, {normal_cdf(mid)} AS c FROM {{name}} WHERE step < 48)"""
+
+
 def t_quantiles(source: str) -> str:
     """Recursive body over (id, p, df) with p >= 0.5: bisection for the t quantile."""
     mid = "((lo + hi) / 2)"
