@@ -93,16 +93,17 @@ _FULL = {
     "tq_in": f"SELECT 1 AS id, 0.975::DOUBLE AS p, {N_SEEDS - 1}::DOUBLE AS df", **_TQ,
     "dr": _DRAWS,
     "dl": " UNION ALL ".join(f"SELECT draw_id, policy_id, seed, '{m}' AS metric, {m}::DOUBLE AS v FROM dr" for m in METRICS),
-    "dm": "SELECT t.policy_id, t.metric, draw_id, AVG(t.v - b.v) AS mean FROM dl t JOIN dl b USING (draw_id, seed, metric) WHERE t.policy_id <> '1' AND b.policy_id = '1' GROUP BY 1, 2, 3",
-    "di": "SELECT policy_id, metric, QUANTILE_CONT(mean, 0.025) AS lo, QUANTILE_CONT(mean, 0.975) AS hi_, QUANTILE_CONT(mean, 0.975) FILTER (WHERE draw_id < 10) - QUANTILE_CONT(mean, 0.025) FILTER (WHERE draw_id < 10) AS hw FROM dm GROUP BY 1, 2",
-    "full_summary": f"SELECT sensitivity_id, policy_id, metric, n AS available_pairs, {N_SEEDS} - n AS unavailable_pairs, m1 AS target_mean, md AS delta_mean, CASE WHEN n = {N_SEEDS} THEN md - hi * se END AS delta_lower, CASE WHEN n = {N_SEEDS} THEN md + hi * se END AS delta_upper, CASE WHEN n = {N_SEEDS} AND sensitivity_id = 'declared_rules' THEN lo END AS model_delta_lower, CASE WHEN n = {N_SEEDS} AND sensitivity_id = 'declared_rules' THEN hi_ END AS model_delta_upper, CASE WHEN n < {N_SEEDS} OR sensitivity_id = 'slow' THEN 'unavailable' WHEN ABS((hi_ - lo) - hw) / GREATEST(hi_ - lo, 1e-8) > 0.5 THEN 'unstable' ELSE 'available' END AS interval_status FROM sp JOIN di USING (policy_id, metric), (SELECT hi FROM tq WHERE step = 48)",
+    "dm": f"SELECT t.policy_id, t.metric, draw_id, CASE WHEN COUNT(*) = {REPLICATES} THEN AVG(t.v - b.v) END AS mean FROM dl t JOIN dl b USING (draw_id, seed, metric) WHERE t.policy_id <> '1' AND b.policy_id = '1' GROUP BY 1, 2, 3",
+    "di": "SELECT policy_id, metric, COUNT(mean) AS nv, QUANTILE_CONT(mean, 0.025) AS lo, QUANTILE_CONT(mean, 0.975) AS hi_, QUANTILE_CONT(mean, 0.975) FILTER (WHERE draw_id < 10) - QUANTILE_CONT(mean, 0.025) FILTER (WHERE draw_id < 10) AS hw FROM dm GROUP BY 1, 2",
+    "full_summary": f"SELECT sensitivity_id, policy_id, metric, n AS available_pairs, {N_SEEDS} - n AS unavailable_pairs, m1 AS target_mean, md AS delta_mean, CASE WHEN n = {N_SEEDS} THEN md - hi * se END AS delta_lower, CASE WHEN n = {N_SEEDS} THEN md + hi * se END AS delta_upper, CASE WHEN n = {N_SEEDS} AND nv = {N_DRAWS} AND sensitivity_id = 'declared_rules' THEN lo END AS model_delta_lower, CASE WHEN n = {N_SEEDS} AND nv = {N_DRAWS} AND sensitivity_id = 'declared_rules' THEN hi_ END AS model_delta_upper, CASE WHEN n < {N_SEEDS} OR nv < {N_DRAWS} OR sensitivity_id = 'slow' THEN 'unavailable' WHEN ABS((hi_ - lo) - hw) / GREATEST(hi_ - lo, 1e-8) > 0.5 THEN 'unstable' ELSE 'available' END AS interval_status FROM sp JOIN di USING (policy_id, metric), (SELECT hi FROM tq WHERE step = 48)",
 }
-_FULL_KINDS = {"sensitivity_id": "", "policy_id": "", "metric": "", "available_pairs": "i", "unavailable_pairs": "i", **dict.fromkeys(("target_mean", "delta_mean", "delta_lower", "delta_upper", "model_delta_lower", "model_delta_upper"), "r5"), "interval_status": ""}
+_FULL_KINDS = {"sensitivity_id": "", "policy_id": "", "metric": "", "available_pairs": "i", "unavailable_pairs": "i", "target_mean": "r4", "delta_mean": "r4", **dict.fromkeys(("delta_lower", "delta_upper", "model_delta_lower", "model_delta_upper"), "r3"), "interval_status": ""}
 
 
 @query("L03_policy_summary", sql_shown(with_views("SELECT * FROM full_summary", "trajectories", **_FULL), _FULL_KINDS))
 def l03(spark, sf):
-    return shown(full_summary(spark, sf).select(*_FULL_KINDS), 5)
+    coarse = {c: F.round(c, 3) for c in ("delta_lower", "delta_upper", "model_delta_lower", "model_delta_upper")}
+    return shown(full_summary(spark, sf).select(*_FULL_KINDS).withColumns(coarse), 4)
 
 
 GUARDRAILS = [("created_requests", "minimum", 60.0), ("completed_trips", "minimum", 20.0), ("completed_trips", "maximum", 60.0)]
