@@ -509,11 +509,11 @@ def o02(spark, sf):
     return per_person.groupBy("split").agg(F.sum("count").alias("n_tasks"), F.count(F.lit(1)).alias("n_people"))
 
 
-@query("O03_choice_features", sql_shown(on_tasks("SELECT person_id, COUNT(*) AS n, SUM(tt0 / 100) AS t0, SUM(tt2 / 100) AS t2, SUM(CASE WHEN person_id % 2 = 0 THEN 0 ELSE co0 / 100 END) AS c0, SUM(CASE WHEN person_id % 2 = 0 THEN 0 ELSE co1 / 100 END) AS c1, SUM(co2 / 100) AS c2 FROM choice_tasks GROUP BY 1"), {"person_id": "i", "n": "i", **dict.fromkeys(("t0", "t2", "c0", "c1", "c2"), "r")}))
+@query("O03_choice_features", sql_shown(on_tasks("SELECT person_id, COUNT(*) AS n, SUM(tt0 / 100) AS t0, SUM(tt2 / 100) AS t2, SUM(CASE WHEN person_id % 2 = 0 THEN 0 ELSE co0 / 100 END) AS c0, SUM(CASE WHEN person_id % 2 = 0 THEN 0 ELSE co1 / 100 END) AS c1, SUM(co2 / 100) AS c2 FROM choice_tasks GROUP BY 1"), {"person_id": "i", "n": "i", **dict.fromkeys(("t0", "t2", "c0", "c1", "c2"), "r9")}))
 def o03(spark, sf):
     holders = tasks(spark, sf).withColumn("pass", F.col("person_id") % 2 == 0)
     out = mnl.choice_features(holders, "pass")
-    return shown(out.groupBy("person_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("t0", "t2", "c0", "c1", "c2")]))
+    return shown(out.groupBy("person_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in ("t0", "t2", "c0", "c1", "c2")]), 9)
 
 
 BETA = (0.2, -0.1, -1.5, -0.8)

@@ -91,11 +91,11 @@ def intervals(spark, sf) -> DataFrame:
     return ops.state_intervals(bindings.state_changes(spark, sf), ntz(MONTH_END))
 
 
-@query("I05_state_intervals", sql_shown(on_intervals("SELECT vehicle_id, state, EPOCH_US(start) AS start_us, EPOCH_US(\"end\") AS end_us, duration_hours FROM intervals"), {"vehicle_id": "i", "state": "", "start_us": "i", "end_us": "i", "duration_hours": "r"}))
+@query("I05_state_intervals", sql_shown(on_intervals("SELECT vehicle_id, state, EPOCH_US(start) AS start_us, EPOCH_US(\"end\") AS end_us, duration_hours FROM intervals"), {"vehicle_id": "i", "state": "", "start_us": "i", "end_us": "i", "duration_hours": "r10"}))
 def i05(spark, sf):
     micros = lambda c: F.timestamp_diff("MICROSECOND", ntz("1970-01-01 00:00:00"), F.col(c))
     out = intervals(spark, sf)
-    return shown(out.select("vehicle_id", "state", micros("start").alias("start_us"), micros("end").alias("end_us"), "duration_hours"))
+    return shown(out.select("vehicle_id", "state", micros("start").alias("start_us"), micros("end").alias("end_us"), "duration_hours"), 10)
 
 
 _HOURS = ", ".join(f"COALESCE(SUM(duration_hours) FILTER (WHERE state = '{s}'), 0) AS {s}_hours" for s in ops.VEHICLE_STATES) + ", COALESCE(SUM(duration_hours) FILTER (WHERE state IN ('idle', 'dispatch', 'to_pickup', 'on_trip')), 0) AS serviceable_hours, SUM(duration_hours) AS total_hours"
