@@ -11,10 +11,11 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farewise.functions.scalars import safe_div, total, weighted_mean
+from farewise.functions.scalars import any_of, is_finite, safe_div, total, weighted_mean
+from farewise.operators.quality import check_contract
 from farewise.sources.tables import ContractError
 
 OUTCOMES = ("q_x", "q_y")
@@ -170,8 +171,6 @@ def cell_mean_moments(
     Inside one (cell, fold) the prediction is constant, so residual products follow from that
     group's moments; cells seen in a single fold have no prediction and contribute nothing.
     """
-    from pyspark.sql import Window
-
     per = moments(df, [*by, *cell, fold])
     rest = Window.partitionBy(*by, *cell)
     other_w = F.sum("w").over(rest) - F.col("w")
@@ -203,8 +202,6 @@ def residualize(df: DataFrame, cell: Sequence[str], fold: str | None = None) ->
         F.sum(w).alias("_w"), *[F.sum(w * F.col(c)).alias(f"_s{i}") for i, c in enumerate(names)]
     )
     if fold:
-        from pyspark.sql import Window
-
         rest = Window.partitionBy(*cell)
         minus = {c: F.sum(c).over(rest) - F.col(c) for c in ["_w", *[f"_s{i}" for i in range(4)]]}
         sums = sums.select(*keys, *[e.alias(c) for c, e in minus.items()])
@@ -485,8 +482,6 @@ def predict_choice(df: DataFrame, model: Model, log_x: str | Column = TREATMENTS
 
 
 def simplex_rules(tolerance: float = 1e-12) -> dict[str, Column]:
-    from farewise.functions.scalars import any_of, is_finite
-
     names = ("p_x", "p_y", "p_none")
     return {
         "nonfinite": any_of([~is_finite(c) for c in names]),
@@ -496,8 +491,6 @@ def simplex_rules(tolerance: float = 1e-12) -> dict[str, Column]:
 
 
 def simplex_violations(df: DataFrame, tolerance: float = 1e-12) -> DataFrame:
-    from farewise.operators.quality import check_contract
-
     return check_contract(df, simplex_rules(tolerance))
 
 

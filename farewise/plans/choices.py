@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from farewise.operators import choice, estimate, inference, resample
 from farewise.plans.catalogue import kept, query, shown, sql_shown
 from farewise.plans.sqlkit import cross_products, eliminated, normal_cdf, normal_quantiles, recursive, t_quantiles
-from farewise.plans.trips import CONTEXT_MIN, _CTX_CTES, _context, on_silver
+from farewise.plans.trips import _CTX_CTES, _context, on_silver
 from farewise.sources import bindings
 from farewise.sources.bindings import with_views
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from farewise.functions.scalars import fingerprint, hash_uniform, is_finite, safe_div, weighted_mean
+from farewise.functions.stats import binom_test, clopper_pearson, holm_adjust, t_ppf
 from farewise.operators import estimate, evaluate, mnl, policy, resample
 from farewise.plans.catalogue import query, shown, sql_shown
 from farewise.plans.choices import (
@@ -416,8 +416,6 @@ def n12_gates(spark, sf):
 
 @query("R01_t_ppf", sql_shown("WITH RECURSIVE tq_in AS (SELECT l_suppkey AS id, 0.975::DOUBLE AS p, (COUNT(*) - 1)::DOUBLE AS df FROM lineitem GROUP BY 1), " + ", ".join(f"{n} AS ({b})" for n, b in _TQ.items()) + " SELECT id AS l_suppkey, df, hi AS critical FROM tq WHERE step = 48", {"l_suppkey": "i", "df": "r", "critical": "r"}))
 def r01(spark, sf):
-    from farewise.functions.stats import t_ppf
-
     counts = bindings.table(spark, sf, "lineitem").groupBy("l_suppkey").agg((F.count(F.lit(1)) - 1).alias("df"))
     return shown(counts.select("l_suppkey", F.col("df").cast("double").alias("df"), t_ppf(0.975, "df").alias("critical")))
 
@@ -431,31 +429,23 @@ def _return_counts(spark, sf) -> DataFrame:
 
 @query("R02_clopper_pearson", sql_shown(f"WITH RECURSIVE kn AS ({_RK}), " + ", ".join(f"{n} AS ({b})" for n, b in recursive(cp=clopper_bounds("kn")).items()) + " SELECT id AS l_suppkey, k, n, ll AS lower, uh AS upper FROM cp WHERE step = 40", {"l_suppkey": "i", "k": "i", "n": "i", "lower": "r", "upper": "r"}))
 def r02(spark, sf):
-    from farewise.functions.stats import clopper_pearson
-
     counts = _return_counts(spark, sf).withColumn("b", clopper_pearson("k", "n"))
     return shown(counts.select("l_suppkey", "k", "n", "b.lower", "b.upper"))
 
 
 @query("R03_binom_test", sql_shown(f"SELECT id AS l_suppkey, {binomial_terms('n', '0.3', '0', 'k')} AS less, {binomial_terms('n', '0.3', 'k', 'n')} AS greater FROM ({_RK})", {"l_suppkey": "i", "less": "r", "greater": "r"}))
 def r03(spark, sf):
-    from farewise.functions.stats import binom_test
-
     return shown(_return_counts(spark, sf).select("l_suppkey", binom_test("k", "n", 0.3, "less").alias("less"), binom_test("k", "n", 0.3, "greater").alias("greater")))
 
 
 @query("R04_holm_adjust", sql_shown("SELECT l_suppkey, p_value, p_holm FROM (" + _HOLM.format(source=f"(SELECT id AS l_suppkey, {binomial_terms('n', '0.3', '0', 'k')} AS p_value FROM ({_RK}))") + ")", {"l_suppkey": "i", "p_value": "r", "p_holm": "r"}))
 def r04(spark, sf):
-    from farewise.functions.stats import binom_test, holm_adjust
-
     tests = _return_counts(spark, sf).select("l_suppkey", binom_test("k", "n", 0.3, "less").alias("p_value"))
     return shown(holm_adjust(tests, "p_value", []))
 
 
 @query("R05_weighted_mean", sql_shown("SELECT l_returnflag, SUM(l_quantity * l_discount) / SUM(l_quantity) AS weighted, SUM(l_tax) / NULLIF(SUM(CASE WHEN l_returnflag = 'A' THEN 0 ELSE l_quantity END), 0) AS guarded, COUNT(*) AS n_finite FROM lineitem GROUP BY 1", {"l_returnflag": "", "weighted": "r", "guarded": "r", "n_finite": "i"}))
 def r05(spark, sf):
-    from farewise.functions.scalars import is_finite, safe_div, weighted_mean
-
     line = bindings.table(spark, sf, "lineitem")
     kept = F.sum(F.when(F.col("l_returnflag") == "A", 0.0).otherwise(F.col("l_quantity")))
     return shown(line.groupBy("l_returnflag").agg(weighted_mean("l_discount", "l_quantity").alias("weighted"), safe_div(F.sum("l_tax"), kept).alias("guarded"), F.count_if(is_finite("l_extendedprice")).alias("n_finite")))
@@ -463,16 +453,12 @@ def r05(spark, sf):
 
 @query("R06_fingerprint", "SELECT n_nationkey::BIGINT AS n_nationkey, SHA256('{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}') AS fingerprint FROM nation")
 def r06(spark, sf):
-    from farewise.functions.scalars import fingerprint
-
     nation = bindings.table(spark, sf, "nation")
     return nation.select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), fingerprint("n_nationkey", "n_name").alias("fingerprint"))
 
 
 @query("R07_hash_uniform", sql_shown("SELECT user_id % 10 AS g, COUNT(*) AS n, AVG(u) AS mean_u, MIN(u) AS min_u FROM (SELECT user_id, ('0x' || SUBSTR(MD5('5-' || event_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM events) GROUP BY 1", {"g": "i", "n": "i", "mean_u": "r", "min_u": "r"}))
 def r07(spark, sf):
-    from farewise.functions.scalars import hash_uniform
-
     events = bindings.table(spark, sf, "events").select("user_id", hash_uniform(F.lit(5), "event_id").alias("u"))
     return shown(events.groupBy((F.col("user_id") % 10).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.avg("u").alias("mean_u"), F.min("u").alias("min_u")))
 
