@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farewise.functions.scalars import col
+from farewise.functions.skew import null_safe_join, with_running_max
 
 _STEPS = 200
 
@@ -184,13 +185,23 @@ def binom_test(k, n, p, alternative: str = "two-sided") -> Column:
 def holm_adjust(df: DataFrame, p: str, family: list[str], out: str = "p_holm") -> DataFrame:
     """Step-down adjusted p-values within each family of tests; NULL tests are left out.
 
-    A family is the set of tests of one study, so its window stays small.
+    Equal p-values share one adjusted value, so the work runs on distinct p-values with their
+    counts, cut into pieces of p: ranks are piece offsets plus ranks inside a piece, and the
+    step-down maximum carries over between pieces. No family is sorted in one task.
     """
-    tested = F.col(p).isNotNull()
-    by = Window.partitionBy(*family, tested)
-    order = by.orderBy(p)
-    rank, size = F.row_number().over(order), F.count(F.lit(1)).over(by)
-    raw = df.withColumn("_raw", F.when(tested, F.col(p) * (size - rank + 1)))
-    running = Window.partitionBy(*family, tested).orderBy(F.col(p), F.desc("_raw"))
-    stepped = F.max("_raw").over(running.rowsBetween(Window.unboundedPreceding, 0))
-    return raw.withColumn(out, F.when(tested, F.least(F.lit(1.0), stepped))).drop("_raw")
+    keys = list(family)
+    tests = df.filter(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    tests = tests.withColumn("_piece", F.floor(100 * F.ln(F.greatest(F.col("_p"), F.lit(1e-300)))))
+    along = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = tests.groupBy(*keys, "_piece").agg(F.sum("_c").alias("_n")).select(
+        *keys, "_piece", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_skip"),
+        F.sum("_n").over(Window.partitionBy(*keys)).alias("_m"),
+    )
+    inside = Window.partitionBy(*keys, "_piece").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = null_safe_join(
+        tests.withColumn("_before", F.coalesce(F.sum("_c").over(inside), F.lit(0))), pieces, [*keys, "_piece"], "inner"
+    )
+    raw = ranked.select(*keys, "_p", "_piece", (F.col("_p") * (F.col("_m") - F.col("_skip") - F.col("_before"))).alias("_raw"))
+    stepped = with_running_max(raw, keys, ["_p"], F.col("_piece"), "_raw", "_top")
+    adjusted = stepped.select(*keys, F.col("_p").alias(p), F.least(F.lit(1.0), F.greatest("_raw", "_top")).alias(out))
+    return null_safe_join(df, adjusted, [*keys, p], "left")
