@@ -32,17 +32,22 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, named by `spark.checkpoint.dir`.
 
-    Only where the session names none (a local test) is a temporary folder used.
+    A cluster must name one. Only in local mode, where driver and tasks share one machine, is an
+    unset folder replaced by one of the session's own.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir"
-    )
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = _own_folders.setdefault(context.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _own_folders[context.applicationId] = named
     return named.rstrip("/")
 
 
