@@ -43,6 +43,14 @@ def drop_tables(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while stem in taken:
+        stem += "_"
+    return stem
+
+
 def whole(column: Column | str) -> Column:
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
@@ -100,6 +108,11 @@ BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * STEP)
 _powers: dict[int, np.ndarray] = {}
 
 
+def times_step(k: int) -> np.uint64:
+    """`k` steps, modulo 2 ** 64."""
+    return np.uint64(k * int(STEP) % (1 << 64))
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """`base` to the powers 0 to n - 1, modulo 2 ** 64."""
     if base not in _powers or len(_powers[base]) < n:
@@ -131,7 +144,7 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for k, factor in enumerate(powers(BASE, width)):
         out += hashes[k : k + n] * factor
-    return mixed(out + np.uint64(width) * STEP)
+    return mixed(out + times_step(width))
 
 
 def per_text(first: np.ndarray, marks: np.ndarray) -> np.ndarray:

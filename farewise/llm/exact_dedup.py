@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from farewise.llm.common import cut, whole
+from farewise.llm.common import cut, unused, whole
 
 #: Digests per bucket at which an index is laid out: about 50 MB, one task each.
 BUCKET_ROWS = 500_000
@@ -114,18 +114,15 @@ def keep_first_copies(docs: DataFrame, index: DigestIndex, text: str = "text", d
     The kept (doc_id, digest) pairs are joined back; that key is spread evenly however large a group of copies is.
     """
     verdicts = deduplicate(docs, index, text, doc_id)
-    kept = verdicts.filter("kept").select(
-        F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")
-    )
-    joined = docs.withColumn("_own", text_digest(text)).join(
-        kept, (F.col("_own") == F.col("_digest")) & F.col(doc_id).eqNullSafe(F.col("_id")), "left_semi"
-    )
+    own, id_, digest = unused(docs, "_own"), unused(docs, "_id"), unused(docs, "_digest")
+    kept = verdicts.filter("kept").select(F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(digest))
+    same = (F.col(own) == F.col(digest)) & F.col(doc_id).eqNullSafe(F.col(id_))
+    joined = docs.withColumn(own, text_digest(text)).join(kept, same, "left_semi")
     # Rows equal in both id and text pass the join together; one of them is the document that stays.
     repeated = verdicts.groupBy("doc_id", "text_sha256").count().filter("count > 1")
+    repeated = cut(repeated.select(F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(digest)), "digest-repeats")
     if repeated.isEmpty():
-        return joined.drop("_own")
-    repeated = cut(repeated.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")), "digest-repeats")
-    same = (F.col("_own") == F.col("_digest")) & F.col(doc_id).eqNullSafe(F.col("_id"))
+        return joined.drop(own)
     single = joined.join(repeated, same, "left_anti")
-    several = joined.join(repeated, same, "left_semi").dropDuplicates([doc_id, "_own"])
-    return single.unionByName(several).drop("_own")
+    several = joined.join(repeated, same, "left_semi").dropDuplicates([doc_id, own])
+    return single.unionByName(several).drop(own)

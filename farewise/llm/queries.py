@@ -7,7 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from farewise.llm import exact_dedup, id_planes, packing, url_rules
+import corpus_pipeline
+from farewise.llm import (
+    exact_dedup, host_rules, id_planes, near_dedup, packing, pii, quality_net, section_counts, sentencepiece_viterbi, url_rules,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,10 +79,92 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    return exact_dedup.deduplicate(docs, exact_dedup.fresh_index(docs))
+    index = exact_dedup.fresh_index(docs)
+    verdicts = exact_dedup.deduplicate(docs, index)
+    index.drop()  # this query judges one table by itself; a lasting index is for batches to come
+    return verdicts
 
 
 @query("op8_packing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(table(spark, folder, "documents"), vocabulary, end_id=1)
+
+
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_viterbi.encode_documents(table(spark, folder, "documents"), path)
+
+
+@query("op3_pii")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.find_pii(table(spark, folder, "documents"))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return section_counts.count_tokens(table(spark, folder, "documents"), vocabulary)
+
+
+@query("op7_quality_net")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_net.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+_WORDS = r"list_filter(regexp_split_to_array({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+@query(
+    "op9_host_rules",
+    f"""
+    WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+    win AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS pos, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], ' '))) AS s FROM w WHERE len(ws) >= 8),
+    twice AS (SELECT doc_id, pos FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+    hit AS (SELECT doc_id, count(DISTINCT pos + k) AS n FROM twice, range(8) AS r(k) GROUP BY doc_id),
+    ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w),
+    dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+    m AS (
+        SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+            length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+            coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(hit.n, 0)::BIGINT AS n_repeat_words
+        FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN hit USING (doc_id)),
+    f AS (SELECT *, n_words < {host_rules.MIN_WORDS} OR 100 * n_repeat_words > {host_rules.MAX_REPEATED} * n_words AS base_failed FROM m),
+    h AS (SELECT source, count(*)::DOUBLE AS n, count_if(base_failed)::DOUBLE AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
+    t AS (SELECT sum(bad) / sum(n) AS mean, sum(n) AS d, count(*) AS k, sum(bad * bad / n) AS s2, sum(n * n) AS n2 FROM h),
+    p AS (SELECT mean, mean * (1 - mean) AS noise, s2 - d * mean * mean - (k - 1) * mean * (1 - mean) AS between_, d - n2 / d AS unit FROM t),
+    wt AS (SELECT mean, CASE WHEN between_ > 0 AND unit > 0
+            THEN least({host_rules.PRIOR_WEIGHT[1]}, greatest({host_rules.PRIOR_WEIGHT[0]}, noise * unit / between_ - 1)) ELSE {host_rules.PRIOR_WEIGHT[1]} END AS weight FROM p),
+    v AS (SELECT source, (bad + mean * weight) / (n + weight) > {host_rules.HOST_LIMIT} AS host_failed FROM h, wt)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+        NOT base_failed AND NOT coalesce(host_failed, false) AS kept, coalesce(host_failed, false) AS host_failed
+    FROM f LEFT JOIN v USING (source)
+    """,
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    judged = host_rules.judge_documents(table(spark, folder, "documents"))
+    return judged.select("doc_id", *host_rules.MEASURES, "base_failed", "kept", "host_failed")
+
+
+@query(
+    "op10_near_dedup",
+    f"""
+    WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.SMALL}')")} AS ws FROM documents),
+    sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM sh a JOIN sh b USING (s) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM c JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * common >= 85 * (na.n + nb.n - common)),
+    reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON r = a),
+    g AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+    SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM g LEFT JOIN n USING (doc_id)
+    """,
+)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.link_documents(table(spark, folder, "documents"), percent=85).drop("text_key")
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)

@@ -36,15 +36,13 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
-class PieceEncoder:
-    """Encodes pieces with one of the library's vocabularies and remembers a bounded number of them."""
+class PieceMemo:
+    """Cuts texts into pieces that encode independently, and encodes each distinct piece once.
 
-    def __init__(self, path: str, memo: int = MEMO_PIECES):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.lowers = self.tokenizer.normalizer is not None
-        self.model = self.tokenizer.model
-        self.letters = _byte_letters()
+    The memory of pieces is bounded: it starts over when it is full.
+    """
+
+    def __init__(self, memo: int = MEMO_PIECES):
         self.memo_size = memo
         self._forget()
 
@@ -52,7 +50,56 @@ class PieceEncoder:
         """Start over with an empty memory: piece -> number, and the ids of all numbered pieces end to end."""
         self.number: dict[bytes, int] = {}
         self.pool, self.ends = array("I"), array("q", [0])
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict = {}
+
+    def encode_piece(self, piece: str) -> list[int]:
+        raise NotImplementedError
+
+    def borders(self, data: np.ndarray) -> np.ndarray:
+        """Marks of the bytes before which a text may be cut; the last mark stands for the end."""
+        raise NotImplementedError
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end (uint32), and the offset of each text's ids."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if len(self.number) > self.memo_size or len(self.parts) > self.memo_size:
+            self._forget()
+        border = self.borders(data)
+        border[offsets] = True
+        at = np.flatnonzero(border)
+        pieces = pa.Array.from_buffers(
+            pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]
+        ).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        numbers = np.fromiter([self.number.get(p, -1) for p in distinct], np.int64, len(distinct))
+        for i in np.flatnonzero(numbers < 0).tolist():
+            piece = distinct[i]
+            self.pool.extend(self.encode_piece(piece.decode()))
+            numbers[i] = self.number[piece] = len(self.ends) - 1
+            self.ends.append(len(self.pool))
+        pool, upto = np.array(self.pool, np.uint32), np.array(self.ends, np.int64)
+        numbers = numbers[pieces.indices.to_numpy()]
+        first = upto[numbers]
+        each = upto[numbers + 1] - first
+        ends = np.zeros(len(each) + 1, np.int64)
+        np.cumsum(each, out=ends[1:])
+        first -= ends[:-1]
+        take = np.repeat(first, each)
+        take += np.arange(ends[-1])
+        return pool[take], ends[np.searchsorted(at, offsets)]
+
+
+class PieceEncoder(PieceMemo):
+    """Encodes pieces with one of the library's vocabularies and remembers a bounded number of them."""
+
+    def __init__(self, path: str, memo: int = MEMO_PIECES):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        self.lowers = self.tokenizer.normalizer is not None
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        super().__init__(memo)
 
     def _part(self, part: str) -> list[int]:
         found = self.parts.get(part)
@@ -80,12 +127,7 @@ class PieceEncoder:
             return [i for part in BYTE_PATTERN.findall(piece) for i in self._part(part)]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts end to end (uint32), and the offset of each text's ids."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.number) > self.memo_size or len(self.parts) > self.memo_size:
-            self._forget()
+    def borders(self, data: np.ndarray) -> np.ndarray:
         blank = BLANK[data]
         border = np.zeros(len(data) + 1, bool)
         before = data[:-1]
@@ -93,28 +135,7 @@ class PieceEncoder:
         # The second byte of a Latin-1 letter (lead byte C3) is visible too; other scripts are not cut.
         visible[1:] |= (before[1:] >= 0x80) & (before[:-1] == 0xC3)
         border[1:-1] = blank[1:] & visible
-        border[offsets] = True
-        at = np.flatnonzero(border)
-        pieces = pa.Array.from_buffers(
-            pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)]
-        ).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
-        numbers = np.fromiter([self.number.get(p, -1) for p in distinct], np.int64, len(distinct))
-        for i in np.flatnonzero(numbers < 0).tolist():
-            piece = distinct[i]
-            self.pool.extend(self.encode_piece(piece.decode()))
-            numbers[i] = self.number[piece] = len(self.ends) - 1
-            self.ends.append(len(self.pool))
-        pool, upto = np.array(self.pool, np.uint32), np.array(self.ends, np.int64)
-        numbers = numbers[pieces.indices.to_numpy()]
-        first = upto[numbers]
-        each = upto[numbers + 1] - first
-        ends = np.zeros(len(each) + 1, np.int64)
-        np.cumsum(each, out=ends[1:])
-        first -= ends[:-1]
-        take = np.repeat(first, each)
-        take += np.arange(ends[-1])
-        return pool[take], ends[np.searchsorted(at, offsets)]
+        return border
 
 
 @lru_cache(maxsize=4)
