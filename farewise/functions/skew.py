@@ -13,8 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NATIVE_GROUP_ROWS = 2_000_000
+from farewise.functions.scalars import any_of, total
+
 SKETCH_ACCURACY = 10_000
+#: Pieces in which a bracket is ranked.
+PIECES = 64
 
 
 @dataclass(frozen=True)
@@ -32,12 +35,6 @@ class Quantile:
         return F.when(F.col(self.valid), value) if self.valid else value
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest group; one partially aggregated pass over the keys only."""
-    biggest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return int(biggest or 0)
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join on keys where NULL matches NULL, keeping the left key columns once."""
     a, b = left.alias("a"), right.alias("b")
@@ -49,114 +46,80 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    wanted: Sequence[Quantile],
-    extra: Sequence[Column] = (),
-    max_group_rows: int = NATIVE_GROUP_ROWS,
+    df: DataFrame, keys: Sequence[str], wanted: Sequence[Quantile], extra: Sequence[Column] = ()
 ) -> DataFrame:
     """Linear-interpolated quantiles per group plus `extra` aggregates in one table.
 
-    While the biggest group holds at most `max_group_rows` rows, the built-in exact
-    `percentile` is used: its state is one value-to-count map per group. Beyond that every
-    group takes the sketch-and-refine plan, whose per-group state is bounded.
-    """
-    if largest_group(df, keys) <= max_group_rows:
-        return _native(df, keys, wanted, extra)
-    plain = df.groupBy(*keys).agg(*(extra or [F.count(F.lit(1)).alias("_rows")]))
-    joined = null_safe_join(plain, _refined(df, keys, wanted), keys, "left")
-    return joined if extra else joined.drop("_rows")
-
-
-def _native(df: DataFrame, keys: Sequence[str], wanted: Sequence[Quantile], extra: Sequence[Column]) -> DataFrame:
-    """Built-in percentiles, one shared state for all probabilities of the same values."""
-    metrics = list(dict.fromkeys((q.value, q.valid) for q in wanted))
-    probs = {m: [q.prob for q in wanted if (q.value, q.valid) == m] for m in metrics}
-    source = {(q.value, q.valid): q.source for q in wanted}
-    states = [
-        F.percentile(source[m], F.array(*[F.lit(p) for p in probs[m]])).alias(f"_m{i}")
-        for i, m in enumerate(metrics)
-    ]
-    out = df.groupBy(*keys).agg(*extra, *states)
-    plain = [c for c in out.columns if not c.startswith("_m")]
-    picked = [
-        F.col(f"_m{metrics.index((q.value, q.valid))}")[probs[(q.value, q.valid)].index(q.prob)].alias(q.name)
-        for q in wanted
-    ]
-    return out.select(*plain, *picked)
-
-
-def _refined(df: DataFrame, keys: Sequence[str], wanted: Sequence[Quantile]) -> DataFrame:
-    """Bracket each target rank with a mergeable sketch, then rank only the bracket.
-
-    The sketch is off by at most n / SKETCH_ACCURACY ranks, so quantiles taken two steps to
-    either side enclose the target; about 4 / SKETCH_ACCURACY of a group is ranked. Groups
-    too small for that margin to cover rounding are enclosed by their own range.
+    One plan at every size. A first aggregate sketches each metric, which brackets every target rank
+    within two sketch steps (groups too small for that are bracketed by their range). A second
+    pass counts the values of the gaps between brackets as one number each and the values inside by
+    value. A group's bracket is ranked in PIECES consecutive pieces that meet only as totals, so no
+    task ranks a whole bracket.
     """
     keys = list(keys)
-    metrics = sorted({(q.value, q.valid) for q in wanted}, key=str)
-    ids = {m: str(i) for i, m in enumerate(metrics)}
-    sources = {m: next(q.source for q in wanted if (q.value, q.valid) == m) for m in metrics}
-    long = (
-        df.select(
-            *keys,
-            F.explode(
-                F.array(*[F.struct(F.lit(ids[m]).alias("m"), sources[m].alias("v")) for m in metrics])
-            ).alias("s"),
-        )
-        .select(*keys, "s.m", "s.v")
-        .filter("v is not null")
-    )
+    probs: dict[tuple[str, str | None], list[float]] = {}
+    for q in wanted:
+        probs.setdefault((q.value, q.valid), [])
+        if q.prob not in probs[(q.value, q.valid)]:
+            probs[(q.value, q.valid)].append(q.prob)
+    metrics = list(probs)
+    source = {(q.value, q.valid): q.source for q in wanted}
     step = 2.0 / SKETCH_ACCURACY
-    probs = sorted({q.prob for q in wanted})
-    ends = [e for p in probs for e in (max(0.0, p - step), min(1.0, p + step))]
-    sketch = long.groupBy(*keys, "m").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-        F.percentile_approx("v", ends, SKETCH_ACCURACY).alias("ends"),
-    )
-    small = F.col("n") < 4 * SKETCH_ACCURACY
-    asked = F.array(
-        *[
-            F.struct(
-                F.lit(p).alias("p"),
-                F.when(small, F.col("least")).otherwise(F.col("ends")[2 * i]).alias("lo"),
-                F.when(small, F.col("most")).otherwise(F.col("ends")[2 * i + 1]).alias("hi"),
-                (F.lit(p) * (F.col("n") - 1)).alias("h"),
-            )
-            for i, p in enumerate(probs)
-        ]
-    )
-    brackets = sketch.select(*keys, "m", asked.alias("asked"))
-    counts = long.groupBy(*keys, "m", "v").agg(F.count(F.lit(1)).alias("c"))
-    placed = null_safe_join(counts, brackets, [*keys, "m"], "inner").select(
-        *keys, "m", "v", "c", F.explode("asked").alias("q")
-    ).select(*keys, "m", "v", "c", "q.*")
-    group = [*keys, "m", "p"]
-    below = placed.filter("v < lo").groupBy(*group).agg(F.sum("c").alias("below"))
-    inside = placed.filter("v >= lo and v <= hi")
-    inside = inside.withColumn(
-        "upto", F.sum("c").over(Window.partitionBy(*group).orderBy("v"))
-    )
-    ranked = null_safe_join(inside, below, group, "left").withColumn(
-        "upto", F.col("upto") + F.coalesce("below", F.lit(0))
+    sketches = []
+    for i, m in enumerate(metrics):
+        probs[m].sort()
+        ends = [F.lit(e) for p in probs[m] for e in (max(0.0, p - step), min(1.0, p + step))]
+        state = F.percentile_approx(source[m], F.array(*ends), F.lit(SKETCH_ACCURACY))
+        sketches.append(F.struct(F.count(source[m]).alias("n"), F.min(source[m]).alias("least"), F.max(source[m]).alias("most"), state.alias("ends")).alias(f"_s{i}"))
+    plain = df.groupBy(*keys).agg(*extra, *sketches)
+    brackets = plain.select(*keys, *[f"_s{i}" for i in range(len(metrics))])
+    joined = null_safe_join(df, brackets, keys, "inner") if keys else _beside(df, brackets)
+    places = []
+    for i, m in enumerate(metrics):
+        s, v = F.col(f"_s{i}"), source[m]
+        small = s["n"] < 4 * SKETCH_ACCURACY
+        lows = [F.when(small, s["least"]).otherwise(s["ends"][2 * k]) for k in range(len(probs[m]))]
+        highs = [F.when(small, s["most"]).otherwise(s["ends"][2 * k + 1]) for k in range(len(probs[m]))]
+        passed = total([(v > h).cast("int") for h in highs])
+        inside = any_of([(v >= lo) & (v <= hi) for lo, hi in zip(lows, highs, strict=True)])
+        low, high = (F.coalesce(*[F.when(passed == k, e) for k, e in enumerate(es)]) for es in (lows, highs))
+        part = F.least(F.lit(PIECES - 1), F.greatest(F.lit(0), F.floor(PIECES * (v - low) / F.nullif(high - low, F.lit(0.0)))))
+        piece = F.when(inside, F.coalesce(part, F.lit(0))).otherwise(-1).cast("int")
+        place = F.struct(F.lit(i).alias("m"), passed.alias("pos"), piece.alias("piece"), F.when(inside, v).alias("v"))
+        places.append(F.when(v.isNotNull(), place))
+    each = F.explode(F.filter(F.array(*places), lambda x: x.isNotNull())).alias("x")
+    counts = joined.select(*keys, each).select(*keys, "x.*").groupBy(*keys, "m", "pos", "piece", "v").agg(F.count(F.lit(1)).alias("c"))
+    group, cell = [*keys, "m"], [*keys, "m", "pos", "piece"]
+    along = Window.partitionBy(*group).orderBy("pos", "piece")
+    totals = counts.groupBy(*cell).agg(F.sum("c").alias("sum"))
+    totals = totals.select(
+        *cell,
+        (F.sum("sum").over(along) - F.col("sum")).alias("before"),
+        F.sum("sum").over(Window.partitionBy(*group)).alias("n"),
     )
-    first, last = F.floor("h") + 1, F.ceil("h") + 1
-    holds = lambda r: (F.col("upto") >= r) & (F.col("upto") - F.col("c") < r)
-    found = ranked.groupBy(*group).agg(
-        F.max(F.when(holds(first), F.col("v"))).alias("a"),
-        F.max(F.when(holds(last), F.col("v"))).alias("b"),
-        F.max(F.col("h") - F.floor("h")).alias("f"),
-    ).withColumn("x", F.col("a") + F.col("f") * (F.col("b") - F.col("a")))
-    return found.groupBy(*keys).agg(
-        *[
-            F.max(
-                F.when((F.col("m") == ids[(q.value, q.valid)]) & (F.col("p") == q.prob), F.col("x"))
-            ).alias(q.name)
-            for q in wanted
+    inner = counts.filter("v is not null").withColumn("upto", F.sum("c").over(Window.partitionBy(*cell).orderBy("v")))
+    ranked = null_safe_join(inner, totals, cell, "inner").withColumn("upto", F.col("upto") + F.col("before"))
+    picks, values = [], []
+    for j, q in enumerate(wanted):
+        rank = F.lit(q.prob) * (F.col("n") - 1)
+        own = F.col("m") == metrics.index((q.value, q.valid))
+        holds = lambda r, own=own: own & (F.col("upto") >= r) & (F.col("upto") - F.col("c") < r)
+        picks += [
+            F.max(F.when(holds(F.floor(rank) + 1), F.col("v"))).alias(f"_a{j}"),
+            F.max(F.when(holds(F.ceil(rank) + 1), F.col("v"))).alias(f"_b{j}"),
+            F.max(F.when(own, rank - F.floor(rank))).alias(f"_f{j}"),
         ]
-    )
+        values.append((F.col(f"_a{j}") + F.col(f"_f{j}") * (F.col(f"_b{j}") - F.col(f"_a{j}"))).alias(q.name))
+    found = ranked.groupBy(*keys).agg(*picks).select(*keys, *values)
+    shown = plain.drop(*[f"_s{i}" for i in range(len(metrics))])
+    if not keys:
+        return _beside(shown, found) if extra else found
+    return null_safe_join(shown, found, keys, "left")
+
+
+def _beside(df: DataFrame, row: DataFrame) -> DataFrame:
+    """The columns of a one-row table on every row of `df`."""
+    return df.withColumn("_row", row.select(F.struct(*row.columns)).scalar()).select(*df.columns, "_row.*")
 
 
 def with_neighbour(
@@ -223,8 +186,3 @@ def with_running_max(
         .withColumn(out, F.greatest("_here", "_before"))
         .drop("_chunk", "_here", "_before")
     )
-
-
-def broadcast_if_small(df: DataFrame, row_limit: int = 200_000) -> DataFrame:
-    """Mark a dimension for broadcast only after counting that it stays below `row_limit`."""
-    return F.broadcast(df) if df.limit(row_limit + 1).count() <= row_limit else df

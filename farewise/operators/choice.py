@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import any_of, is_finite, safe_div
-from farewise.functions.skew import broadcast_if_small
 from farewise.operators.quality import assert_unique, check_contract
 from farewise.sources.tables import ContractError
 
@@ -118,7 +117,7 @@ def attach_context(blocks: DataFrame, contexts: DataFrame, hour: str = "hour") -
     )
     assert_unique(picked, ["_z", "_h", "_w"])
     on = (F.col("zone_id") == F.col("_z")) & (F.floor(hour) == F.col("_h")) & (F.col("is_weekend") == F.col("_w"))
-    joined = blocks.join(broadcast_if_small(picked), on, "left").drop("_z", "_h", "_w")
+    joined = blocks.join(picked, on, "left").drop("_z", "_h", "_w")
     if joined.filter(F.col("context_id").isNull()).limit(1).count():
         raise ContractError("context templates do not cover every block")
     return joined

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import ntz, safe_div
-from farewise.functions.skew import NATIVE_GROUP_ROWS, Quantile, exact_quantiles, largest_group
+from farewise.functions.skew import Quantile, exact_quantiles
 from farewise.sources.tables import ContractError
 
 KEYS = ["zone_id", "hour", "is_weekend"]
@@ -32,38 +32,14 @@ def train_rows(silver: DataFrame, train_end: str) -> DataFrame:
     )
 
 
-def context_levels(train: DataFrame, max_group_rows: int = NATIVE_GROUP_ROWS) -> DataFrame:
-    """Counts and quantiles at the four fallback levels (0 = finest, 3 = whole cluster).
-
-    One GROUPING SETS pass while the whole training set fits the built-in quantile state
-    (its root group is every row); the split plan per level beyond that.
-    """
-    if largest_group(train, []) <= max_group_rows:
-        finest = F.col("grouping_id")
-        level = F.when(finest == 0, 0).when(finest == 1, 1).when(finest == 3, 2).otherwise(3)
-        sets = [
-            [F.col(k) for k in KEYS],
-            [F.col("zone_id"), F.col("hour")],
-            [F.col("zone_id")],
-            [],
-        ]
-        return (
-            train.groupingSets(sets, *[F.col(k) for k in KEYS])
-            .agg(
-                F.grouping_id().cast("int").alias("grouping_id"),
-                F.count(F.lit(1)).alias("sample_count"),
-                F.percentile("trip_km", 0.5).alias("distance_km"),
-                F.percentile("trip_time", F.array(F.lit(0.5), F.lit(0.9))).alias("seconds"),
-            )
-            .withColumns({"trip_seconds_p50": F.col("seconds")[0], "trip_seconds_p90": F.col("seconds")[1]})
-            .select(level.alias("level"), *KEYS, *VALUES)
-        )
+def context_levels(train: DataFrame) -> DataFrame:
+    """Counts and quantiles at the four fallback levels (0 = finest, 3 = whole cluster)."""
     kept = F.posexplode(F.array(F.lit(3), F.lit(2), F.lit(1), F.lit(0))).alias("level", "n_keys")
     tagged = train.select("*", kept).withColumns(
         {k: F.when(F.col("n_keys") > i, F.col(k)) for i, k in enumerate(KEYS)}
     )
     rows = F.count(F.lit(1)).alias("sample_count")
-    return exact_quantiles(tagged, ["level", *KEYS], WANTED, [rows], max_group_rows).select(
+    return exact_quantiles(tagged, ["level", *KEYS], WANTED, [rows]).select(
         "level", *KEYS, *VALUES
     )
 
@@ -116,10 +92,9 @@ def fallback_histogram(contexts: DataFrame) -> DataFrame:
 
 
 def build_context(
-    silver: DataFrame, *, zones: Sequence[int], train_end: str, min_n: int,
-    max_group_rows: int = NATIVE_GROUP_ROWS,
+    silver: DataFrame, *, zones: Sequence[int], train_end: str, min_n: int
 ) -> DataFrame:
-    levels = context_levels(train_rows(silver, train_end), max_group_rows)
+    levels = context_levels(train_rows(silver, train_end))
     contexts = hierarchical_fallback(levels, zones, min_n)
     return minmax_scale(contexts, "distance_km", "distance_scaled")
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import safe_div, seconds_between
-from farewise.functions.skew import broadcast_if_small
 from farewise.operators.ops import within
 
 
@@ -19,7 +18,7 @@ def effective_fares(tariff: DataFrame, policy: DataFrame) -> DataFrame:
 
 def quote_terms(requests: DataFrame, fares: DataFrame) -> DataFrame:
     """The one displayed fare of every request."""
-    priced = requests.join(broadcast_if_small(fares.select("service_id", "amount")), "service_id")
+    priced = requests.join(fares.select("service_id", "amount"), "service_id")
     return priced.select("request_id", "service_id", F.col("created_at").alias("quote_at"), F.col("amount").alias("displayed_fare"))
 
 
@@ -28,8 +27,8 @@ def pay_terms(requests: DataFrame, roster: DataFrame, fares: DataFrame) -> DataF
     assigned = requests.filter(F.col("assigned_at").isNotNull())
     driver = roster.select("vehicle_id", "driver_id", "shift_id")
     return (
-        assigned.join(broadcast_if_small(fares.select("service_id", "amount")), "service_id")
-        .join(broadcast_if_small(driver), "vehicle_id")
+        assigned.join(fares.select("service_id", "amount"), "service_id")
+        .join(driver, "vehicle_id")
         .select(
             "request_id", "vehicle_id", "driver_id", "shift_id", "service_id",
             F.col("assigned_at").alias("offer_at"), F.col("amount").alias("offered_driver_pay"),
@@ -48,8 +47,8 @@ def settle_ledger(
     done = events.filter((F.col("state") == "completed") & within("event_ts", start, end))
     ledger_id = F.sha2(F.concat_ws("|", F.col("request_id").cast("string"), F.col("event_ts").cast("string"), F.lit(terms_version)), 256)
     return (
-        done.join(broadcast_if_small(fares.select("service_id", "amount")), "service_id")
-        .join(broadcast_if_small(roster.select("vehicle_id", "driver_id", "shift_id")), "vehicle_id")
+        done.join(fares.select("service_id", "amount"), "service_id")
+        .join(roster.select("vehicle_id", "driver_id", "shift_id"), "vehicle_id")
         .select(
             ledger_id.alias("ledger_id"), "request_id", "vehicle_id", "driver_id", "shift_id", "service_id",
             F.col("event_ts").alias("completed_at"), F.col("amount").alias("rider_payment"), F.col("amount").alias("driver_pay"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import any_of, ntz, safe_div
-from farewise.functions.skew import NATIVE_GROUP_ROWS, Quantile, exact_quantiles
+from farewise.functions.skew import Quantile, exact_quantiles
 from farewise.operators.quality import PLATFORMS
 from farewise.sources.tables import ContractError
 
@@ -68,16 +68,14 @@ def slot_counts(silver: DataFrame) -> DataFrame:
     return _keyed(silver).groupBy(*KEYS).agg(*count_aggregates())
 
 
-def slot_quantiles(
-    silver: DataFrame, approx: bool = False, max_group_rows: int = NATIVE_GROUP_ROWS
-) -> DataFrame:
+def slot_quantiles(silver: DataFrame, approx: bool = False) -> DataFrame:
     """Interpolated medians and p90s over each metric's own valid rows."""
     rows = _keyed(silver)
     if approx:
         return rows.groupBy(*KEYS).agg(
             *[F.percentile_approx(q.source, q.prob).alias(q.name) for q in QUANTILES]
         )
-    return exact_quantiles(rows, KEYS, QUANTILES, max_group_rows=max_group_rows)
+    return exact_quantiles(rows, KEYS, QUANTILES)
 
 
 def slot_shares(silver: DataFrame) -> DataFrame:
@@ -85,10 +83,10 @@ def slot_shares(silver: DataFrame) -> DataFrame:
     return _keyed(silver).groupBy(*KEYS).agg(*share_aggregates())
 
 
-def slot_aggregates(silver: DataFrame, max_group_rows: int = NATIVE_GROUP_ROWS) -> DataFrame:
-    """All cell aggregates in one shuffle."""
+def slot_aggregates(silver: DataFrame) -> DataFrame:
+    """All cell aggregates, quantiles included."""
     extra = [*count_aggregates(), *share_aggregates()]
-    return exact_quantiles(_keyed(silver), KEYS, QUANTILES, extra, max_group_rows)
+    return exact_quantiles(_keyed(silver), KEYS, QUANTILES, extra)
 
 
 def dense_grid(
@@ -156,12 +154,11 @@ def build_mart(
     minutes: int,
     platforms: Sequence[str],
     min_n: int,
-    max_group_rows: int = NATIVE_GROUP_ROWS,
 ) -> DataFrame:
     """Complete suppressed mart: aggregate once, then join the (small) grid."""
     shown = silver.filter(F.col("pickup_datetime") < ntz(end))
     grid = dense_grid(silver.sparkSession, zones, start, end, minutes, platforms)
-    filled = fill_grid(grid, slot_aggregates(shown, max_group_rows))
+    filled = fill_grid(grid, slot_aggregates(shown))
     return suppress_low_n(invalid_share(filled), min_n).withColumn(
         "source_kind", F.lit("observed_tlc")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import all_of, any_of, hash_uniform, is_finite, total
-from farewise.functions.skew import NATIVE_GROUP_ROWS, Quantile, exact_quantiles
+from farewise.functions.skew import Quantile, exact_quantiles
 from farewise.operators.quality import check_contract
 from farewise.sources.tables import ContractError
 
@@ -46,8 +46,7 @@ def choice_quality(raw: DataFrame, identity: Sequence[str]) -> DataFrame:
 
 
 def split_people(
-    df: DataFrame, seed: int, person: str = "person_id", train: float = 0.7, validation: float = 0.15,
-    max_group_rows: int = NATIVE_GROUP_ROWS,
+    df: DataFrame, seed: int, person: str = "person_id", train: float = 0.7, validation: float = 0.15
 ) -> DataFrame:
     """Label rows train, validation or test by person, with exact shares of people.
 
@@ -61,7 +60,7 @@ def split_people(
         raise ContractError("a person-level split needs at least seven people")
     ranks = [int(n * train), int(n * (train + validation) + 1e-9)]
     wanted = [Quantile(f"cut{i}", "u", r / (n - 1)) for i, r in enumerate(ranks)]
-    cuts = exact_quantiles(people, [], wanted, max_group_rows=max_group_rows).first()
+    cuts = exact_quantiles(people, [], wanted).first()
     # Half a hash step below the cut keeps the comparison safe from interpolation noise.
     first, second = (F.lit(float(c) - 2.0**-34) for c in cuts)
     return df.withColumn("split", F.when(draw < first, "train").when(draw < second, "validation").otherwise("test"))

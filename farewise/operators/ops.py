@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import ntz, safe_div, seconds_between
-from farewise.functions.skew import NATIVE_GROUP_ROWS, Quantile, exact_quantiles, with_neighbour, with_running_max
+from farewise.functions.skew import Quantile, exact_quantiles, with_neighbour, with_running_max
 
 # Request, vehicle and offer states.
 OPEN_STATES = ("created", "queued", "assigned", "pickup", "on_trip")
@@ -90,7 +90,7 @@ def _window_counts(start: Column, end: Column) -> list[Column]:
 
 
 def window_summary(
-    events: DataFrame, start: Column, end: Column, by: Sequence[str] = (), max_group_rows: int = NATIVE_GROUP_ROWS
+    events: DataFrame, start: Column, end: Column, by: Sequence[str] = ()
 ) -> DataFrame:
     """Request flow in a half-open window plus mean and p95 wait of the window's pickups."""
     by = list(by)
@@ -98,7 +98,7 @@ def window_summary(
     picked = wait_measures(request_lifecycle(events), end).filter(within("pickup_at", start, end))
     extra = [F.count(F.lit(1)).alias("n_pickups"), F.avg("wait_seconds").alias("mean_wait_seconds")]
     waits = exact_quantiles(
-        picked, by, [Quantile("p95_wait_seconds", "wait_seconds", 0.95)], extra, max_group_rows
+        picked, by, [Quantile("p95_wait_seconds", "wait_seconds", 0.95)], extra
     )
     if by:
         return counts.join(waits, by, "left").fillna(0, ["n_pickups"])

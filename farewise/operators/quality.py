@@ -17,7 +17,6 @@ from farewise.functions.scalars import (
     total,
     true_or_false,
 )
-from farewise.functions.skew import broadcast_if_small
 from farewise.sources.tables import FLAG_COLUMNS, TRIP_COLUMNS, ContractError, write_table
 
 # License codes and their brand, and the mile in kilometres.
@@ -61,7 +60,7 @@ def scope_filter(df: DataFrame, start: str, end: str, zones, platforms) -> DataF
 
 def enrich_zones(df: DataFrame, zones: DataFrame) -> DataFrame:
     """Flag trips whose pickup or dropoff zone is absent from the dimension."""
-    ids = broadcast_if_small(zones.select(F.col("LocationID").alias("_zone")).distinct())
+    ids = zones.select(F.col("LocationID").alias("_zone")).distinct()
     for key, flag in (("PULocationID", "unknown_pickup_zone"), ("DOLocationID", "unknown_dropoff_zone")):
         df = (
             df.join(ids, F.col(key) == F.col("_zone"), "left")

@@ -71,7 +71,7 @@ def i03(spark, sf):
 
 @query("I03_window_summary_split_groups", sql_shown(on_requests(f"SELECT * REPLACE (COALESCE(n_pickups, 0) AS n_pickups) FROM (SELECT service_id, {_flow(_S, _E)} FROM request_events GROUP BY 1) LEFT JOIN ({_PICKED.replace('SELECT COUNT(*)', 'SELECT service_id, COUNT(*)')} GROUP BY 1) USING (service_id)"), {"service_id": "", **_WINDOW_KINDS}))
 def i03_split(spark, sf):
-    return shown(ops.window_summary(events(spark, sf), *bounds(), ["service_id"], max_group_rows=0))
+    return shown(ops.window_summary(events(spark, sf), *bounds(), ["service_id"]))
 
 
 @query("I04_service_summary", sql_shown(on_requests(f"SELECT service_id, {_flow(_S, _E)} FROM request_events GROUP BY 1"), {"service_id": "", **_FLOW_KINDS}))

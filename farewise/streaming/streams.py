@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farewise.functions.scalars import any_of
-from farewise.functions.skew import broadcast_if_small
 from farewise.operators.mart import count_aggregates
 from farewise.operators.quality import CORE_KEYS
 from farewise.session import scratch_path
@@ -137,8 +136,8 @@ def stream_ledger(events: DataFrame, roster: DataFrame, fares: DataFrame, delay:
     """Settle each completion once although the log may be replayed within the delay."""
     done = events.filter("state = 'completed'").withColumn("at", instant("event_ts"))
     once = done.withWatermark("at", delay).dropDuplicatesWithinWatermark(["request_id"])
-    priced = once.join(broadcast_if_small(fares.select("service_id", "amount")), "service_id")
-    paid = priced.join(broadcast_if_small(roster.select("vehicle_id", "driver_id")), "vehicle_id")
+    priced = once.join(fares.select("service_id", "amount"), "service_id")
+    paid = priced.join(roster.select("vehicle_id", "driver_id"), "vehicle_id")
     return paid.select(
         "request_id", "vehicle_id", "driver_id", "service_id", F.col("event_ts").alias("completed_at"), F.col("amount").alias("driver_pay")
     )

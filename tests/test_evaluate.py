@@ -132,11 +132,10 @@ def test_constant_attributes_are_not_identified(spark):
 
 def test_people_are_split_exactly_and_never_shared(spark):
     df = spark.createDataFrame(choices())
-    for limit in (0, 10**9):
-        split = mnl.split_people(df, 5, max_group_rows=limit).select("person_id", "split").distinct()
-        sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
-        assert sum(sizes.values()) == df.select("person_id").distinct().count() == 300
-        assert sizes == {"train": 210, "validation": 45, "test": 45}
+    split = mnl.split_people(df, 5).select("person_id", "split").distinct()
+    sizes = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    assert sum(sizes.values()) == df.select("person_id").distinct().count() == 300
+    assert sizes == {"train": 210, "validation": 45, "test": 45}
 
 
 def test_unavailable_alternatives_never_get_probability(spark):

@@ -20,10 +20,9 @@ def skewed(spark):
 WANTED = [Quantile("p5", "v", 0.05, "ok"), Quantile("p50", "v", 0.5, "ok"), Quantile("p90", "v", 0.9, "ok"), Quantile("all90", "v", 0.9)]
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_quantiles_are_exact_for_hot_and_cold_groups(skewed, limit):
+def test_quantiles_are_exact_for_hot_and_cold_groups(skewed):
     pdf, df = skewed
-    got = exact_quantiles(df, ["k"], WANTED, [F.count("*").alias("n")], limit).toPandas().set_index("k").sort_index()
+    got = exact_quantiles(df, ["k"], WANTED, [F.count("*").alias("n")]).toPandas().set_index("k").sort_index()
     valid = pdf[pdf.ok].groupby("k").v
     for name, q in (("p5", 0.05), ("p50", 0.5), ("p90", 0.9)):
         expected = valid.quantile(q).reindex(got.index)
@@ -34,7 +33,7 @@ def test_quantiles_are_exact_for_hot_and_cold_groups(skewed, limit):
 
 def test_global_quantile_without_keys(skewed):
     pdf, df = skewed
-    got = exact_quantiles(df, [], WANTED[-1:], max_group_rows=0).first()[0]
+    got = exact_quantiles(df, [], WANTED[-1:]).first()[0]
     assert got == pytest.approx(pdf.v.quantile(0.9), abs=1e-12)
 
 

@@ -108,11 +108,6 @@ def test_mart_is_dense_reconciled_and_suppressed(silver):
     assert empty["completed_trip_count"] == 0 and empty["trip_km_p50"] is None and empty["trip_km_invalid_or_missing_share"] is None
 
 
-def test_split_group_mart_equals_the_plain_one(silver, rows):
-    args = dict(zones=[1, 2], start=START, end=END, minutes=30, platforms=["HV0003", "HV0005"], min_n=1)
-    assert rows(mart.build_mart(silver, **args)) == rows(mart.build_mart(silver, max_group_rows=0, **args))
-
-
 def test_context_falls_back_level_by_level(silver):
     built = context.build_context(silver, zones=[1, 2], train_end=END, min_n=3)
     assert built.count() == 2 * 24 * 2
