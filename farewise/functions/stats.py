@@ -168,6 +168,16 @@ def t_ppf(prob, df) -> Column:
     return _t_ppf(_num(prob), _num(df))
 
 
+@F.pandas_udf(T.DoubleType())
+def _norm_cdf(x: pd.Series) -> pd.Series:
+    return _on_present(np.vectorize(NormalDist().cdf, otypes=[float]), x)
+
+
+def norm_cdf(x) -> Column:
+    """Standard normal distribution function."""
+    return _norm_cdf(_num(x))
+
+
 def norm_ppf(prob) -> Column:
     return _norm_ppf(_num(prob))
 

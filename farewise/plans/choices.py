@@ -398,19 +398,39 @@ def e13(spark, sf):
     return shown(_theta_errors(spark, inference.day_cr1_covariance(df, model, gram), model))
 
 
-PLUS_TEN = {"scenario_id": "x_plus_10", "multiplier_x0": 1.0, "multiplier_y0": 1.0, "multiplier_x1": 1.1, "multiplier_y1": 1.0, "n_sessions": 10000}
+PLUS_TEN = {"scenario_id": "x_plus_10", "multiplier_x0": 1.0, "multiplier_y0": 1.0, "multiplier_x1": 1.1, "multiplier_y1": 1.0, "n_sessions": 10000.0}
 _D = math.log(1.1)
 _MEANS = f"SELECT [{', '.join(f'SUM(w * {z}) / SUM(w)' for z in Z)}] AS c FROM train"
-_POINTS = "SELECT " + ", ".join(f"list_dot_product(list_transform(m[3:{_WIDTH}], lambda r: r[{_WIDTH + j + 1}]), c) AS b_{s}, m[1][{_WIDTH + j + 1}] AS th_{s}" for j, s in enumerate("xy")) + f" FROM fit, means WHERE k = {_WIDTH}"
+_POINTS = "SELECT " + ", ".join(f"list_dot_product(list_transform(m[3:{_WIDTH}], lambda r: r[{_WIDTH + j + 1}]), c) AS b_{s}, m[1][{_WIDTH + j + 1}] AS th_{s}, m[2][{_WIDTH + j + 1}] AS thy_{s}" for j, s in enumerate("xy")) + f" FROM fit, means WHERE k = {_WIDTH}"
 # Gradients apply to the X and Y score vectors: base = (0, 0, means), price = first unit vector.
 _PROJ = "SELECT *, " + ", ".join(f"list_dot_product(load[3:{_WIDTH}], (SELECT c FROM means)) * e_{s} / (1 - lev) AS base_{s}, load[1] * e_{s} / (1 - lev) AS price_{s}, load[2] * e_{s} / (1 - lev) AS pricey_{s}" for s in "xy") + " FROM scored"
-_DELTA = f"""
-SELECT 'before_probability' AS metric, 'X' AS outcome, b_x AS point, (SELECT SQRT(SUM(POW(base_x, 2))) FROM proj) AS standard_error FROM pts
-UNION ALL SELECT 'after_probability', 'X', b_x + th_x * {_D!r}::DOUBLE, (SELECT SQRT(SUM(POW(base_x + {_D!r}::DOUBLE * price_x, 2))) FROM proj) FROM pts
-UNION ALL SELECT 'before_probability', 'NONE', 1 - b_x - b_y, (SELECT SQRT(SUM(POW(base_x + base_y, 2))) FROM proj) FROM pts
-UNION ALL SELECT 'delta_percentage_points', 'Y', 100 * th_y * {_D!r}::DOUBLE, (SELECT SQRT(SUM(POW(100 * {_D!r}::DOUBLE * price_y, 2))) FROM proj) FROM pts
-UNION ALL SELECT 'delta_expected_bookings', 'ALL', 10000::DOUBLE * (th_x + th_y) * {_D!r}::DOUBLE, (SELECT SQRT(SUM(POW(10000::DOUBLE * {_D!r}::DOUBLE * (price_x + price_y), 2))) FROM proj) FROM pts
-UNION ALL SELECT 'elasticity', 'X/X', th_x / b_x, (SELECT SQRT(SUM(POW(price_x / (SELECT b_x FROM pts) - (SELECT th_x / (b_x * b_x) FROM pts) * base_x, 2))) FROM proj) FROM pts"""
+_N = 10000.0
+
+
+def _delta_rows():
+    """(metric, outcome, point, gradient projected on the score vectors) of every interval row."""
+    p0 = {"X": ("b_x", "base_x"), "Y": ("b_y", "base_y"), "NONE": ("(1 - b_x - b_y)", "(base_x + base_y)")}
+    up = {"X": (f"th_x * {_D!r}", f"price_x * {_D!r}"), "Y": (f"th_y * {_D!r}", f"price_y * {_D!r}"), "NONE": (f"(-(th_x + th_y) * {_D!r})", f"(price_x + price_y) * {_D!r}")}
+    for o in p0:
+        (p, g), (d, h) = p0[o], up[o]
+        yield "before_probability", o, p, g
+        yield "after_probability", o, f"{p} + {d}", f"{g} + {h}"
+        yield "delta_percentage_points", o, f"100 * {d}", f"100 * {h}"
+        yield "before_expected_choices", o, f"{_N} * {p}", f"{_N} * {g}"
+        yield "after_expected_choices", o, f"{_N} * ({p} + {d})", f"{_N} * ({g} + {h})"
+        yield "delta_expected_choices", o, f"{_N} * {d}", f"{_N} * {h}"
+    yield "before_expected_bookings", "ALL", f"{_N} * (b_x + b_y)", f"{_N} * (base_x + base_y)"
+    yield "after_expected_bookings", "ALL", f"{_N} * (b_x + b_y + (th_x + th_y) * {_D!r})", f"{_N} * (base_x + base_y + (price_x + price_y) * {_D!r})"
+    yield "delta_expected_bookings", "ALL", f"{_N} * (th_x + th_y) * {_D!r}", f"{_N} * (price_x + price_y) * {_D!r}"
+    for s in "xy":
+        for th, price, label in ((f"th_{s}", f"price_{s}", "X"), (f"thy_{s}", f"pricey_{s}", "Y")):
+            yield "theta", f"{s.upper()}/{label}", th, price
+            yield "elasticity", f"{s.upper()}/{label}", f"(CASE WHEN b_{s} >= 0.05 THEN {th} / b_{s} END)", f"CASE WHEN b_{s} >= 0.05 THEN {price} / b_{s} - {th} / (b_{s} * b_{s}) * base_{s} END"
+
+
+_DELTA = " UNION ALL ".join(
+    f"SELECT '{m}' AS metric, '{o}' AS outcome, ANY_VALUE({p})::DOUBLE AS point, SQRT(SUM(POW({g}, 2))) AS standard_error FROM proj, pts" for m, o, p, g in _delta_rows()
+)
 _TQ = recursive(tq=t_quantiles("tq_in"))
 
 
@@ -419,10 +439,9 @@ def e14(spark, sf):
     df, gram, model = fitted(spark, sf)
     covariance = inference.hc3_covariance(df, model, gram)
     controls, _ = inference.mean_controls(df, model)
-    rows = inference.delta_intervals(spark, model, covariance, controls, [PLUS_TEN])
-    wanted = [("before_probability", "X"), ("after_probability", "X"), ("before_probability", "NONE"), ("delta_percentage_points", "Y"), ("delta_expected_bookings", "ALL"), ("elasticity", "X/X")]
-    keep = F.concat_ws("|", "metric", "outcome").isin(["|".join(p) for p in wanted])
-    return shown(rows.filter(keep).select("metric", "outcome", "point", "standard_error", "lower", "upper"), 5)
+    requests = spark.createDataFrame([PLUS_TEN], ", ".join(f"{c} {'string' if c == 'scenario_id' else 'double'}" for c in PLUS_TEN))
+    rows = inference.delta_intervals(requests, model, covariance, controls)
+    return shown(rows.select("metric", "outcome", "point", "standard_error", "lower", "upper"), 5)
 
 
 @query("E15_contrast_identified", on_blocks("SELECT ABS(log_multiplier_y - 0.5 * log_multiplier_x) < 1e-8 AS identified, COUNT(*) AS n FROM blocks GROUP BY 1"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import fingerprint, hash_uniform, is_finite, safe_div, weighted_mean
-from farewise.functions.stats import binom_test, clopper_pearson, holm_adjust, t_ppf
+from farewise.functions.stats import binom_test, clopper_pearson, holm_adjust, norm_ppf, t_ppf
 from farewise.operators import estimate, evaluate, mnl, policy, resample
 from farewise.plans.catalogue import query, shown, sql_shown
 from farewise.plans.choices import (
@@ -25,7 +25,7 @@ from farewise.plans.choices import (
     train,
 )
 from farewise.plans.scenarios import _TH
-from farewise.plans.sqlkit import binomial_terms, clopper_bounds, recursive, t_quantiles
+from farewise.plans.sqlkit import binomial_terms, clopper_bounds, normal_quantiles, recursive, t_quantiles
 from farewise.sources import bindings
 from farewise.sources.bindings import with_views
 
@@ -414,6 +414,16 @@ def n12_gates(spark, sf):
 
 # --- distribution functions ---------------------------------------------------------------
 
+_RETURNED = "SELECT l_suppkey AS id, AVG((l_returnflag = 'R')::INT)::DOUBLE AS p FROM lineitem GROUP BY 1"
+_NQ = ", ".join(f"{name} AS ({sql})" for name, sql in recursive(nq=normal_quantiles("nq_in")).items())
+
+
+@query("R01_norm_ppf", sql_shown(f"WITH RECURSIVE nq_in AS (SELECT * FROM ({_RETURNED}) WHERE p > 0 AND p < 1), {_NQ} SELECT id AS l_suppkey, (lo + hi) / 2 AS quantile FROM nq WHERE step = 48", {"l_suppkey": "i", "quantile": "r"}))
+def r01_norm(spark, sf):
+    shares = bindings.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.avg((F.col("l_returnflag") == "R").cast("int")).alias("p"))
+    return shown(shares.filter("p > 0 and p < 1").select("l_suppkey", norm_ppf("p").alias("quantile")))
+
+
 @query("R01_t_ppf", sql_shown("WITH RECURSIVE tq_in AS (SELECT l_suppkey AS id, 0.975::DOUBLE AS p, (COUNT(*) - 1)::DOUBLE AS df FROM lineitem GROUP BY 1), " + ", ".join(f"{n} AS ({b})" for n, b in _TQ.items()) + " SELECT id AS l_suppkey, df, hi AS critical FROM tq WHERE step = 48", {"l_suppkey": "i", "df": "r", "critical": "r"}))
 def r01(spark, sf):
     counts = bindings.table(spark, sf, "lineitem").groupBy("l_suppkey").agg((F.count(F.lit(1)) - 1).alias("df"))

@@ -190,8 +190,17 @@ def test_delta_intervals_withhold_small_baselines(spark, noisy):
     gram, active, constants = estimate.collect_gram(df, CONTROLS)
     model = estimate.fit_from_gram(gram, "adjusted_ols", active, constants)
     controls, _ = inference.mean_controls(df, model)
-    request = {"scenario_id": "s", "multiplier_x0": 1.0, "multiplier_y0": 1.0, "multiplier_x1": 1.1, "multiplier_y1": 1.0, "n_sessions": 100}
-    rows = inference.delta_intervals(spark, model, inference.hc3_covariance(df, model, gram), controls, [request], floor=0.3).collect()
+    requests = spark.createDataFrame([("s", 1.0, 1.0, 1.1, 1.0, 100), ("t", 1.2, 0.9, 1.1, 1.0, 7)], "scenario_id string, multiplier_x0 double, multiplier_y0 double, multiplier_x1 double, multiplier_y1 double, n_sessions bigint")
+    covariance = inference.hc3_covariance(df, model, gram)
+    rows = inference.delta_intervals(requests, model, covariance, controls, floor=0.3).collect()
+    # The same gradients over all coefficients, one request at a time.
+    size = 2 + len(controls)
+    for r in requests.collect():
+        before, after = (np.r_[np.log([x, y]), controls] for x, y in ((r.multiplier_x0, r.multiplier_y0), (r.multiplier_x1, r.multiplier_y1)))
+        gradient = np.r_[after - before, np.zeros(size)] * 100
+        row = next(x for x in rows if (x.scenario_id, x.metric, x.outcome) == (r.scenario_id, "delta_percentage_points", "X"))
+        assert row["standard_error"] == pytest.approx(np.sqrt(gradient @ covariance.matrix @ gradient))
+    rows = [r for r in rows if r.scenario_id == "s"]
     by = {(r["metric"], r["outcome"]): r for r in rows}
     assert by[("elasticity", "Y/Y")]["point"] is None and by[("elasticity", "X/X")]["point"] < 0
     same = by[("delta_percentage_points", "X")]
