@@ -22,17 +22,26 @@ def quote_terms(requests: DataFrame, fares: DataFrame) -> DataFrame:
     return priced.select("request_id", "service_id", F.col("created_at").alias("quote_at"), F.col("amount").alias("displayed_fare"))
 
 
+def _priced(rows: DataFrame, roster: DataFrame, fares: DataFrame) -> DataFrame:
+    """Fare and driver of each row; a row whose service or vehicle is unknown stays and says so."""
+    drivers = roster.select("vehicle_id", "driver_id", "shift_id", F.lit(True).alias("_rostered"))
+    joined = rows.join(fares.select("service_id", "amount"), "service_id", "left").join(drivers, "vehicle_id", "left")
+    status = F.when(F.col("_rostered").isNull(), "unknown_vehicle").when(F.col("amount").isNull(), "unknown_service").otherwise("ok")
+    return joined.withColumn("terms_status", status)
+
+
+def _payable(amount: str = "amount") -> Column:
+    return F.when(F.col("terms_status") == "ok", F.col(amount))
+
+
 def pay_terms(requests: DataFrame, roster: DataFrame, fares: DataFrame) -> DataFrame:
-    """Driver pay frozen at assignment, for assigned requests only."""
-    assigned = requests.filter(F.col("assigned_at").isNotNull())
-    driver = roster.select("vehicle_id", "driver_id", "shift_id")
-    return (
-        assigned.join(fares.select("service_id", "amount"), "service_id")
-        .join(driver, "vehicle_id")
-        .select(
-            "request_id", "vehicle_id", "driver_id", "shift_id", "service_id",
-            F.col("assigned_at").alias("offer_at"), F.col("amount").alias("offered_driver_pay"),
-        )
+    """Driver pay frozen at assignment, for assigned requests only.
+
+    Pay is NULL, with the reason in `terms_status`, where the vehicle or the service is unknown.
+    """
+    return _priced(requests.filter(F.col("assigned_at").isNotNull()), roster, fares).select(
+        "request_id", "vehicle_id", "driver_id", "shift_id", "service_id",
+        F.col("assigned_at").alias("offer_at"), _payable().alias("offered_driver_pay"), "terms_status",
     )
 
 
@@ -42,24 +51,27 @@ def settle_ledger(
     """One ledger row per completion event inside the half-open window.
 
     Completions before the window were paid by their own window and are not read again, so
-    consecutive windows settle every trip exactly once.
+    consecutive windows settle every trip exactly once. A completion of an unknown vehicle or service
+    keeps its row, unpaid and marked in `terms_status`.
     """
     done = events.filter((F.col("state") == "completed") & within("event_ts", start, end))
     ledger_id = F.sha2(F.concat_ws("|", F.col("request_id").cast("string"), F.col("event_ts").cast("string"), F.lit(terms_version)), 256)
-    return (
-        done.join(fares.select("service_id", "amount"), "service_id")
-        .join(roster.select("vehicle_id", "driver_id", "shift_id"), "vehicle_id")
-        .select(
-            ledger_id.alias("ledger_id"), "request_id", "vehicle_id", "driver_id", "shift_id", "service_id",
-            F.col("event_ts").alias("completed_at"), F.col("amount").alias("rider_payment"), F.col("amount").alias("driver_pay"),
-        )
+    return _priced(done, roster, fares).select(
+        ledger_id.alias("ledger_id"), "request_id", "vehicle_id", "driver_id", "shift_id", "service_id",
+        F.col("event_ts").alias("completed_at"), F.col("amount").alias("rider_payment"), _payable().alias("driver_pay"), "terms_status",
     )
 
 
-def settlement_violations(events: DataFrame, requests: DataFrame) -> DataFrame:
-    """(check, violations): completion events against request records, both directions."""
+def settlement_violations(
+    events: DataFrame, requests: DataFrame, roster: DataFrame | None = None, fares: DataFrame | None = None
+) -> DataFrame:
+    """(check, violations): completion events against request records, both directions.
+
+    With a roster or fares, completions of vehicles or services they lack are counted too.
+    """
     completions = events.filter("state = 'completed'").groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("n_events"), F.min("event_ts").alias("event_at"), F.max("vehicle_id").alias("event_vehicle")
+        F.count(F.lit(1)).alias("n_events"), F.min("event_ts").alias("event_at"), F.max("vehicle_id").alias("event_vehicle"),
+        F.max("service_id").alias("event_service"),
     )
     both = requests.select("request_id", "state", "assigned_at", "completed_at", "created_at", "vehicle_id", F.lit(True).alias("known")).join(
         completions, "request_id", "full_outer"
@@ -77,6 +89,11 @@ def settlement_violations(events: DataFrame, requests: DataFrame) -> DataFrame:
         "unassigned_completion": finished & F.col("assigned_at").isNull(),
         "time_order": times,
     }
+    for table, key, rule in ((roster, "vehicle", "unknown_vehicle"), (fares, "service", "unknown_service")):
+        if table is not None:
+            listed = table.select(F.col(f"{key}_id").alias(f"event_{key}"), F.lit(True).alias(f"_{key}")).distinct()
+            both = both.join(listed, f"event_{key}", "left")
+            rules[rule] = has_event & F.col(f"_{key}").isNull()
     row = both.agg(*[F.count_if(bad).alias(name) for name, bad in rules.items()])
     return row.unpivot([], list(rules), "check", "violations")
 
@@ -96,7 +113,7 @@ def driver_income(roster: DataFrame, ledger: DataFrame, presence: DataFrame) ->
 
     The ledger is aggregated per vehicle before the joins, so one busy vehicle is one row.
     """
-    paid = ledger.groupBy("vehicle_id").agg(F.count(F.lit(1)).alias("completed_trips"), F.sum("driver_pay").alias("total_driver_pay"))
+    paid = ledger.groupBy("vehicle_id").agg(F.count("driver_pay").alias("completed_trips"), F.sum("driver_pay").alias("total_driver_pay"))
     joined = roster.select("vehicle_id", "driver_id", "shift_id").join(paid, "vehicle_id", "left").join(presence.select("vehicle_id", "presence_hours"), "vehicle_id", "left")
     filled = joined.fillna(0, ["completed_trips"]).fillna(0.0, ["total_driver_pay", "presence_hours"])
     present = F.col("presence_hours") > 0
@@ -108,10 +125,16 @@ def driver_income(roster: DataFrame, ledger: DataFrame, presence: DataFrame) ->
     )
 
 
-def earnings_summary(quotes: DataFrame, terms: DataFrame, ledger: DataFrame, income: DataFrame) -> DataFrame:
-    """One row of totals for the window."""
-    count = lambda df: df.agg(F.count(F.lit(1))).scalar()
-    return income.agg(F.sum("total_driver_pay").alias("total_driver_pay"), F.sum("presence_hours").alias("presence_hours")).select(
-        count(quotes).alias("quoted_requests"), count(terms).alias("assigned_terms"), count(ledger).alias("settled_trips"),
-        "total_driver_pay", "presence_hours", safe_div("total_driver_pay", "presence_hours").alias("pay_per_presence_hour"),
+def earnings_summary(requests: DataFrame, roster: DataFrame, fares: DataFrame, ledger: DataFrame, income: DataFrame) -> DataFrame:
+    """One row of totals for the window; quotes and terms are counted in one pass over the requests."""
+    priced = _priced(requests, roster, fares)
+    assigned = F.col("assigned_at").isNotNull()
+    known = F.col("terms_status") == "ok"
+    quotes = priced.agg(F.count("amount").alias("q"), F.count_if(assigned & known).alias("a")).select(F.struct("q", "a")).scalar()
+    settled = ledger.agg(F.count_if(known).alias("s"), F.count_if(~known).alias("u")).select(F.struct("s", "u")).scalar()
+    totals = income.agg(F.sum("total_driver_pay").alias("total_driver_pay"), F.sum("presence_hours").alias("presence_hours"))
+    return totals.withColumns({"_q": quotes, "_s": settled}).select(
+        F.col("_q.q").alias("quoted_requests"), F.col("_q.a").alias("assigned_terms"), F.col("_s.s").alias("settled_trips"),
+        F.col("_s.u").alias("unsettled_trips"), "total_driver_pay", "presence_hours",
+        safe_div("total_driver_pay", "presence_hours").alias("pay_per_presence_hour"),
     )

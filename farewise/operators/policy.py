@@ -154,19 +154,20 @@ def _passes() -> Column:
 
 def decide(
     summary: DataFrame, guardrails: DataFrame, metric: str, minimum_gain: float, maximize: bool = True,
-    declared: str = "declared_rules",
+    declared: str = "declared_rules", order: str | None = None,
 ) -> DataFrame:
     """Per candidate: conservative gain, reasons, status and whether it is selected.
 
     Every guardrail must hold under every sensitivity, the objective must stay robust under
-    each of them, and the best qualifying score wins with ties in policy order.
+    each of them, and the best qualifying score wins. Ties go to the policy declared first: the least
+    value of column `order` of the summary, the policy name where no order is declared.
     """
     sign = 1.0 if maximize else -1.0
     bound = F.col("model_delta_lower" if maximize else "model_delta_upper") * sign
     robust = F.col("delta_lower" if maximize else "delta_upper") * sign
     objective = summary.filter(F.col("metric") == metric)
     head = objective.filter(F.col("sensitivity_id") == declared).select(
-        "policy_id", F.col("target_mean").alias("score"), bound.alias("conservative_gain"),
+        "policy_id", F.col(order or "policy_id").alias("_order"), F.col("target_mean").alias("score"), bound.alias("conservative_gain"),
         F.array_compact(
             F.array(
                 F.when(F.coalesce("interval_status", F.lit("")) != "available", F.lit("interval unavailable or unstable")),
@@ -180,30 +181,38 @@ def decide(
     failed = checked.filter(~F.col("passed")).select("policy_id", F.concat(F.lit("guardrail "), "metric", F.lit(" failed under "), "sensitivity_id").alias("reason"))
     problems = fragile.unionByName(failed).groupBy("policy_id").agg(F.array_sort(F.collect_list("reason")).alias("other"))
     out = head.join(problems, "policy_id", "left").select(
-        "policy_id", "score", "conservative_gain",
+        "policy_id", "_order", "score", "conservative_gain",
         F.concat("own", F.coalesce("other", F.array().cast("array<string>"))).alias("reasons"),
     )
     qualifies = F.size("reasons") == 0
-    order = Window.partitionBy(qualifies).orderBy((F.col("score") * sign).desc(), "policy_id")
+    best = Window.partitionBy(qualifies).orderBy((F.col("score") * sign).desc(), "_order", "policy_id")
     return out.withColumns(
         {
             "status": F.when(qualifies, "development_candidate").otherwise("not_recommended"),
-            "selected": qualifies & (F.row_number().over(order) == 1),
+            "selected": qualifies & (F.row_number().over(best) == 1),
         }
-    )
+    ).drop("_order")
+
 
+def frozen_regret(
+    summary: DataFrame, guardrails: DataFrame, metric: str, chosen: str, maximize: bool = True,
+    declared: str = "declared_rules", order: str | None = None,
+) -> DataFrame:
+    """Regret of an already chosen policy against the best feasible one; nothing is reselected.
 
-def frozen_regret(summary: DataFrame, guardrails: DataFrame, metric: str, chosen: str, maximize: bool = True) -> DataFrame:
-    """Regret of an already chosen policy against the best feasible one; nothing is reselected."""
+    A policy is feasible when every guardrail holds under every sensitivity of the summary; values
+    are those of the declared one. Ties go to the policy declared first.
+    """
     sign = 1.0 if maximize else -1.0
     complete = summary.filter((F.col("unavailable_pairs") == 0) & F.col("target_mean").isNotNull())
-    scores = complete.filter(F.col("metric") == metric).select("policy_id", F.col("target_mean").alias("value"))
-    checks = guardrails.agg(F.count(F.lit(1))).scalar()
-    passed = complete.join(guardrails, "metric").filter(_passes()).groupBy("policy_id").agg(F.count(F.lit(1)).alias("n"))
-    feasible = F.coalesce("n", F.lit(0)) == checks
-    marked = scores.join(passed, "policy_id", "left").withColumn("feasible", feasible)
+    objective = complete.filter((F.col("metric") == metric) & (F.col("sensitivity_id") == declared))
+    scores = objective.select("policy_id", F.col(order or "policy_id").alias("_order"), F.col("target_mean").alias("value"))
+    held = summary.join(guardrails, "metric").groupBy("policy_id", "metric").agg((F.count_if(~_passes()) == 0).alias("held"))
+    kept = held.groupBy("policy_id").agg(F.count_if("held").alias("n"))
+    checks = guardrails.select("metric").distinct().agg(F.count(F.lit(1))).scalar()
+    marked = scores.join(kept, "policy_id", "left").withColumn("feasible", F.coalesce("n", F.lit(0)) == checks)
     best = marked.agg(
-        F.min_by("policy_id", F.when(F.col("feasible"), F.struct(-F.col("value") * sign, "policy_id"))).alias("best_policy_id"),
+        F.min_by("policy_id", F.when(F.col("feasible"), F.struct(-F.col("value") * sign, "_order", "policy_id"))).alias("best_policy_id"),
         F.max(F.when(F.col("feasible"), F.col("value") * sign)).alias("best"),
         F.max(F.when(F.col("policy_id") == chosen, F.col("value"))).alias("chosen_value"),
         F.coalesce(F.max(F.when(F.col("policy_id") == chosen, F.col("feasible"))), F.lit(False)).alias("chosen_feasible"),

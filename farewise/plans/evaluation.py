@@ -129,13 +129,12 @@ def l04(spark, sf):
     return shown(out.withColumn("n_reasons", F.size("reasons")).drop("reasons"), 3)
 
 
-_FEAS = f"SELECT policy_id, target_mean AS v, (SELECT COUNT(*) FROM gr) = (SELECT COUNT(*) FROM full_summary f2 JOIN gr USING (metric) WHERE f2.policy_id = f.policy_id AND f2.sensitivity_id = 'declared_rules' AND {_PASS}) AS ok FROM full_summary f WHERE metric = 'total_driver_pay' AND sensitivity_id = 'declared_rules' AND unavailable_pairs = 0"
+_FEAS = f"SELECT policy_id, target_mean AS v, NOT EXISTS (SELECT 1 FROM full_summary f2 JOIN gr USING (metric) WHERE f2.policy_id = f.policy_id AND NOT (f2.unavailable_pairs = 0 AND f2.target_mean IS NOT NULL AND ({_PASS}))) AS ok FROM full_summary f WHERE metric = 'total_driver_pay' AND sensitivity_id = 'declared_rules' AND unavailable_pairs = 0"
 
 
 @query("L05_frozen_regret", sql_shown(with_views("SELECT '4' AS chosen_policy_id, (SELECT v FROM fe WHERE policy_id = '4') AS chosen_value, (SELECT ok FROM fe WHERE policy_id = '4') AS chosen_feasible, (SELECT policy_id FROM fe WHERE ok ORDER BY v DESC, policy_id LIMIT 1) AS best_policy_id, (SELECT MAX(v) FROM fe WHERE ok) AS best_value, CASE WHEN (SELECT ok FROM fe WHERE policy_id = '4') THEN (SELECT MAX(v) FROM fe WHERE ok) - (SELECT v FROM fe WHERE policy_id = '4') END AS regret", "trajectories", **_DECIDE, fe=_FEAS), {"chosen_policy_id": "", "chosen_value": "r3", "chosen_feasible": "", "best_policy_id": "", "best_value": "r3", "regret": "r3"}))
 def l05(spark, sf):
-    declared = full_summary(spark, sf).filter("sensitivity_id = 'declared_rules'")
-    return shown(policy.frozen_regret(declared, guardrails(spark), "total_driver_pay", "4"), 3)
+    return shown(policy.frozen_regret(full_summary(spark, sf), guardrails(spark), "total_driver_pay", "4"), 3)
 
 
 def zone_counts(spark, sf) -> DataFrame:

@@ -205,7 +205,9 @@ def fares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _FARES = "SELECT service_id, f * CASE service_id WHEN 'X' THEN 1.1 ELSE 0.9 END AS amount FROM (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'X' ELSE 'Y' END AS service_id, AVG(p_retailprice) / 100 AS f FROM part GROUP BY 1)"
-_LEDGER = f"SELECT SHA256(request_id || '|' || CAST(event_ts AS VARCHAR) || '|v1') AS ledger_id, request_id, vehicle_id, 'd' || vehicle_id AS driver_id, service_id, event_ts AS completed_at, amount AS driver_pay FROM request_events JOIN fares USING (service_id) WHERE state = 'completed' AND event_ts >= {_S} AND event_ts < {_E} AND vehicle_id IN (SELECT s_suppkey FROM supplier)"
+_LEDGER = f"""SELECT SHA256(request_id || '|' || CAST(event_ts AS VARCHAR) || '|v1') AS ledger_id, request_id, vehicle_id, 'd' || s_suppkey AS driver_id, 's' || s_suppkey AS shift_id, service_id, event_ts AS completed_at,
+amount AS rider_payment, CASE WHEN s_suppkey IS NOT NULL THEN amount END AS driver_pay, CASE WHEN s_suppkey IS NULL THEN 'unknown_vehicle' WHEN amount IS NULL THEN 'unknown_service' ELSE 'ok' END AS terms_status
+FROM request_events LEFT JOIN fares USING (service_id) LEFT JOIN supplier ON vehicle_id = s_suppkey WHERE state = 'completed' AND event_ts >= {_S} AND event_ts < {_E}"""
 
 
 def on_pay(body: str, **extra: str) -> str:
@@ -222,7 +224,7 @@ def j02(spark, sf):
     return shown(earnings.quote_terms(ops.request_lifecycle(events(spark, sf)), fares(spark, sf)))
 
 
-@query("J03_pay_terms", sql_shown(on_pay("SELECT request_id, vehicle_id, 'd' || vehicle_id AS driver_id, service_id, assigned_at AS offer_at, amount AS offered_driver_pay FROM life JOIN fares USING (service_id) WHERE assigned_at IS NOT NULL AND vehicle_id IN (SELECT s_suppkey FROM supplier)"), {"request_id": "i", "vehicle_id": "i", "driver_id": "", "service_id": "", "offer_at": "t", "offered_driver_pay": "r"}))
+@query("J03_pay_terms", sql_shown(on_pay("SELECT request_id, vehicle_id, 'd' || s_suppkey AS driver_id, service_id, assigned_at AS offer_at, CASE WHEN s_suppkey IS NOT NULL THEN amount END AS offered_driver_pay, CASE WHEN s_suppkey IS NULL THEN 'unknown_vehicle' WHEN amount IS NULL THEN 'unknown_service' ELSE 'ok' END AS terms_status FROM life LEFT JOIN fares USING (service_id) LEFT JOIN supplier ON vehicle_id = s_suppkey WHERE assigned_at IS NOT NULL"), {"request_id": "i", "vehicle_id": "i", "driver_id": "", "service_id": "", "offer_at": "t", "offered_driver_pay": "r", "terms_status": ""}))
 def j03(spark, sf):
     return shown(earnings.pay_terms(ops.request_lifecycle(events(spark, sf)), fleet(spark, sf), fares(spark, sf)).drop("shift_id"))
 
@@ -231,14 +233,16 @@ def ledger(spark, sf) -> DataFrame:
     return earnings.settle_ledger(events(spark, sf), fleet(spark, sf), fares(spark, sf), *bounds())
 
 
-@query("J04_settle_ledger", sql_shown(on_pay("SELECT * FROM ledger"), {"ledger_id": "", "request_id": "i", "vehicle_id": "i", "driver_id": "", "service_id": "", "completed_at": "t", "driver_pay": "r"}))
+@query("J04_settle_ledger", sql_shown(on_pay("SELECT * FROM ledger"), {"ledger_id": "", "request_id": "i", "vehicle_id": "i", "driver_id": "", "service_id": "", "completed_at": "t", "rider_payment": "r", "driver_pay": "r", "shift_id": "", "terms_status": ""}))
 def j04(spark, sf):
-    return shown(ledger(spark, sf).drop("shift_id", "rider_payment"))
+    return shown(ledger(spark, sf))
 
 
 @query("J05_settlement_violations", on_requests("""SELECT 'duplicate_completion' AS "check", COUNT(*) FILTER (WHERE state = 'completed' AND request_id % 50 = 1) AS violations FROM life UNION ALL SELECT 'unknown_request', 0 UNION ALL SELECT 'missing_completion', COUNT(*) FILTER (WHERE state = 'completed' AND request_id % 50 = 0) FROM life
 UNION ALL SELECT 'unexpected_completion', COUNT(*) FILTER (WHERE state = 'completed' AND request_id % 50 = 4) FROM life UNION ALL SELECT 'time_mismatch', COUNT(*) FILTER (WHERE state = 'completed' AND request_id % 50 = 2) FROM life UNION ALL SELECT 'vehicle_mismatch', COUNT(*) FILTER (WHERE state = 'completed' AND request_id % 50 = 3) FROM life
-UNION ALL SELECT 'unassigned_completion', 0 UNION ALL SELECT 'time_order', 0"""))
+UNION ALL SELECT 'unassigned_completion', 0 UNION ALL SELECT 'time_order', 0
+UNION ALL SELECT 'unknown_vehicle', COUNT(*) FILTER (WHERE state = 'completed' AND request_id % 50 <> 0 AND (vehicle_id + CASE WHEN request_id % 50 = 3 THEN 1000 ELSE 0 END) NOT IN (SELECT s_suppkey FROM supplier)) FROM life
+UNION ALL SELECT 'unknown_service', COUNT(*) FILTER (WHERE state = 'completed' AND request_id % 50 <> 0 AND service_id = 'Y') FROM life"""))
 def j05(spark, sf):
     log = events(spark, sf)
     records = ops.request_lifecycle(log).withColumn("state", F.when((F.col("state") == "completed") & (F.col("request_id") % 50 == 4), "on_trip").otherwise(F.col("state")))
@@ -249,7 +253,7 @@ def j05(spark, sf):
             "vehicle_id": F.when(done & (slot == 3), F.col("vehicle_id") + 1000).otherwise(F.col("vehicle_id")),
         }
     )
-    return earnings.settlement_violations(shifted.unionByName(shifted.filter(done & (slot == 1))), records)
+    return earnings.settlement_violations(shifted.unionByName(shifted.filter(done & (slot == 1))), records, fleet(spark, sf), fares(spark, sf).filter("service_id = 'X'"))
 
 
 _PRESENCE = "SELECT vehicle_id, COALESCE(SUM(duration_hours) FILTER (WHERE state <> 'offline'), 0) AS presence_hours, 0::BIGINT AS bad_durations FROM intervals GROUP BY 1"
@@ -260,7 +264,7 @@ def j06(spark, sf):
     return shown(earnings.presence_hours(intervals(spark, sf)), 5)
 
 
-_INCOME = "SELECT s_suppkey AS vehicle_id, 'd' || s_suppkey AS driver_id, COALESCE(t, 0) AS completed_trips, COALESCE(p, 0) AS total_driver_pay, COALESCE(presence_hours, 0) AS presence_hours, p0 / NULLIF(presence_hours, 0) AS pay_per_presence_hour, CASE WHEN presence_hours > 0 THEN 'ok' ELSE 'unavailable_zero_presence' END AS income_rate_status FROM (SELECT s_suppkey, t, p, COALESCE(p, 0) AS p0, presence_hours FROM supplier LEFT JOIN (SELECT vehicle_id, COUNT(*) AS t, SUM(driver_pay) AS p FROM ledger GROUP BY 1) l ON l.vehicle_id = s_suppkey LEFT JOIN presence q ON q.vehicle_id = s_suppkey)"
+_INCOME = "SELECT s_suppkey AS vehicle_id, 'd' || s_suppkey AS driver_id, COALESCE(t, 0) AS completed_trips, COALESCE(p, 0) AS total_driver_pay, COALESCE(presence_hours, 0) AS presence_hours, p0 / NULLIF(presence_hours, 0) AS pay_per_presence_hour, CASE WHEN presence_hours > 0 THEN 'ok' ELSE 'unavailable_zero_presence' END AS income_rate_status FROM (SELECT s_suppkey, t, p, COALESCE(p, 0) AS p0, presence_hours FROM supplier LEFT JOIN (SELECT vehicle_id, COUNT(driver_pay) AS t, SUM(driver_pay) AS p FROM ledger GROUP BY 1) l ON l.vehicle_id = s_suppkey LEFT JOIN presence q ON q.vehicle_id = s_suppkey)"
 
 
 def income(spark, sf) -> DataFrame:
@@ -272,12 +276,10 @@ def j07(spark, sf):
     return shown(income(spark, sf).drop("shift_id"), 4)
 
 
-@query("J08_earnings_summary", sql_shown(on_pay("SELECT (SELECT COUNT(*) FROM life) AS quoted_requests, (SELECT COUNT(*) FROM life WHERE assigned_at IS NOT NULL AND vehicle_id IN (SELECT s_suppkey FROM supplier)) AS assigned_terms, (SELECT COUNT(*) FROM ledger) AS settled_trips, SUM(total_driver_pay) AS total_driver_pay, SUM(presence_hours) AS presence_hours, SUM(total_driver_pay) / SUM(presence_hours) AS pay_per_presence_hour FROM income", presence=_PRESENCE, income=_INCOME), {"quoted_requests": "i", "assigned_terms": "i", "settled_trips": "i", "total_driver_pay": "r3", "presence_hours": "r3", "pay_per_presence_hour": "r3"}))
+@query("J08_earnings_summary", sql_shown(on_pay("SELECT (SELECT COUNT(*) FROM life) AS quoted_requests, (SELECT COUNT(*) FROM life WHERE assigned_at IS NOT NULL AND vehicle_id IN (SELECT s_suppkey FROM supplier)) AS assigned_terms, (SELECT COUNT(*) FILTER (WHERE terms_status = 'ok') FROM ledger) AS settled_trips, (SELECT COUNT(*) FILTER (WHERE terms_status <> 'ok') FROM ledger) AS unsettled_trips, SUM(total_driver_pay) AS total_driver_pay, SUM(presence_hours) AS presence_hours, SUM(total_driver_pay) / SUM(presence_hours) AS pay_per_presence_hour FROM income", presence=_PRESENCE, income=_INCOME), {"quoted_requests": "i", "assigned_terms": "i", "settled_trips": "i", "unsettled_trips": "i", "total_driver_pay": "r3", "presence_hours": "r3", "pay_per_presence_hour": "r3"}))
 def j08(spark, sf):
     life = ops.request_lifecycle(events(spark, sf))
-    quotes = earnings.quote_terms(life, fares(spark, sf))
-    terms = earnings.pay_terms(life, fleet(spark, sf), fares(spark, sf))
-    return shown(earnings.earnings_summary(quotes, terms, ledger(spark, sf), income(spark, sf)), 3)
+    return shown(earnings.earnings_summary(life, fleet(spark, sf), fares(spark, sf), ledger(spark, sf), income(spark, sf)), 3)
 
 
 # --- supply contrasts ---------------------------------------------------------------------

@@ -36,22 +36,25 @@ def q01(spark, sf):
 DEADLINE = 5 * 86400
 
 
-@query("Q02_stream_request_state", sql_shown(with_views(f"""SELECT request_id, service_id, CASE WHEN ended IS NOT NULL THEN state ELSE 'deadline_passed' END AS state, created_at, pickup_at, COALESCE(ended, created_at + INTERVAL '5 days') AS ended_at
-FROM (SELECT *, COALESCE(completed_at, canceled_at, expired_at) AS ended FROM life) WHERE ended IS NOT NULL OR created_at + INTERVAL '5 days' < (SELECT MAX(event_ts) FROM request_events) - INTERVAL '1 hour'""", "request_events", life=LIFE), {"request_id": "i", "service_id": "", "state": "", "created_at": "t", "pickup_at": "t", "ended_at": "t"}))
+_MARK = "(SELECT MAX(event_ts) FROM request_events) - INTERVAL '1 hour'"
+
+
+@query("Q02_stream_request_state", sql_shown(with_views(f"""SELECT request_id, service_id, CASE WHEN ended <= due THEN state ELSE 'deadline_passed' END AS state, created_at, pickup_at, CASE WHEN ended <= due THEN ended ELSE due END AS ended_at
+FROM (SELECT *, COALESCE(completed_at, canceled_at, expired_at) AS ended, created_at + INTERVAL '5 days' AS due FROM life) WHERE CASE WHEN ended <= due THEN ended ELSE due END < {_MARK}""", "request_events", life=LIFE), {"request_id": "i", "service_id": "", "state": "", "created_at": "t", "pickup_at": "t", "ended_at": "t"}))
 def q02(spark, sf):
     events = bindings.request_events(spark, sf, stream(spark, sf, "orders"))
     out = streams.run_to_table(streams.stream_request_state(events, DEADLINE), "requests")
     return shown(out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "pickup_at", "ended_at")}))
 
 
-@query("Q03_stream_ledger", sql_shown(with_views("SELECT request_id, vehicle_id, 'd' || vehicle_id AS driver_id, service_id, event_ts AS completed_at, amount AS driver_pay FROM request_events JOIN fares USING (service_id) WHERE state = 'completed' AND vehicle_id IN (SELECT s_suppkey FROM supplier)", "request_events", fares=_FARES), {"request_id": "i", "vehicle_id": "i", "driver_id": "", "service_id": "", "completed_at": "t", "driver_pay": "r"}))
+@query("Q03_stream_ledger", sql_shown(with_views("SELECT request_id, vehicle_id, 'd' || s_suppkey AS driver_id, service_id, event_ts AS completed_at, CASE WHEN s_suppkey IS NOT NULL THEN amount END AS driver_pay, CASE WHEN s_suppkey IS NULL THEN 'unknown_vehicle' WHEN amount IS NULL THEN 'unknown_service' ELSE 'ok' END AS terms_status FROM request_events LEFT JOIN fares USING (service_id) LEFT JOIN supplier ON vehicle_id = s_suppkey WHERE state = 'completed'", "request_events", fares=_FARES), {"request_id": "i", "vehicle_id": "i", "driver_id": "", "service_id": "", "completed_at": "t", "driver_pay": "r", "terms_status": ""}))
 def q03(spark, sf):
     events = bindings.request_events(spark, sf, stream(spark, sf, "orders"))
     replayed = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     return shown(streams.run_to_table(streams.stream_ledger(replayed, fleet(spark, sf), fares(spark, sf)), "ledger"))
 
 
-@query("Q04_stream_state_intervals", with_views('SELECT vehicle_id, state, EPOCH_US(start) AS start_us, EPOCH_US("end") AS end_us FROM intervals WHERE "end" < TIMESTAMP \'2024-01-31 00:00:00\'', "state_changes", intervals=INTERVALS))
+@query("Q04_stream_state_intervals", with_views('SELECT vehicle_id, state, EPOCH_US(start) AS start_us, EPOCH_US("end") AS end_us FROM intervals WHERE "end" < (SELECT MAX(ts) FROM state_changes) - INTERVAL \'1 hour\'', "state_changes", intervals=INTERVALS))
 def q04(spark, sf):
     changes = bindings.state_changes(spark, sf, stream(spark, sf, "events"))
     return streams.run_to_table(streams.stream_state_intervals(changes), "intervals")

@@ -55,74 +55,72 @@ def stream_slot_mart(silver: DataFrame, minutes: int = 30, delay: str = "1 hour"
     return counted.select("zone_id", start, "platform", *[c for c in counted.columns if c not in ("slot", "zone_id", "platform")])
 
 
-_REQUEST_OUT = T.StructType(
-    [
-        T.StructField("request_id", T.LongType()),
-        T.StructField("service_id", T.StringType()),
-        T.StructField("state", T.StringType()),
-        T.StructField("created_at", T.TimestampType()),
-        T.StructField("pickup_at", T.TimestampType()),
-        T.StructField("ended_at", T.TimestampType()),
-    ]
-)
-_REQUEST_STATE = T.StructType(
-    [
-        T.StructField("service_id", T.StringType()),
-        T.StructField("created_us", T.LongType()),
-        T.StructField("pickup_us", T.LongType()),
-    ]
-)
+_REQUEST_OUT = "request_id bigint, service_id string, state string, created_at timestamp, pickup_at timestamp, ended_at timestamp"
+_REQUEST_STATE = "service_id string, first_us bigint, created_us bigint, pickup_us bigint, ended_us bigint, ending string, closed boolean"
+# The states that end a request.
 _TERMINAL = ("completed", "canceled", "expired")
 
 
-def _micros(value) -> int | None:
-    return None if pd.isna(value) else int(pd.Timestamp(value).value // 1000)
+def _micros(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[us]").astype("int64")
 
 
 def _instant(us: int | None):
     return pd.NaT if us is None else pd.Timestamp(us, unit="us")
 
 
-def stream_request_state(events: DataFrame, deadline_seconds: int, delay: str = "1 hour") -> DataFrame:
-    """Carry open requests between batches; emit a request once, when it ends or times out.
+def _least(*values: int | None) -> int | None:
+    known = [v for v in values if v is not None]
+    return min(known) if known else None
 
-    State per open request is three values. A request that reaches no terminal state expires
-    when the watermark passes its creation plus the deadline.
+
+def stream_request_state(
+    events: DataFrame, deadline_seconds: int, delay: str = "1 hour", replay_seconds: int = 3600
+) -> DataFrame:
+    """Carry open requests between batches; emit a request once, when it ended or timed out for good.
+
+    State per open request is the earliest creation, pickup and end seen so far, so the order of
+    arrival within the delay does not matter. A request is emitted when the watermark passes its
+    end, or its creation plus the deadline if that comes first; events replayed within
+    `replay_seconds` of that meet a closed marker and change nothing.
     """
+    span = deadline_seconds * 1_000_000
 
     def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        def row(name, service, created, pickup, ended):
-            return pd.DataFrame(
+        held = state.get if state.exists else (None,) * 6 + (False,)
+        service, ending, closed = held[0], held[5], bool(held[6])
+        first, created, pickup, ended = (None if pd.isna(v) else int(v) for v in held[1:5])
+        if state.hasTimedOut and closed:
+            state.remove()
+            return
+        for batch in () if closed or state.hasTimedOut else batches:
+            if not len(batch):
+                continue
+            us, name = _micros(batch["at"]), batch["state"]
+            least = lambda mask, us=us: int(us[mask].min()) if mask.any() else None
+            service = _least_text(service, batch["service_id"])
+            first = _least(first, int(us.min()))
+            created = _least(created, least(name == "created"))
+            pickup = _least(pickup, least(name == "on_trip"))
+            over = least(name.isin(_TERMINAL))
+            if over is not None and (ended is None or over < ended):
+                ended, ending = over, str(name[name.isin(_TERMINAL) & (us == over)].iloc[0])
+        now = state.getCurrentWatermarkMs() * 1000
+        due = (first if created is None else created) + span
+        at = due if ended is None else min(ended, due)
+        if not closed and now > at:
+            ended, ending = (ended, ending) if ended is not None and ended <= due else (due, "deadline_passed")
+            yield pd.DataFrame(
                 {
-                    "request_id": [key[0]], "service_id": [service], "state": [name], "created_at": [_instant(created)],
+                    "request_id": [key[0]], "service_id": [service], "state": [ending], "created_at": [_instant(created)],
                     "pickup_at": [_instant(pickup)], "ended_at": [_instant(ended)],
                 }
             )
-
-        service, created, pickup = state.get if state.exists else (None, None, None)
-        if state.hasTimedOut:
-            state.remove()
-            yield row("deadline_passed", service, created, pickup, created + deadline_seconds * 1_000_000)
-            return
-        ended = None
-        for batch in batches:
-            for name, svc, at in zip(batch["state"], batch["service_id"], batch["at"]):
-                us, service = _micros(at), svc
-                if name == "created":
-                    created = us if created is None else min(created, us)
-                elif name == "on_trip":
-                    pickup = us if pickup is None else min(pickup, us)
-                elif name in _TERMINAL and (ended is None or us < ended[1]):
-                    ended = (name, us)
-        if ended:
-            if state.exists:
-                state.remove()
-            yield row(ended[0], service, created, pickup, ended[1])
-            return
-        state.update((service, created, pickup))
-        if created is not None:
-            due = (created + deadline_seconds * 1_000_000) // 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            closed, at = True, max(now, at) + replay_seconds * 1_000_000
+        elif closed:
+            at = max(at, now) + replay_seconds * 1_000_000
+        state.update((service, first, created, pickup, ended, ending, closed))
+        state.setTimeoutTimestamp(max(at // 1000 + 1, now // 1000 + 1))
 
     timed = events.select("request_id", "service_id", "state", instant("event_ts").alias("at"))
     return (
@@ -132,65 +130,89 @@ def stream_request_state(events: DataFrame, deadline_seconds: int, delay: str =
     )
 
 
+def _least_text(known: str | None, values: pd.Series) -> str | None:
+    present = values.dropna()
+    found = [*([known] if known is not None else []), *([str(present.min())] if len(present) else [])]
+    return min(found) if found else None
+
+
 def stream_ledger(events: DataFrame, roster: DataFrame, fares: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Settle each completion once although the log may be replayed within the delay."""
+    """Settle each completion once although the log may be replayed within the delay.
+
+    A completion of an unknown vehicle or service is kept, unpaid and marked in `terms_status`.
+    """
     done = events.filter("state = 'completed'").withColumn("at", instant("event_ts"))
     once = done.withWatermark("at", delay).dropDuplicatesWithinWatermark(["request_id"])
-    priced = once.join(fares.select("service_id", "amount"), "service_id")
-    paid = priced.join(roster.select("vehicle_id", "driver_id"), "vehicle_id")
-    return paid.select(
-        "request_id", "vehicle_id", "driver_id", "service_id", F.col("event_ts").alias("completed_at"), F.col("amount").alias("driver_pay")
-    )
+    drivers = roster.select("vehicle_id", "driver_id", F.lit(True).alias("_rostered"))
+    joined = once.join(fares.select("service_id", "amount"), "service_id", "left").join(drivers, "vehicle_id", "left")
+    status = F.when(F.col("_rostered").isNull(), "unknown_vehicle").when(F.col("amount").isNull(), "unknown_service").otherwise("ok")
+    return joined.select(
+        "request_id", "vehicle_id", "driver_id", "service_id", F.col("event_ts").alias("completed_at"),
+        F.when(status == "ok", F.col("amount")).alias("driver_pay"), status.alias("terms_status"),
+    )
 
 
-_INTERVAL_OUT = T.StructType(
-    [
-        T.StructField("vehicle_id", T.LongType()),
-        T.StructField("state", T.StringType()),
-        T.StructField("start_us", T.LongType()),
-        T.StructField("end_us", T.LongType()),
-    ]
-)
-_INTERVAL_STATE = T.StructType([T.StructField("state", T.StringType()), T.StructField("start_us", T.LongType())])
+_INTERVAL_OUT = "vehicle_id bigint, state string, start_us bigint, end_us bigint"
+_INTERVAL_STATE = "state string, start_us bigint, waiting_us array<bigint>, waiting_ids array<bigint>, waiting array<string>"
 
 
 def stream_state_intervals(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Close a vehicle's interval when its next state arrives; carry the last state over.
+    """Close a vehicle's intervals once the watermark has passed their end.
 
-    Memory per call is one vehicle's part of one bounded micro-batch. A change older than the
-    carried one cannot be placed any more and is left to the quarantine stream.
+    Changes wait in the state until no earlier one can arrive, then they are placed in order of time
+    and id; state per vehicle is its last placed change and those of the delay. Changes later than
+    the delay never reach this operator; `stream_intervals_and_late` keeps them in a side table.
     """
 
     def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        us = rows["at"].map(_micros).to_numpy()
-        names = rows["state"].to_numpy()
-        if state.exists:
-            name, start = state.get
-            keep = us >= start
-            us, names = us[keep], names[keep]
-            us, names = [start, *us], [name, *names]
-        if not len(us):
-            return
-        state.update((str(names[-1]), int(us[-1])))
-        out = pd.DataFrame({"vehicle_id": key[0], "state": names[:-1], "start_us": us[:-1], "end_us": us[1:]})
-        yield out[out["end_us"] > out["start_us"]]
+        name, start, times, ids, names = state.get if state.exists else (None, None, [], [], [])
+        times, ids, names = list(times), list(ids), list(names)
+        start = None if pd.isna(start) else int(start)
+        if not state.hasTimedOut:
+            for batch in batches:
+                times += _micros(batch["at"]).tolist()
+                ids += batch["event_id"].tolist()
+                names += batch["state"].tolist()
+        now = state.getCurrentWatermarkMs() * 1000
+        rows = pd.DataFrame({"us": times, "id": ids, "state": names}).sort_values(["us", "id"])
+        ready, waiting = rows[rows["us"] < now], rows[rows["us"] >= now]
+        if len(ready):
+            us, placed = ready["us"].tolist(), ready["state"].tolist()
+            if start is not None:
+                us, placed = [start, *us], [name, *placed]
+            name, start = placed[-1], us[-1]
+            out = pd.DataFrame({"vehicle_id": key[0], "state": placed[:-1], "start_us": us[:-1], "end_us": us[1:]})
+            yield out[out["end_us"] > out["start_us"]]
+        state.update((name, start, waiting["us"].tolist(), waiting["id"].tolist(), waiting["state"].tolist()))
+        if len(waiting):
+            state.setTimeoutTimestamp(max(int(waiting["us"].iloc[0]) // 1000, now // 1000) + 1)
 
     timed = changes.select("vehicle_id", "event_id", "state", instant("ts").alias("at"))
     return (
         timed.withWatermark("at", delay)
         .groupBy("vehicle_id")
-        .applyInPandasWithState(advance, _INTERVAL_OUT, _INTERVAL_STATE, "append", "NoTimeout")
+        .applyInPandasWithState(advance, _INTERVAL_OUT, _INTERVAL_STATE, "append", "EventTimeTimeout")
     )
 
 
+def stream_intervals_and_late(changes: DataFrame, name: str, delay_seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """(intervals, late): changes too late to be placed go to a table of their own, all others are placed."""
+    required = ("vehicle_id", "ts", "state")
+    good, late = stream_quarantine(changes, f"{name}-changes", "ts", delay_seconds, required)
+    folder = good.inputFiles()[0].rsplit("/batch=", 1)[0] if good.inputFiles() else None
+    if folder is None:
+        return changes.sparkSession.createDataFrame([], _INTERVAL_OUT), late
+    again = read_stream(changes.sparkSession, f"{folder}/batch=*", good.schema, files_per_batch=None)
+    return run_to_table(stream_state_intervals(again, f"{delay_seconds} seconds"), name), late
+
+
 def stream_quarantine(
     stream: DataFrame, name: str, ts: str, lateness_seconds: int, required: tuple[str, ...] = CORE_KEYS
 ) -> tuple[DataFrame, DataFrame]:
     """(usable, quarantined): NULL core keys, or later than the newest earlier batch allows.
 
     Each batch overwrites its own partition, so a replayed batch changes nothing. The newest
-    event time of each batch is kept as a one-row table next to it.
+    event time up to each batch is kept as a one-row table next to it; the next batch reads that row alone.
     """
     spark = stream.sparkSession
     root = scratch_path(spark, name)
@@ -201,8 +223,7 @@ def stream_quarantine(
         try:
             horizon = None
             if batch_id:
-                earlier = batch.sparkSession.read.schema("at timestamp_ntz, batch_id bigint").parquet(seen)
-                horizon = earlier.filter(F.col("batch_id") < batch_id).agg(F.max("at")).first()[0]
+                horizon = batch.sparkSession.read.schema("at timestamp_ntz").parquet(f"{seen}/part={batch_id - 1}").first()[0]
             missing = any_of([F.col(c).isNull() for c in required])
             late = F.lit(False)
             if horizon is not None:
@@ -211,7 +232,7 @@ def stream_quarantine(
             marked = batch.withColumn("quarantine_reason", reason)
             marked.filter("quarantine_reason is null").drop("quarantine_reason").write.mode("overwrite").parquet(f"{root}/usable/batch={batch_id}")
             marked.filter("quarantine_reason is not null").write.mode("overwrite").parquet(f"{root}/quarantined/batch={batch_id}")
-            newest = batch.agg(F.max(ts).alias("at"), F.lit(batch_id).cast("bigint").alias("batch_id"))
+            newest = batch.agg(F.greatest(F.max(ts), F.lit(horizon).cast("timestamp_ntz")).alias("at"))
             newest.write.mode("overwrite").parquet(f"{seen}/part={batch_id}")
         finally:
             batch.unpersist()

@@ -23,6 +23,11 @@ def in_files(spark, df, order, name, files=4):
     return streams.read_stream(spark, path, df.schema, files_per_batch=1)
 
 
+def closed_before(df, ts):
+    """What the watermark has passed at the end of the stream."""
+    return F.lit(df.agg(F.max(ts)).first()[0] - dt.timedelta(hours=1)).cast("timestamp_ntz")
+
+
 @pytest.fixture(scope="module")
 def changes(spark):
     rng = np.random.default_rng(4)
@@ -35,10 +40,30 @@ def test_intervals_survive_batch_boundaries(spark, changes, rows):
     got = streams.run_to_table(streams.stream_state_intervals(stream), "intervals")
     end = "2025-01-01 00:00:00"
     us = lambda c: F.timestamp_diff("MICROSECOND", ntz("1970-01-01 00:00:00"), F.col(c))
-    batch = ops.state_intervals(changes, ntz(end)).filter(F.col("end") < ntz(end))
+    batch = ops.state_intervals(changes, ntz(end)).filter(F.col("end") < closed_before(changes, "ts"))
     assert rows(got) == rows(batch.select("vehicle_id", "state", us("start"), us("end")))
 
 
+def test_late_and_replayed_changes(spark, rows):
+    at = lambda h, m: DAY + dt.timedelta(hours=h, minutes=m)
+    parts = [
+        [(1, 1, at(8, 0), "idle"), (1, 2, at(8, 30), "on_trip"), (2, 3, at(8, 0), "idle")],
+        [(1, 4, at(8, 20), "dispatch"), (1, 5, at(9, 0), "idle"), (1, 2, at(8, 30), "on_trip")],
+        [(2, 6, at(12, 0), "on_trip"), (1, 7, at(12, 0), "offline")],
+        [(1, 8, at(8, 40), "late"), (2, 9, at(15, 0), "idle")],
+    ]
+    path = scratch_path(spark, "late-changes")
+    schema = "vehicle_id bigint, event_id bigint, ts timestamp_ntz, state string"
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = streams.read_stream(spark, path, spark.read.parquet(path).schema, files_per_batch=1)
+    intervals, late = streams.stream_intervals_and_late(stream, "late-intervals")
+    us = lambda t: int(t.timestamp() * 1_000_000) if t.tzinfo else int((t - dt.datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    expected = [(1, "idle", at(8, 0), at(8, 20)), (1, "dispatch", at(8, 20), at(8, 30)), (1, "on_trip", at(8, 30), at(9, 0)), (1, "idle", at(9, 0), at(12, 0)), (2, "idle", at(8, 0), at(12, 0))]
+    assert rows(intervals) == {(v, s, us(a), us(b)) for v, s, a, b in expected}
+    assert [r.event_id for r in late.collect()] == [8]
+
+
 @pytest.fixture(scope="module")
 def log(spark):
     rows = []
@@ -57,19 +82,30 @@ def test_requests_stay_open_between_batches_and_expire_at_the_deadline(spark, lo
     assert got.index.is_unique
     life = ops.request_lifecycle(log).toPandas().set_index("request_id")
     done = life[life.completed_at.notna()]
-    assert set(got.index[got.state == "completed"]) == set(done.index)
-    assert (got.loc[done.index, "pickup_at"] == done.pickup_at).all() and (got.loc[done.index, "ended_at"] == done.completed_at).all()
+    passed = done[done.completed_at < pd.to_datetime(log.agg(F.max("event_ts")).first()[0]) - pd.Timedelta("1h")]
+    assert set(got.index[got.state == "completed"]) == set(passed.index) and len(passed)
+    assert (got.loc[passed.index, "pickup_at"] == passed.pickup_at).all() and (got.loc[passed.index, "ended_at"] == passed.completed_at).all()
     late = got[got.state == "deadline_passed"]
     limit = life.index[life.completed_at.isna() & (life.created_at + pd.Timedelta("6h") < pd.to_datetime(log.agg(F.max("event_ts")).first()[0]) - pd.Timedelta("1h"))]
     assert set(late.index) == set(limit) and len(late)
 
 
+def test_replayed_and_shuffled_events_change_nothing(spark, log, rows):
+    plain = streams.run_to_table(streams.stream_request_state(in_files(spark, log, ["event_ts", "request_id", "step"], "plain", 5), 6 * 3600), "requests")
+    shuffled = in_files(spark, log.unionByName(log), [F.date_trunc("hour", "event_ts"), F.xxhash64("request_id", "step")], "shuffled", 7)
+    again = streams.run_to_table(streams.stream_request_state(shuffled, 6 * 3600, "2 hours"), "requests")
+    kept = rows(again)
+    assert len(kept) == again.count() and kept <= rows(plain)
+
+
 def test_replayed_completions_are_paid_once(spark, log):
     stream = in_files(spark, log.unionByName(log), ["event_ts", "request_id"], "replays", 6)
-    roster = spark.createDataFrame([(v, f"d{v}") for v in range(3)], "vehicle_id bigint, driver_id string")
+    roster = spark.createDataFrame([(v, f"d{v}") for v in range(2)], "vehicle_id bigint, driver_id string")
     fares = spark.createDataFrame([("X", 10.0), ("Y", 8.0)], "service_id string, amount double")
     got = streams.run_to_table(streams.stream_ledger(stream, roster, fares), "ledger")
     assert got.count() == got.select("request_id").distinct().count() == log.filter("state = 'completed'").count()
+    unknown = got.filter("terms_status = 'unknown_vehicle'")
+    assert unknown.count() == log.filter("state = 'completed' and vehicle_id = 2").count() and unknown.filter("driver_pay is not null").count() == 0
 
 
 def test_quarantine_takes_null_keys_and_late_rows(spark, log):
