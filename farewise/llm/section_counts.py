@@ -6,7 +6,7 @@ sorted sections by binary search, and each token is allotted to one section, so
 Rule for a token that crosses a border: it belongs to the section that holds most of its characters, of equal shares
 to the earlier one; a token without a character in any section is counted under section -1.
 
-Defined results: sections are the lines of the text (with their newline) unless a column of sections is given; those
+Defined results: sections are the lines of the text (each with its newline, so a newline at the end opens no further line) unless a column of sections is given; those
 must be sorted and disjoint, in code points, and empty ones count nothing; a null or empty text has one empty line; a
 null list of sections counts as none; repeated rows are each counted; an empty table gives an empty result.
 """
@@ -75,6 +75,7 @@ def count_tokens(
     `sections` is a column array<struct<name, start, end>>; without it the lines are the sections.
     """
     bounded_batches(docs.sparkSession)
+    listed_sections = sections is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, sizes = encoder(vocabulary), token_bytes(vocabulary)
@@ -87,7 +88,7 @@ def count_tokens(
                 # Characters up to and with each byte; a token inside a character covers that character.
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 breaks = np.flatnonzero(data == 10) + 1
-                given = part.column("sections").to_pylist() if sections is not None else None
+                given = part.column("sections").to_pylist() if listed_sections else None
                 columns: list[list[np.ndarray]] = [[] for _ in range(6)]
                 names: list[str | None] = []
                 for k, name in enumerate(part.column("doc_id").to_pylist()):
