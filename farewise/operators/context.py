@@ -62,14 +62,15 @@ def hierarchical_fallback(levels: DataFrame, zones: Sequence[int], min_n: int) -
         .withColumn("is_weekend", F.explode("ws")).filter(F.col("zone_id").isin([int(z) for z in zones]))
     )
     best = keyed.groupBy(*KEYS).agg(F.min_by("v", "level").alias("v"), F.min("level").alias("fallback_level"))
-    return best.select(
-        *KEYS,
-        *[F.col(f"v.{c}").alias(c) for c in VALUES],
-        "fallback_level",
-        F.concat(
-            F.lit("z"), "zone_id", F.lit("-h"), "hour", F.lit("-w"), F.col("is_weekend").cast("int")
-        ).alias("context_id"),
+    hours = F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour")
+    asked = levels.sparkSession.createDataFrame([(int(z),) for z in dict.fromkeys(zones)], "zone_id int").select("zone_id", hours)
+    asked = asked.withColumn("is_weekend", F.explode(F.array(F.lit(False), F.lit(True))))
+    name = F.concat(F.lit("z"), "zone_id", F.lit("-h"), "hour", F.lit("-w"), F.col("is_weekend").cast("int"))
+    # Every key is served by the whole-cluster level at least, unless even that is too thin.
+    found = F.when(F.col("fallback_level").isNotNull(), name).otherwise(
+        F.raise_error("too few valid training trips even for the whole cluster").cast("string")
     )
+    return asked.join(best, KEYS, "left").select(*KEYS, *[F.col(f"v.{c}").alias(c) for c in VALUES], "fallback_level", found.alias("context_id"))
 
 
 def minmax_scale(contexts: DataFrame, column: str, out: str) -> DataFrame:

@@ -212,6 +212,9 @@ def residualize(df: DataFrame, cell: Sequence[str], fold: str | None = None) ->
     return joined.withColumns(out).drop("_w", "_s0", "_s1", "_s2", "_s3")
 
 
+REGRESSIONS = ("naive_ols", "adjusted_ols", "contrast_ols")
+
+
 # --- models -------------------------------------------------------------------------------
 
 @dataclass(frozen=True)
@@ -347,6 +350,8 @@ def fit_from_gram(
 
     Rank problems are reported in `status`, never answered by a pseudo-inverse theta.
     """
+    if theta is None:
+        check_estimator(estimator)
     active = gram.varying() if active is None else active
     model = Model(estimator, "ok", gram.controls, gram.n, gram.weight, active, constants)
     if not active:
@@ -386,6 +391,12 @@ def fit_from_gram(
     return replace(model, theta=full, intercept=intercept, coefficients=coefficients)
 
 
+def check_estimator(name: str) -> None:
+    """Reject names that no regression stands for, before any job starts."""
+    if name not in REGRESSIONS:
+        raise ContractError(f"unknown estimator {name!r}; one of {', '.join(REGRESSIONS)}")
+
+
 def base_rate(gram: Gram, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Regress shares minus the price effect on the controls."""
     z, t, y = gram.index(*gram.controls), gram.index("t0", "t1"), gram.index("y0", "y1")

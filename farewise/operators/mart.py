@@ -104,13 +104,18 @@ def dense_grid(
 
 
 def fill_grid(grid: DataFrame, aggregates: DataFrame) -> DataFrame:
-    """Left join one-to-one; absent counts become 0, absent quantiles and shares stay NULL."""
+    """Join one-to-one; absent counts become 0, absent quantiles and shares stay NULL.
+
+    Trips of a cell outside the grid would not reconcile with silver; they fail the job.
+    """
     counts = [
         c
         for c in aggregates.columns
         if c.startswith("n_") or c in ("completed_trip_count", "quality_warning_count")
     ]
-    return grid.join(aggregates, KEYS, "left").fillna(0, subset=counts)
+    joined = grid.withColumn("_cell", F.lit(True)).join(aggregates, KEYS, "full_outer")
+    listed = F.when(F.col("_cell"), F.col("platform")).otherwise(F.raise_error("trips outside the mart's grid").cast("string"))
+    return joined.withColumn("platform", listed).drop("_cell").fillna(0, subset=counts)
 
 
 def invalid_share(mart: DataFrame) -> DataFrame:

@@ -180,9 +180,15 @@ def quality_report(df: DataFrame, columns: Sequence[str], flags: Sequence[str])
 
 
 def duplicate_groups(df: DataFrame, columns: Sequence[str] = TRIP_COLUMNS) -> DataFrame:
-    """Number of repeated contents and of rows in them; nothing is removed."""
+    """Number of repeated contents and of rows in them; nothing is removed.
+
+    Rows meet as a 64-bit hash first; whole rows are compared only where a hash occurs twice.
+    """
+    picked = df.select(*columns).withColumn("_hash", F.xxhash64(*columns))
+    twice = picked.groupBy("_hash").count().filter("count > 1").select("_hash")
     return (
-        df.groupBy(*columns)
+        picked.join(twice, "_hash", "left_semi")
+        .groupBy(*columns)
         .count()
         .filter("count > 1")
         .agg(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import rounded
-from farewise.functions.skew import with_neighbour
+from farewise.functions.skew import with_neighbour, with_running_max
 from farewise.operators.choice import PRICE_LEVELS, price_key
 from farewise.operators.estimate import SPAN_TOLERANCE, WEIGHT, Model
 from farewise.sources.tables import ContractError
@@ -23,7 +23,6 @@ from farewise.sources.tables import ContractError
 STRATUM = ["zone_id", "is_weekend", "is_peak"]
 SERVICES = ("X", "Y", "NONE")
 POINT_EPSILON = 1e-10
-MAX_LINE_POINTS = 1000
 MAX_DRAWS = 20_000
 
 
@@ -177,16 +176,22 @@ def line_support(train: DataFrame, contexts: DataFrame, requests: DataFrame, min
     along = lambda x, y: (x - float(a[0])) * ux + (y - float(a[1])) * uy
     off = lambda x, y: F.abs((x - float(a[0])) * uy - (y - float(a[1])) * ux)
     placed = logs.withColumns({"t": rounded(along(F.col("lx"), F.col("ly")), 9), "off": off(F.col("lx"), F.col("ly"))})
-    shape = placed.agg(F.max("off").alias("off"), F.approx_count_distinct("t").alias("n")).first()
-    if shape["off"] > SPAN_TOLERANCE or shape["n"] > MAX_LINE_POINTS:
-        raise ContractError("line support needs one observed line with designed price points")
-    line = placed.agg(F.array_sort(F.collect_set("t"))).scalar()
-    asked = _points(requests).withColumns(
-        {"t": rounded(along(F.ln("x"), F.ln("y")), 9), "off": off(F.ln("x"), F.ln("y")), "line": line}
-    )
-    exact = F.array_contains("line", F.col("t"))
-    below = F.array_max(F.filter("line", lambda v: v < F.col("t")))
-    above = F.array_min(F.filter("line", lambda v: v > F.col("t")))
+    if placed.agg(F.max("off")).first()[0] > SPAN_TOLERANCE:
+        raise ContractError("line support needs one observed line of prices")
+    asked = _points(requests).withColumns({"t": rounded(along(F.ln("x"), F.ln("y")), 9), "off": off(F.ln("x"), F.ln("y"))})
+    asked = asked.select("scenario_id", "target_context_set", "point", "t", "off")
+    # Nearest training point on either side: requests and points in one order, cut into short pieces.
+    points = placed.select("t").distinct()
+    nothing = {c: F.lit(None).cast(asked.schema[c].dataType) for c in asked.columns if c != "t"}
+    along_line = asked.withColumns({"seen": F.lit(None).cast("double"), "kind": F.lit(0)}).unionByName(
+        points.withColumns({**nothing, "seen": F.col("t"), "kind": F.lit(1)})
+    ).withColumns({"line": F.lit(0), "back": -F.col("t"), "seen_back": -F.col("seen")})
+    piece = lambda c: F.floor(F.col(c) * 1000)
+    along_line = with_running_max(along_line, ["line"], ["t", "kind"], piece("t"), "seen", "below")
+    along_line = with_running_max(along_line, ["line"], ["back", "kind"], piece("back"), "seen_back", "above")
+    placed_requests = along_line.filter("kind = 0").withColumn("above", -F.col("above"))
+    asked = placed_requests.join(points.withColumn("exact", F.lit(True)), "t", "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+    exact, below, above = F.col("exact"), F.col("below"), F.col("above")
     supported = (F.col("off") <= SPAN_TOLERANCE) & (exact | (below.isNotNull() & above.isNotNull()))
     needed = F.when(supported, F.when(exact, F.array("t")).otherwise(F.array(below, above)))
     asked = asked.select("scenario_id", "target_context_set", "point", F.explode_outer(needed).alias("t"))

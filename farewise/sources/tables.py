@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os.path
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,15 +63,16 @@ def read_contract(spark: SparkSession, path: str, contract: dict[str, str]) -> D
     return check_schema(spark.read.parquet(path), contract)
 
 
-def with_row_id(df: DataFrame, source_id: str, many_files: bool = False) -> DataFrame:
+def with_row_id(df: DataFrame, source_id: str, root: str | None = None) -> DataFrame:
     """Technical id `source:row`, so that identical rows stay distinct.
 
     Reads the file position Spark exposes, so no ordering or shuffle is needed. A source of
-    several files sets `many_files`, which puts the file name inside the id.
+    several files names its `root`; the file's path below it then stands inside the id.
     """
     parts = [F.lit(source_id)]
-    if many_files:
-        parts.append(F.col("_metadata.file_name"))
+    if root is not None:
+        path = F.col("_metadata.file_path")
+        parts.append(F.when(path.startswith(root), F.substring(path, F.lit(len(root) + 1), F.length(path))).otherwise(path))
     parts.append(F.col("_metadata.row_index").cast("string"))
     return df.withColumn("trip_row_id", F.concat_ws(":", *parts))
 
@@ -76,7 +80,9 @@ def with_row_id(df: DataFrame, source_id: str, many_files: bool = False) -> Data
 def read_trips(spark: SparkSession, path: str, source_id: str = "trips") -> DataFrame:
     """Trip records checked against the 24-column contract, with a technical row id."""
     trips = read_contract(spark, path, TRIP_CONTRACT)
-    return with_row_id(trips, source_id, many_files=len(trips.inputFiles()) > 1)
+    files = trips.inputFiles()
+    root = os.path.commonprefix(files).rpartition("/")[0] + "/" if len(files) > 1 else None
+    return with_row_id(trips, source_id, root)
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
@@ -92,24 +98,45 @@ def read_zones(spark: SparkSession, path: str) -> DataFrame:
     return header.withColumn("LocationID", number.cast("int")).select(*ZONE_COLUMNS)
 
 
+def _swap(spark: SparkSession, new: str, path: str) -> None:
+    """Put a finished table in the place of an older one, which stays until then."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    place, ready, aside = Path(path), Path(new), Path(f"{path}-old-{uuid.uuid4().hex}")
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    had = files.exists(place)
+    if had and not files.rename(place, aside):
+        raise OSError(f"cannot move {path} aside")
+    if not files.rename(ready, place):
+        if had:
+            files.rename(aside, place)
+        raise OSError(f"cannot move {new} to {path}")
+    if had:
+        files.delete(aside, True)
+
+
 def write_table(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()
 ) -> str:
-    """Replace a Parquet (ZSTD), CSV, TSV or JSON table; only a finished job leaves files.
+    """Replace a Parquet (ZSTD), CSV, TSV or JSON table.
 
-    With partition columns only the partitions present in `df` are replaced.
+    The new table is written beside the old one and takes its place only when the job is done, so a
+    failed job leaves the old table. With partition columns only the partitions present in `df` are
+    replaced, each when the job commits.
     """
+    target = path if partition_by else f"{path}-new-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if fmt == "parquet":
-        writer.option("compression", "zstd").parquet(path)
+        writer.option("compression", "zstd").parquet(target)
     elif fmt in ("csv", "tsv"):
-        writer.option("header", True).option("sep", "," if fmt == "csv" else "\t").csv(path)
+        writer.option("header", True).option("sep", "," if fmt == "csv" else "\t").csv(target)
     elif fmt == "json":
-        writer.option("ignoreNullFields", False).json(path)
+        writer.option("ignoreNullFields", False).json(target)
     else:
         raise ValueError(f"unknown table format {fmt!r}")
+    if target != path:
+        _swap(df.sparkSession, target, path)
     return path
 
 

@@ -228,3 +228,9 @@ def test_folds_keep_days_whole_and_balanced(exact):
     folds = choice.day_folds(df, 4).collect()
     sizes = pd.DataFrame([r.asDict() for r in folds]).groupby("fold").n_blocks.sum()
     assert len(folds) == 14 and set(sizes.index) == {0, 1, 2, 3} and sizes.max() - sizes.min() <= 24
+
+
+def test_unknown_estimators_are_refused(noisy):
+    _, df = noisy
+    with pytest.raises(ContractError, match="unknown estimator"):
+        resample.day_bootstrap(df, CONTROLS, 3, estimator="dml")

@@ -166,3 +166,28 @@ def test_long_membership_list_becomes_a_semi_join(raw):
 def test_profile_counts_missing_and_infinite(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), None), (float("inf"), "b")], "x double, y string")
     assert {tuple(r) for r in quality.profile_table(df).collect()} == {("x", 1, 1), ("y", 1, 0)}
+
+
+def test_ids_differ_between_folders_and_tables_are_swapped(spark, raw):
+    path = scratch_path(spark, "folders")
+    rows = raw.drop("trip_row_id")
+    for day in ("a", "b"):
+        rows.coalesce(1).write.parquet(f"{path}/day={day}")
+    files = sorted(spark.read.parquet(path).inputFiles())
+    table = tables.with_row_id(spark.read.parquet(*files), "trips", files[0].split("day=a")[0])
+    assert table.select("trip_row_id").distinct().count() == table.count() == 2 * rows.count()
+    out = scratch_path(spark, "swapped")
+    tables.write_table(spark.range(5).toDF("n"), out)
+    kept = spark.read.parquet(out)
+    tables.write_table(kept.filter("n > 2"), out)
+    assert spark.read.parquet(out).count() == 2
+    with pytest.raises(Exception):
+        tables.write_table(spark.range(3).selectExpr("raise_error('no') as n"), out)
+    assert spark.read.parquet(out).count() == 2
+
+
+def test_too_few_trips_and_stray_cells_fail(silver):
+    with pytest.raises(Exception, match="too few valid"):
+        context.build_context(silver, zones=[1, 2], train_end=END, min_n=10_000).collect()
+    with pytest.raises(Exception, match="outside the mart"):
+        mart.build_mart(silver, zones=[2], start=START, end=END, minutes=30, platforms=["HV0003", "HV0005"], min_n=1).collect()
