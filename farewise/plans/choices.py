@@ -249,6 +249,19 @@ def e03(spark, sf):
     return shown(theta_rows(spark, estimate.fit_ols(train(spark, sf), CONTROLS)))
 
 
+_KEYED = {"tagged": "SELECT *, DAY(day_id) % 2 AS dataset FROM train", **ols("tagged", DESIGN, Y, "kfit", "dataset")}
+
+
+def keyed_train(spark, sf) -> DataFrame:
+    """Odd and even days as two datasets."""
+    return train(spark, sf).withColumn("dataset", (F.dayofmonth("day_id") % 2).cast("bigint"))
+
+
+@query("E03_fit_adjusted_ols_by", sql_shown(on_blocks("SELECT dataset, 'succeeded' AS status, " + ", ".join(f"m[{k + 1}][{_WIDTH + j + 1}] AS theta_{y}{t}" for j, y in enumerate("xy") for k, t in enumerate("xy")) + f" FROM kfit WHERE k = {_WIDTH}", **_KEYED), {"dataset": "i", "status": "", **THETA_KINDS}))
+def e03_by(spark, sf):
+    return shown(resample.fit_by(keyed_train(spark, sf), CONTROLS, ["dataset"]).select("dataset", "status", *resample.THETAS))
+
+
 _CELL_CENTRED = "SELECT *, " + ", ".join(f"{c} - SUM(w * {c}) OVER cell / SUM(w) OVER cell AS u{i}" for i, c in enumerate(_MOMENT_COLS)) + " FROM train WINDOW cell AS (PARTITION BY zone_id, hr)"
 
 
@@ -576,6 +589,17 @@ def f05(spark, sf):
 _FULL_JACK = {"left_out": _JACK["left_out"], **ols("left_out", DESIGN, Y, "jfit", "out_day")}
 
 
+_KEYED_JACK = {
+    "kleft": "SELECT t.*, d.day_id AS out_day FROM tagged t JOIN (SELECT DISTINCT dataset, day_id FROM tagged) d ON t.dataset = d.dataset AND t.day_id <> d.day_id",
+    **ols("kleft", DESIGN, Y, "kjfit", "dataset, out_day"),
+}
+
+
+@query("F05_day_jackknife_by", sql_shown(on_blocks("SELECT dataset, out_day AS day_id, " + ", ".join(f"m[{k + 1}][{_WIDTH + j + 1}] AS theta_{y}{t}" for j, y in enumerate("xy") for k, t in enumerate("xy")) + f" FROM kjfit WHERE k = {_WIDTH}", tagged=_KEYED["tagged"], **_KEYED_JACK), {"dataset": "i", "day_id": "t", **THETA_KINDS}))
+def f05_by(spark, sf):
+    return shown(resample.day_jackknife(keyed_train(spark, sf), CONTROLS, by=["dataset"]).select("dataset", "day_id", *resample.THETAS))
+
+
 @query("F05_day_jackknife_adjusted", sql_shown(on_blocks("SELECT out_day AS day_id, " + ", ".join(f"m[{k + 1}][{_WIDTH + j + 1}] AS theta_{y}{t}" for j, y in enumerate("xy") for k, t in enumerate("xy")) + f" FROM jfit WHERE k = {_WIDTH}", **_FULL_JACK), {"day_id": "t", **THETA_KINDS}))
 def f05_adjusted(spark, sf):
     return shown(resample.day_jackknife(train(spark, sf), CONTROLS).select("day_id", *resample.THETAS))

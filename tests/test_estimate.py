@@ -234,3 +234,15 @@ def test_unknown_estimators_are_refused(noisy):
     _, df = noisy
     with pytest.raises(ContractError, match="unknown estimator"):
         resample.day_bootstrap(df, CONTROLS, 3, estimator="dml")
+
+
+def test_keyed_fits_and_draws_equal_one_key_at_a_time(noisy):
+    _, df = noisy
+    keyed = df.withColumn("dataset", F.dayofmonth("day_id") % 2)
+    fits = {r.dataset: r for r in resample.fit_by(keyed, CONTROLS, ["dataset"]).collect()}
+    draws = resample.day_bootstrap(keyed, CONTROLS, 4, by=["dataset"]).collect()
+    assert len(draws) == 8 and {r.status for r in draws} == {"succeeded"}
+    for k in (0, 1):
+        gram, active, constants = estimate.collect_gram(keyed.filter(F.col("dataset") == k), CONTROLS)
+        model = estimate.fit_from_gram(gram, "adjusted_ols", active, constants)
+        assert [fits[k][t] for t in resample.THETAS] == pytest.approx(model.theta.ravel().tolist())
