@@ -23,7 +23,9 @@ from farewise.sources.tables import ContractError
 STRATUM = ["zone_id", "is_weekend", "is_peak"]
 SERVICES = ("X", "Y", "NONE")
 POINT_EPSILON = 1e-10
-MAX_DRAWS = 20_000
+#: Draws in a block and pieces of the zones that meet as one group.
+DRAW_BLOCK = 256
+CONTEXT_PIECES = 16
 
 
 # --- context selection --------------------------------------------------------------------
@@ -349,41 +351,49 @@ def elasticity(model: Model, contexts: DataFrame, requests: DataFrame, floor: fl
     return rows.select("scenario_id", F.explode(F.array(*cells)).alias("c")).select("scenario_id", "c.*")
 
 
-def draw_summaries(contexts: DataFrame, controls: Sequence[str], draws: DataFrame) -> DataFrame:
-    """`context_summary` for every successful bootstrap draw, in one pass over the contexts.
+def draw_summaries(contexts: DataFrame, controls: Sequence[str], draws: DataFrame, requested: int) -> DataFrame:
+    """`context_summary` for every successful bootstrap draw, with the draw's effects beside it.
 
-    The draw coefficients (draws x controls numbers, at most MAX_DRAWS draws) travel with the
-    task; each Arrow batch meets them in one matrix product and leaves zone-by-draw ranges.
+    Contexts are reduced to distinct control values per zone first. Draws stay a table: blocks of
+    about DRAW_BLOCK of them meet the pieces of the contexts by key, and a block and piece leave
+    zone-by-draw sums and ranges from one matrix product.
     """
-    ok = draws.filter("status = 'succeeded'").select("draw_id", "intercept", "coefficients")
-    kept = ok.limit(MAX_DRAWS + 1).toPandas()
-    if len(kept) > MAX_DRAWS:
-        raise ContractError(f"more than {MAX_DRAWS} draws")
-    ids = kept["draw_id"].to_numpy()
-    k = len(controls)
-    level = np.array([list(v) for v in kept["intercept"]]).reshape(len(kept), 2)
-    slope = np.array([list(v) for v in kept["coefficients"]]).reshape(len(kept), 2, k)
-    names = list(controls)
-    schema = "zone_id bigint, draw_id bigint, n bigint, w double, s_x double, s_y double, " + ", ".join(f"{c} double" for c in _RANGES)
-
-    def ranges(batches):
-        for batch in batches:
-            for zone, part in batch.groupby("zone_id"):
-                z, w = part[names].to_numpy(float), part["w"].to_numpy(float)
-                bx, by = (z @ slope[:, j].T + level[:, j] for j in range(2))
-                both = bx + by
-                yield pd.DataFrame(
+    names, k = list(controls), len(controls)
+    effects = [f"th_{a}" for a in ("xx", "xy", "yx", "yy")]
+    blocks = -(-int(requested) // DRAW_BLOCK)
+    w = F.col(WEIGHT).cast("double")
+    values = [F.col(c).cast("double").alias(c) for c in names]
+    distinct = contexts.groupBy("zone_id", *values).agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("w"))
+    piece = F.pmod(F.xxhash64("zone_id"), F.lit(CONTEXT_PIECES)).cast("int").alias("piece")
+    spread = distinct.select("*", piece, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    ok = draws.filter("status = 'succeeded'").select(
+        "draw_id", "intercept", "coefficients", *[F.col(f"theta_{e[3:]}").alias(e) for e in effects],
+        F.pmod("draw_id", F.lit(blocks)).cast("int").alias("block"),
+    )
+    ok = ok.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(CONTEXT_PIECES - 1))))
+    schema = ", ".join(["zone_id bigint, draw_id bigint", *[f"{e} double" for e in effects], "n bigint, w double, s_x double, s_y double", *[f"{c} double" for c in _RANGES]])
+
+    def ranges(key, part: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])]
+        level = np.array([list(v) for v in drawn["intercept"]]).reshape(len(drawn), 2)
+        slope = np.array([list(v) for v in drawn["coefficients"]]).reshape(len(drawn), 2, k)
+        for zone, rows in part.groupby("zone_id") if len(drawn) else ():
+            z, weight = rows[names].to_numpy(float), rows["w"].to_numpy(float)
+            bx, by = (z @ slope[:, j].T + level[:, j] for j in range(2))
+            both = bx + by
+            out.append(
+                pd.DataFrame(
                     {
-                        "zone_id": int(zone), "draw_id": ids, "n": len(part), "w": w.sum(),
-                        "s_x": w @ bx, "s_y": w @ by, "lo_x": bx.min(0), "hi_x": bx.max(0),
-                        "lo_y": by.min(0), "hi_y": by.max(0), "lo_s": both.min(0), "hi_s": both.max(0),
+                        "zone_id": int(zone), "draw_id": drawn["draw_id"].to_numpy(), **{e: drawn[e].to_numpy() for e in effects},
+                        "n": int(rows["n"].sum()), "w": weight.sum(), "s_x": weight @ bx, "s_y": weight @ by,
+                        "lo_x": bx.min(0), "hi_x": bx.max(0), "lo_y": by.min(0), "hi_y": by.max(0), "lo_s": both.min(0), "hi_s": both.max(0),
                     }
-                )
+                )
+            )
+        return pd.concat(out[1:] or out)
 
-    source = contexts.select("zone_id", F.col(WEIGHT).cast("double").alias("w"), *[F.col(c).cast("double").alias(c) for c in names])
-    merged = [F.sum(c).alias(c) for c in ("n", "w", "s_x", "s_y")] + [f(c).alias(c) for c, f in _RANGES.items()]
-    per_zone = source.mapInPandas(ranges, schema).groupBy("zone_id", "draw_id").agg(*merged)
-    return _by_context_set(per_zone, ["draw_id"])
+    met = spread.groupBy("block", "piece").cogroup(ok.groupBy("block", "piece"))
+    return _by_context_set(met.applyInPandas(ranges, schema), ["draw_id", *effects])
 
 
 def bootstrap_scenario(
@@ -395,9 +405,8 @@ def bootstrap_scenario(
     Output: scenario_id, metric_id, valid_draws, invalid_draws, failure_fraction,
     interval_status, lower, upper; bounds are NULL unless the status is ok.
     """
-    summaries = draw_summaries(contexts, controls, draws)
-    thetas = draws.filter("status = 'succeeded'").select("draw_id", *[F.col(f"theta_{a}").alias(f"th_{a}") for a in ("xx", "xy", "yx", "yy")])
-    joined = requests.join(summaries, "target_context_set").join(thetas, "draw_id")
+    summaries = draw_summaries(contexts, controls, draws, requested)
+    joined = requests.join(summaries, "target_context_set")
     rows = _with_effects(joined, {a: F.col(f"th_{a}") for a in ("xx", "xy", "yx", "yy")})
     long = rows.select("scenario_id", "draw_id", "probability_valid", F.explode(F.array(*_metric_rows())).alias("m"))
     tail = (1 - level) / 2
