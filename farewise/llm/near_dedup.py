@@ -105,6 +105,11 @@ def super_minhash(values: np.ndarray, borders: np.ndarray, places: int = PLACES)
     return best.reshape(n, places)
 
 
+def _banded(sums: np.ndarray) -> np.ndarray:
+    """Band keys whose lowest bits are the number of the band."""
+    return (mixed(sums + np.arange(1, BANDS + 1, dtype=np.uint64) * STEP) & ~np.uint64(63)) | np.arange(BANDS, dtype=np.uint64)
+
+
 def sign(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """doc_id, text_key, digest of the words, number of shingles, band keys and sketch of each document."""
     bounded_batches(docs.sparkSession)
@@ -116,8 +121,8 @@ def sign(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 values, borders, digests = shingles(part.column("text"))
                 signature = super_minhash(values, borders)
                 own = mixed(signature)
-                keys = mixed((own.reshape(-1, BANDS, ROWS) * lane).sum(axis=2) + np.arange(1, BANDS + 1, dtype=np.uint64) * STEP)
-                sketch = (own & np.uint64(0xFFFF)).astype("<u2")
+                keys = _banded((own.reshape(-1, BANDS, ROWS) * lane).sum(axis=2))
+                sketch = (own & np.uint64(0xFF)).astype(np.uint8)
                 n = len(borders) - 1
                 bands = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
@@ -159,7 +164,7 @@ def likely_pairs(pairs: DataFrame, sketches: DataFrame, threshold: float) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, PLACES) for c in ("sa", "sb"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in ("sa", "sb"))
                 keep = pa.array(_alike(a, b) >= threshold - MARGIN)
                 yield batch.select(["a", "b"]).filter(keep)
 
@@ -252,7 +257,7 @@ def _block_pairs(threshold: float):
     """Per pair of blocks: the classes that have a likely partner in another group whose first common band this is."""
 
     def run(group: pa.Table) -> pa.Table:
-        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), "<u2").reshape(-1, PLACES)
+        sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(-1, PLACES)
         keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         cid, root, size = (group.column(c).to_numpy() for c in ("cid", "root", "n_shingles"))
         band, side = int(group.column("band")[0].as_py()), group.column("side").to_numpy()
@@ -306,13 +311,55 @@ def _check_block(percent: int):
     return run
 
 
-def _open_buckets(bands: DataFrame, buckets: DataFrame, groups: DataFrame) -> DataFrame:
-    """Members (key, band, cid, root, blocks) of buckets of three or more whose members are in different groups."""
-    large = buckets.filter("n > 2").select("key", "n")
-    members = bands.join(large, "key").join(groups, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+def _open_buckets(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members (key, cid, root, n) of the buckets of three or more whose members are in different groups."""
+    members = met.join(groups, "cid", "left").select("key", "cid", "n", F.coalesce("root", "cid").alias("root"))
     members = cut(members, "near-members")
-    mixed_ = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    return members.join(cut(mixed_, "near-mixed"), "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK_CLASSES).cast("int"))
+    open_ = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return members.join(cut(open_.select("key"), "near-mixed"), "key")
+
+
+#: Bits of the map that keeps texts nobody asks for out of the shuffle, and its parts.
+MAP_BITS, MAP_PARTS = 1 << 26, 128
+
+
+def key_map(keys: DataFrame, column: str) -> np.ndarray:
+    """A bit map of fixed size with the keys' bits set, gathered part by part."""
+    size = MAP_BITS // MAP_PARTS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            for part in np.unique(bit // size).tolist():
+                parts.setdefault(part, np.zeros(size, bool))[bit[bit // size == part] % size] = True
+        rows = [np.packbits(v).tobytes() for v in parts.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(rows, pa.binary())], names=["part", "bits"])
+
+    bits = keys.select(F.pmod(F.col(column), F.lit(MAP_BITS)).alias("bit")).distinct()
+    bits = bits.repartition(MAP_PARTS, F.floor(F.col("bit") / size))
+    out = np.zeros(MAP_BITS // 8, np.uint8)
+    for row in bits.mapInArrow(mark, "part int, bits binary").collect():
+        out[row["part"] * size // 8 : (row["part"] + 1) * size // 8] |= np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def asked_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text) rows of `docs` that may be among `wanted`.
+
+    The map lets through every key that is wanted and, while it is not crowded, few others; what passes is matched
+    exactly afterwards, so a crowded map costs traffic and nothing else.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(key_map(wanted, "_key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.mod(batch.column("text_key").to_numpy(), MAP_BITS)
+            keep = shared.value[bit // 8] & (128 >> (bit % 8)) > 0
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def link_documents(
@@ -333,28 +380,34 @@ def link_documents(
     classes = classes.select("digest", "pick.doc_id", "pick.text_key", "n_shingles", "bands", "sketch")
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
     first = classes.select("cid", "n_shingles", "bands", "sketch")
-    bands = first.select("cid", F.posexplode("bands").alias("band", "key")).withColumn("band", F.col("band").cast("int"))
-    bands = cut(bands, "near-bands")
-    buckets = cut(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("least")).filter("n > 1"), "near-buckets")
-    star = bands.join(buckets, "key").filter("cid != least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
+    bands = classes.select("cid", F.explode("bands").alias("key"))
+    # A bucket of two is a pair as it stands; only larger ones gather their members.
+    buckets = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("least"), F.max("cid").alias("most"))
+    buckets = cut(buckets.filter("n > 1"), "near-buckets")
+    met = cut(bands.join(buckets.filter("n > 2").select("key", "n", "least"), "key"), "near-met")
+    star = buckets.filter("n = 2").select(F.col("most").alias("a"), F.col("least").alias("b"))
+    star = star.unionByName(met.filter("cid != least").select(F.col("cid").alias("a"), F.col("least").alias("b"))).distinct()
     star = cut(likely_pairs(star, first, threshold), "near-star")
     # Full sets are rebuilt for the classes that may be compared.
-    asked = star.select(F.col("a").alias("cid")).unionByName(star.select(F.col("b").alias("cid")))
-    asked = asked.unionByName(bands.join(buckets.filter("n > 2").select("key"), "key").select("cid")).distinct()
-    wanted = classes.join(asked, "cid").select("cid", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    asked = star.select(F.col("a").alias("cid")).unionByName(star.select(F.col("b").alias("cid"))).unionByName(met.select("cid"))
+    wanted = classes.join(asked.distinct(), "cid").select("cid", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    wanted = cut(wanted, "near-wanted")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(whole(text)).alias("text_key"), whole(text).alias("text"))
-    texts = texts.join(wanted, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("cid", "text")
+    same = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    texts = asked_texts(texts, wanted).join(wanted, same).select("cid", "text")
     sets = cut(shingle_sets(texts), "near-sets")
     links = cut(confirmed(star, sets, percent), "near-links")
     groups = components(links)
-    open_ = cut(_open_buckets(bands, buckets, groups), "near-open")
+    open_ = cut(_open_buckets(met, groups), "near-open")
     if not open_.isEmpty():
-        mine = F.pmod(F.xxhash64("cid", "key"), F.col("blocks")).cast("int")
-        spread = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        blocks = F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")
+        mine = F.pmod(F.xxhash64("cid", "key"), blocks).cast("int")
+        spread = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         low, high = F.least("mine", "other"), F.greatest("mine", "other")
         spread = spread.select(
-            F.concat_ws(":", "key", low, high).alias("key"), "band", "cid", "root", F.when(F.col("mine") == low, 0).otherwise(1).alias("side")
-        )
+            F.concat_ws(":", "key", low, high).alias("key"), F.col("key").bitwiseAND(63).alias("band"), "cid", "root",
+            F.when(F.col("mine") == low, 0).otherwise(1).alias("side"),
+        )
         spread = spread.join(first, "cid")
         pairs = spread.groupBy("key").applyInArrow(_block_pairs(threshold), "key string, cid bigint, root bigint, partners array<bigint>")
         pairs = cut(pairs, "near-block-pairs")
@@ -369,7 +422,7 @@ def link_documents(
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    drop_tables(bands, buckets, sets, star)
+    drop_tables(buckets, met, sets, star)
     return out
 
 
