@@ -30,6 +30,8 @@ from farewise.llm.common import bounded_batches, flat, slices, whole
 from farewise.llm.tokens import MEMO_PIECES, TOKEN_BLOCK, PieceMemo
 
 BLANK_SIGN = "▁"
+#: Remembered answers whether two pieces may stand side by side.
+MEMO_PAIRS = 1_000_000
 # Kinds of pieces and of models in the model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -95,6 +97,8 @@ class SentencePieceModel(PieceMemo):
         ]
         self.shown = np.frombuffer(b"".join(shown), np.uint8)
         self.shown_at = np.concatenate([[0], np.cumsum([len(b) for b in shown])])
+        self.pairs: dict[int, bool] = {}
+        self.whole: list[bool | None] = [None] * len(self.pieces)
         super().__init__(memo)
 
     def borders(self, data: np.ndarray) -> np.ndarray:
@@ -122,36 +126,52 @@ class SentencePieceModel(PieceMemo):
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def _adjacent(self, left: str, right: str) -> bool:
-        """Whether merging `left + right` ends in exactly these two pieces."""
-        key = (left, right)
-        found = self.parts.get(key)
+    def _adjacent(self, left: int, right: int) -> bool:
+        """Whether merging the text of two pieces ends in exactly these two."""
+        key = left << 20 | right
+        found = self.pairs.get(key)
         if found is None:
-            found = self.parts[key] = self._merged(left + right) == [left, right]
+            if len(self.pairs) >= MEMO_PAIRS:
+                self.pairs.clear()
+            a, b = self.pieces[left], self.pieces[right]
+            found = self.pairs[key] = self._merged(a + b) == [a, b]
         return found
 
+    def _alone(self, i: int) -> bool:
+        """Whether merging the text of a piece ends in the piece itself."""
+        found = self.whole[i]
+        if found is None:
+            found = self.whole[i] = self._merged(self.pieces[i]) == [self.pieces[i]]
+        return found
+
+    def _merged_way(self, text: str) -> list[tuple[int, int]]:
+        """The way of a BPE model; the automaton gives the pieces of a position longest first."""
+        own, begin = [-1] * (len(text) + 1), list(range(-1, len(text)))
+        known = self.pairs.get
+        for last, (i, length) in self.automaton.iter(text):
+            if own[last + 1] >= 0:
+                continue
+            start = last + 1 - length
+            before = own[start]
+            if start and before >= 0:
+                fits = known(before << 20 | i)
+                if fits is None:
+                    fits = self._adjacent(before, i)
+            else:
+                fits = self._alone(i)
+            if fits:
+                own[last + 1], begin[last + 1] = i, start
+        return list(zip(begin, own, strict=True))
+
     def _way(self, text: str) -> list[tuple[int, int]]:
         """(start, id or -1 for an unknown character) of the piece that ends at each position."""
+        if self.kind == BPE:
+            return self._merged_way(text)
         n = len(text)
         ways: list[tuple[int, int]] = [(0, -1)] * (n + 1)
         ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
         for last, (i, length) in self.automaton.iter(text):
             ends[last + 1].append((last + 1 - length, i))
-        if self.kind == BPE:
-            for end in range(1, n + 1):
-                ways[end] = (end - 1, -1)
-                for start, i in ends[end]:
-                    if start == 0:
-                        if self._merged_alone(text[:end]):
-                            ways[end] = (start, i)
-                            break
-                        continue
-                    before, own = ways[start]
-                    if own < 0 or self._adjacent(text[before:start], text[start:end]):
-                        if own >= 0 or self._merged_alone(text[start:end]):
-                            ways[end] = (start, i)
-                            break
-            return ways
         best = [0.0] + [float("-inf")] * n
         for end in range(1, n + 1):
             known = False
@@ -164,12 +184,6 @@ class SentencePieceModel(PieceMemo):
                 best[end], ways[end] = best[end - 1] + self.unknown_score, (end - 1, -1)
         return ways
 
-    def _merged_alone(self, piece: str) -> bool:
-        found = self.parts.get(piece)
-        if found is None:
-            found = self.parts[piece] = self._merged(piece) == [piece]
-        return found
-
     def encode_piece(self, piece: str) -> list[int]:
         text = piece.replace(" ", BLANK_SIGN)
         ways, end, out = self._way(text), len(text), []
