@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from farewise.llm import (
-    exact_dedup, host_rules, id_planes, near_dedup, packing, pii, quality_net, section_counts, sentencepiece_viterbi, url_rules,
+    byte_bpe, exact_dedup, host_rules, id_planes, near_dedup, packing, pii, quality_net, section_counts, sentencepiece_viterbi, url_rules,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_dedup.link_documents(table(spark, folder, "documents"), percent=85).drop("text_key")
 
 
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(table(spark, folder, "documents"), ranks)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
