@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from farewise.llm import (
-    byte_bpe, exact_dedup, host_rules, id_planes, near_dedup, packing, pii, quality_net, section_counts, sentencepiece_viterbi, url_rules,
+    byte_bpe, exact_dedup, fill_middle, host_rules, id_planes, near_dedup, packing, pii, quality_net, section_counts, sentencepiece_viterbi, url_rules,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +171,37 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, folder, "documents"), ranks)
 
 
+@query(
+    "op13_fill_middle",
+    r"""
+    WITH u AS (
+        SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d,
+            regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+        FROM documents),
+    h AS (
+        SELECT doc_id, t, units, len(units) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2,
+            ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4
+        FROM u),
+    c AS (
+        SELECT doc_id, t, n,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+            array_to_string(units[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS p,
+            array_to_string(units[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS m,
+            array_to_string(units[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS s
+        FROM h)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+        CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM c
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, folder, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
