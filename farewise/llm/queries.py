@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from farewise.llm import (
-    byte_bpe, exact_dedup, fill_middle, host_rules, id_planes, near_dedup, packing, pii, quality_net, section_counts, sentencepiece_viterbi, url_rules,
+    byte_bpe, divergence, exact_dedup, fill_middle, host_rules, id_planes, near_dedup, packing, pii, quality_net, section_counts, sentencepiece_viterbi, url_rules,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,6 +171,39 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, folder, "documents"), ranks)
 
 
+_SHARE = "1 + (1000000000::HUGEINT * ({n} + 2)) // ({total} + 2 * terms)"
+
+
+@query(
+    "op12_divergence",
+    rf"""
+    WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), '{divergence.UPPER}', '{divergence.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+        FROM documents),
+    t AS (SELECT row, lang, source, unnest(ts) AS term FROM (SELECT *, row_number() OVER () AS row FROM d)),
+    kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+    langs AS (SELECT d.lang, count(kept.term) AS terms, coalesce(sum(kept.n), 0) AS total
+        FROM (SELECT DISTINCT lang FROM d) d LEFT JOIN kept USING (lang) GROUP BY d.lang),
+    c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+    p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, {_SHARE.format(n="coalesce(c.n, 0)", total="g.total")} AS p,
+            {_SHARE.format(n="kept.n", total="langs.total")} AS q
+        FROM g JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kept.term),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+    rows AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sums.value, 0)::BIGINT AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p WHERE n > 0 AND p > q)
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM rows
+    QUALIFY part = 'pair' OR rank <= 10
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.divergence(table(spark, folder, "documents"))
+
+
 @query(
     "op13_fill_middle",
     r"""
