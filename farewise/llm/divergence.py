@@ -10,7 +10,7 @@ keep a vocabulary near `MODEL_TERMS`, from a count of distinct terms; each fit r
 over all fits, so the results don't depend on their number.
 
 Pairs of sources are compared in chunks of terms. A chunk holds the terms of two groups of sources that meet;
-each term that a source has is compared with all sources of the other group at once, and terms that neither source
+each term that a source has is compared with all sources of both groups at once, and terms that neither source
 of a pair has are not visited: all have the same value, which is multiplied by their number. Chunks leave one sum a pair.
 
 Defined results: null text, language and source are empty strings; an empty table gives an empty result. Every
@@ -160,11 +160,12 @@ def _compare(key: tuple, chunk: pa.Table) -> pa.Table:
     """
     lang, group_a, group_b = (k.as_py() for k in key[:3])
     names, who = _coded(chunk.column("source"))
-    terms, term = _coded(chunk.column("term"))
     group, base = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
     group[who], base[who] = chunk.column("source_group").to_numpy(), chunk.column("base").to_numpy()
+    real = chunk.column("term").is_valid().to_numpy()
+    terms, term = _coded(chunk.column("term").filter(pa.array(real)))
     shares = np.zeros((len(names), len(terms)), np.int64)
-    shares[who, term] = chunk.column("share").to_numpy()
+    shares[who[real], term] = chunk.column("share").to_numpy()[real]
     values = np.zeros((len(names), len(names)), np.int64)  # over the terms of the first source
     lacking = np.zeros_like(values)  # over those of them that the second lacks
     shared = np.zeros_like(values)
@@ -217,13 +218,17 @@ def _pairs(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """The part "pair": each source with every other source of its language."""
     chunks = max(1, -(-counts.count() // CHUNK_ROWS))
     other = F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("other")
-    met = counts.select("lang", "source", "source_group", "base", "share", "term", other)
-    sums = met.groupBy(
-        "lang",
-        F.least("source_group", "other").alias("group_a"),
-        F.greatest("source_group", "other").alias("group_b"),
-        F.pmod(F.xxhash64("term"), F.lit(chunks)).alias("chunk"),
-    ).applyInArrow(_compare, SUMS)
+    place = F.pmod(F.xxhash64("term"), F.lit(chunks)).alias("chunk")
+    met = counts.select("lang", "source", "source_group", "base", "groups", "share", "term", place)
+    # A row without a term brings every source to every chunk, where others' terms meet what it has of none.
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk")
+    bare = groups.filter("terms > 0").select(
+        "lang", "source", "source_group", "base", "groups", F.lit(0).cast("bigint").alias("share"), F.lit(None).cast("string").alias("term"), every
+    )
+    met = met.unionByName(bare).select("*", other)
+    group_a, group_b = F.least("source_group", "other").alias("group_a"), F.greatest("source_group", "other").alias("group_b")
+    met = met.select("lang", group_a, group_b, "chunk", "source", "source_group", "base", "share", "term")
+    sums = met.groupBy("lang", "group_a", "group_b", "chunk").applyInArrow(_compare, SUMS)
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("shared").alias("shared"))
     # Every ordered pair of a language is a row of the result; salts spread a language of many sources.
     mine = groups.select("lang", "source", "own_terms", "base", "terms", F.pmod(F.xxhash64("source"), F.lit(SALTS)).alias("salt"))
