@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from farewise.functions.scalars import any_of, is_finite, safe_div, total, weighted_mean
 from farewise.operators.quality import check_contract
+from farewise.session import scratch_path
 from farewise.sources.tables import ContractError
 
 OUTCOMES = ("q_x", "q_y")
@@ -386,7 +387,7 @@ def fit_from_gram(
         tt, ty = basis.T @ project(t, t) @ basis, basis.T @ project(t, y)
         full[:, list(active)] = (basis @ np.linalg.solve(tt, ty)).T
     if not np.isfinite(full).all():
-        raise ContractError("estimator produced nonfinite effects")
+        raise ContractError("fitted effects contain NaN or infinity")
     intercept, coefficients = base_rate(gram, full)
     return replace(model, theta=full, intercept=intercept, coefficients=coefficients)
 
@@ -435,12 +436,26 @@ def fit_dml(
         sums = _residual_sums(forest_residuals(df, controls, fold, trees, depth, min_leaf, seed)).first()
     else:
         raise ValueError(f"unknown nuisance {nuisance!r}")
-    m = np.array([[sums[_pair(i, j)] for j in range(4)] for i in range(4)], float)
+    order = [_pair(i, j) for i in range(4) for j in range(i, 4)]
+    return dml_model(gram, np.array([sums[c] or 0.0 for c in ("n", "w", *order)], float), active, constants)
+
+
+def dml_model(
+    gram: Gram, sums: np.ndarray, active: tuple[int, ...] | None = None, constants: tuple[float | None, float | None] = (None, None)
+) -> Model:
+    """The 2 x 2 regression of out-of-fold residuals and its base rate.
+
+    `sums` has n, w and the upper triangle of the residuals' cross products (prices, then shares).
+    """
+    active = gram.varying() if active is None else active
+    m = np.zeros((4, 4))
+    m[np.triu_indices(4)] = sums[2:]
+    m += np.triu(m, 1).T
     on = list(active)
     tt = m[np.ix_(on, on)]
-    values = np.linalg.eigvalsh(tt / sums["w"]) if on else np.zeros(0)
+    values = np.linalg.eigvalsh(tt / sums[1]) if on and sums[1] > 0 else np.zeros(0)
     rank = int((values > RANK_TOLERANCE).sum())
-    model = Model("dml", "ok", tuple(controls), gram.n, gram.weight, active, constants, rank=rank)
+    model = Model("dml", "ok", gram.controls, gram.n, gram.weight, active, constants, rank=rank)
     if rank < max(len(on), 1):
         return replace(model, status="not_identified", warnings=("cross-fitted residual price lacks rank",))
     theta = np.zeros((2, 2))
@@ -449,6 +464,19 @@ def fit_dml(
     return replace(model, theta=theta, intercept=intercept, coefficients=coefficients, condition=float(values.max() / values.min()))
 
 
+def identified_effects(model: Model) -> list[float | None]:
+    """The four effects, row by row; None for a price that does not vary or lies outside the retained directions."""
+    found: list[float | None] = []
+    for j in range(2):
+        for k in range(2):
+            known = k in model.active
+            if known and model.basis is not None:
+                unit = np.eye(len(model.active))[model.active.index(k)]
+                known = np.abs(unit - model.basis @ (model.basis.T @ unit)).max() <= SPAN_TOLERANCE
+            found.append(float(model.theta[j, k]) if known else None)
+    return found
+
+
 def forest_residuals(
     df: DataFrame, controls: Sequence[str], fold: str, trees: int, depth: int, min_leaf: int, seed: int
 ) -> DataFrame:
@@ -462,7 +490,10 @@ def forest_residuals(
     base = VectorAssembler(inputCols=list(controls), outputCol="_f").transform(
         base.withColumns({c: F.col(c).cast("double") for c in wanted})
     )
-    base = base.persist()
+    # Read once per forest and by the result: a written table outlives lost executors and holds no cache.
+    path = scratch_path(df.sparkSession, "forest-rows")
+    base.write.parquet(path)
+    base = df.sparkSession.read.schema(base.schema).parquet(path)
     parts = []
     for value in sorted(r[0] for r in base.select("_fold").distinct().collect()):
         held = base.filter(F.col("_fold") == value)

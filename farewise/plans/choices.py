@@ -517,6 +517,39 @@ def f01_adjusted(spark, sf):
     return shown(resample.day_bootstrap(train(spark, sf), CONTROLS, 20).select("draw_id", "status", *resample.THETAS))
 
 
+def out_of_fold(source: str, by: str, times: str) -> str:
+    """Residuals around the cell means of the other folds, within each draw."""
+    rest = lambda v: f"(SUM({times} * {v}) OVER cell - SUM({times} * {v}) OVER part)"
+    residuals = ", ".join(f"{c} - {rest(f'w * {c}')} / NULLIF({rest('w')}, 0) AS u{i}" for i, c in enumerate(_MOMENT_COLS))
+    return f"SELECT *, {residuals} FROM {source} WINDOW cell AS (PARTITION BY {by}, zone_id, hr), part AS (PARTITION BY {by}, zone_id, hr, fold)"
+
+
+def dml_ctes(source: str, by: str, times: str = "1") -> dict[str, str]:
+    return {"oof": out_of_fold(source, by, times), "os": centred_sums(["u0", "u1", "u2", "u3"], "oof", by, times)}
+
+
+_DML_BOOT = {**mult(20), **dml_ctes("sampled", "draw_id", "times")}
+_DML_JACK = {
+    "left_rows": "SELECT train.*, out_day FROM train JOIN (SELECT DISTINCT day_id AS out_day FROM train) ON day_id <> out_day",
+    **dml_ctes("left_rows", "out_day"),
+}
+
+
+@query("F01_day_bootstrap_dml", sql_shown(on_blocks(f"SELECT draw_id, 'succeeded' AS status, {closed_form()} FROM os", **_DML_BOOT), {"draw_id": "i", "status": "", **THETA_KINDS}))
+def f01_dml(spark, sf):
+    return shown(resample.day_bootstrap(train(spark, sf), CONTROLS, 20, "dml").select("draw_id", "status", *resample.THETAS))
+
+
+@query("F05_day_jackknife_dml", sql_shown(on_blocks(f"SELECT out_day AS day_id, {closed_form()} FROM os", **_DML_JACK), {"day_id": "t", **THETA_KINDS}))
+def f05_dml(spark, sf):
+    return shown(resample.day_jackknife(train(spark, sf), CONTROLS, "dml").select("day_id", *resample.THETAS))
+
+
+@query("E05_fit_dml_by", sql_shown(on_blocks(f"SELECT dataset, 'succeeded' AS status, {closed_form()} FROM os", tagged=_KEYED["tagged"], **dml_ctes("tagged", "dataset")), {"dataset": "i", "status": "", **THETA_KINDS}))
+def e05_by(spark, sf):
+    return shown(resample.fit_by(keyed_train(spark, sf), CONTROLS, ["dataset"], "dml").select("dataset", "status", *resample.THETAS))
+
+
 @query("F02_percentile_interval", sql_shown(on_blocks("SELECT effect, COUNT(*) AS n_draws, QUANTILE_CONT(theta, 0.025) AS lower, QUANTILE_CONT(theta, 0.975) AS upper FROM l GROUP BY 1", **_BOOT, l=_LONG), {"effect": "", "n_draws": "i", "lower": "r", "upper": "r"}))
 def f02(spark, sf):
     draws = resample.bootstrap_prices_only(train(spark, sf), DRAWS)

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from farewise.operators import choice, estimate, inference, resample
+from farewise.operators import choice, draws, estimate, inference, resample
 from farewise.sources.tables import ContractError
 
 THETA = np.array([[-0.60, 0.15], [0.12, -0.50]])
@@ -233,7 +233,7 @@ def test_folds_keep_days_whole_and_balanced(exact):
 def test_unknown_estimators_are_refused(noisy):
     _, df = noisy
     with pytest.raises(ContractError, match="unknown estimator"):
-        resample.day_bootstrap(df, CONTROLS, 3, estimator="dml")
+        resample.day_bootstrap(df, CONTROLS, 3, estimator="ridge")
 
 
 def test_keyed_fits_and_draws_equal_one_key_at_a_time(noisy):
@@ -246,3 +246,81 @@ def test_keyed_fits_and_draws_equal_one_key_at_a_time(noisy):
         gram, active, constants = estimate.collect_gram(keyed.filter(F.col("dataset") == k), CONTROLS)
         model = estimate.fit_from_gram(gram, "adjusted_ols", active, constants)
         assert [fits[k][t] for t in resample.THETAS] == pytest.approx(model.theta.ravel().tolist())
+
+
+def cross_fit_by_hand(copy):
+    """Effects of a frame with a column `times`, from row residuals around the other folds' cell means."""
+    copy = copy.assign(w=copy.n_sessions * copy.times)
+    names = [*estimate.TREATMENTS, *estimate.OUTCOMES]
+    parts = []
+    for _, cell in copy.groupby(["zone_id", "hr"]):
+        for fold, own in cell.groupby("fold"):
+            rest = cell[cell.fold != fold]
+            if rest.w.sum() > 0:
+                means = (rest[names].mul(rest.w, axis=0)).sum() / rest.w.sum()
+                parts.append(pd.concat([own[names] - means, own[["w"]]], axis=1))
+    rows = pd.concat(parts)
+    t, y = rows[names[:2]].to_numpy(), rows[names[2:]].to_numpy()
+    w = rows.w.to_numpy(float)[:, None]
+    return np.linalg.solve(t.T @ (w * t), t.T @ (w * y)).T.ravel()
+
+
+def test_dml_draws_keep_a_days_fold_and_equal_refits_on_copies(noisy):
+    pdf, df = noisy
+    draws = resample.day_bootstrap(df, CONTROLS, 5, "dml").orderBy("draw_id").collect()
+    times = resample.draw_multiplicities(df, 5).toPandas()
+    assert [r.status for r in draws] == ["succeeded"] * 5
+    for row in draws:
+        copy = pdf.merge(times[times.draw_id == row.draw_id], on="day_id")
+        np.testing.assert_allclose([row[t] for t in resample.THETAS], cross_fit_by_hand(copy), atol=1e-8)
+    left = {r.day_id: r for r in resample.day_jackknife(df, CONTROLS, "dml").collect()}
+    assert len(left) == 14
+    for day in sorted(left)[:3]:
+        copy = pdf[pdf.day_id != day].assign(times=1)
+        np.testing.assert_allclose([left[day][t] for t in resample.THETAS], cross_fit_by_hand(copy), atol=1e-8)
+
+
+def test_draw_blocks_and_keys_do_not_change_results(noisy, monkeypatch):
+    _, df = noisy
+    keyed = df.withColumn("dataset", F.dayofmonth("day_id") % 2)
+    for estimator in ("adjusted_ols", "dml"):
+        whole = {(r.dataset, r.draw_id): r for r in resample.day_bootstrap(keyed, CONTROLS, 7, estimator, by=["dataset"]).collect()}
+        monkeypatch.setattr(draws, "DRAW_BLOCK", 3)
+        parts = {(r.dataset, r.draw_id): r for r in resample.day_bootstrap(keyed, CONTROLS, 7, estimator, by=["dataset"]).collect()}
+        monkeypatch.undo()
+        assert len(whole) == 14 and whole.keys() == parts.keys()
+        for key, row in whole.items():
+            assert [parts[key][t] for t in resample.THETAS] == pytest.approx([row[t] for t in resample.THETAS])
+            assert parts[key].coefficients == pytest.approx(row.coefficients)
+    fits = {r.dataset: r for r in resample.fit_by(keyed, CONTROLS, ["dataset"], "dml").collect()}
+    for k in (0, 1):
+        one = estimate.fit_dml(keyed.filter(F.col("dataset") == k), CONTROLS, "fold")
+        assert [fits[k][t] for t in resample.THETAS] == pytest.approx(one.theta.ravel().tolist())
+        assert (fits[k]["rank"], fits[k].condition) == (one.rank, pytest.approx(one.condition))
+        assert fits[k].intercept == pytest.approx(one.intercept.tolist())
+
+
+def test_directions_that_are_not_identified_are_null(noisy):
+    _, df = noisy
+    line = df.withColumn("log_multiplier_y", 0.5 * F.col("log_multiplier_x"))
+    fit = resample.fit_by(line.withColumn("dataset", F.lit(1)), CONTROLS, ["dataset"], "contrast_ols").first()
+    assert fit.status == "succeeded" and fit["rank"] == 1 and [fit[t] for t in resample.THETAS] == [None] * 4
+    flat = df.withColumn("log_multiplier_y", F.lit(0.1))
+    fit = resample.fit_by(flat.withColumn("dataset", F.lit(1)), CONTROLS, ["dataset"], "contrast_ols", (0,)).first()
+    assert fit.status == "succeeded" and fit.theta_xy is None and fit.theta_yy is None and fit.theta_xx is not None
+    lost = resample.day_bootstrap(line, CONTROLS, 3, "contrast_ols").collect()
+    assert {r.status for r in lost} == {"succeeded"} and all(r.theta_xx is None for r in lost)
+    empty = resample.day_bootstrap(df.limit(0), CONTROLS, 3, "dml")
+    assert empty.count() == 0 and resample.day_jackknife(df.limit(0), CONTROLS).count() == 0
+
+
+def test_status_follows_the_stability_of_intervals(spark):
+    rows = [(k, "succeeded", 0.1 * (k % 7), (0.0 if k < 20 else 5.0 * (k % 3))) for k in range(40)]
+    table = spark.createDataFrame(rows, "draw_id int, status string, calm double, wild double")
+    status = lambda *values: resample.bootstrap_status(table, 40, 30, values=values).first().interval_status
+    assert (status(), status("calm"), status("calm", "wild")) == ("ok", "ok", "interval_unstable")
+    keyed = table.withColumn("key", F.when(F.col("draw_id") % 2 == 0, "a"))
+    found = {r.key: r.interval_status for r in resample.bootstrap_status(keyed, 20, 15, by=["key"], values=["calm"]).collect()}
+    assert found == {"a": "ok", None: "ok"}
+    some = table.withColumn("calm", F.when(F.col("draw_id") > 5, F.col("calm")))
+    assert resample.bootstrap_status(some, 40, 30, values=["calm"]).first().interval_status == "interval_unstable"
