@@ -10,7 +10,7 @@ A piece can only ever be made of the two parts that it falls into when it is enc
 merges inside its span are those of the piece alone. So the map holds one pair a piece.
 
 Texts are cut into words by the vocabulary's pattern in the JVM. Words repeat, so a task gathers documents into
-blocks of `BLOCK_BYTES` of text, numbers the distinct words of a block, folds each of them once and gathers the ids
+blocks of `BLOCK_WORDS` words, numbers the distinct words of a block, folds each of them once and gathers the ids
 back: one row per block between two Arrow steps, nothing is shuffled, and a lost task repeats its own files only.
 Decoding looks every id up in a literal table of binary pieces and joins them.
 
@@ -19,7 +19,8 @@ merge of a single piece instead, whose time grows almost in proportion; both giv
 
 Defined results: null text is empty and has no ids; an empty text decodes to no bytes; null and repeated doc_ids and
 rows keep a row each; extra columns are not read; an empty table gives an empty result. Ties of rank are merged from
-the left. Texts longer than a block form a block of their own.
+the left. A block ends with a batch, so a very long text is
+in one block with what stands before it.
 """
 
 from __future__ import annotations
@@ -34,14 +35,19 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farewise.llm.common import bounded_batches, whole
 
-BLOCK_BYTES = 24 << 20
+#: Words of a block, repeats included, and bytes of the batches that it is gathered from.
+BLOCK_WORDS = 7_000_000
+BATCH_BYTES = 4 << 20
 LONG_WORD = 256
 BUCKETS = 1 << 16
+#: Merges applied to all words of a block at once.
+HEAD_MERGES = 48
 #: Places of a word fit below this factor, so that rank and place sort as one number.
 PLACES = 1 << 10
 BYTES = "ISO-8859-1"
@@ -92,15 +98,17 @@ class Pieces:
     """A vocabulary's pieces with their letters, and the pair of parts that each longer piece is made of."""
 
     def __init__(self, path: str):
-        self.ranks = read_ranks(path)
-        longer = sorted((rank, piece) for piece, rank in self.ranks.items() if len(piece) > 1)
+        ranks = read_ranks(path)
+        longer = sorted((rank, piece) for piece, rank in ranks.items() if len(piece) > 1)
         self.pieces = [bytes([b]) for b in range(256)] + [piece for _, piece in longer]
-        self.ids = np.array([self.ranks[piece] for piece in self.pieces], np.int32)
+        self.ids = np.array([ranks[piece] for piece in self.pieces], np.int32)
         self.numbers = {piece: n for n, piece in enumerate(self.pieces)}
-        split = {n: self.parts(self.pieces[n]) for n in range(256, len(self.pieces))}
-        self.pairs = {n: [self.numbers[p] for p in parts] for n, parts in split.items() if len(parts) == 2}
-        self.whole = {self.pieces[n]: int(self.ids[n]) for n in split if n not in self.pairs}
-        self.piece_of = {rank: piece for piece, rank in self.ranks.items()}
+        split = {n: [self.numbers[p] for p in self.parts(self.pieces[n])] for n in range(256, len(self.pieces))}
+        self.pairs = {n: parts for n, parts in split.items() if len(parts) == 2}
+        #: Pieces that no merge reaches, by the ids that they fall into: they stand for a word that equals them.
+        self.whole = {tuple(self.ids[parts].tolist()): int(self.ids[n]) for n, parts in split.items() if len(parts) > 2}
+        #: Whether every piece comes after its parts, so that merges may be applied rank by rank.
+        self.in_order = all(n > max(parts) for n, parts in self.pairs.items())
 
     @staticmethod
     def letter(number: int) -> str:
@@ -118,25 +126,30 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def merges(self) -> dict[str, int]:
-        """Two letters -> number of the piece they merge into. A piece that merges cannot reach has no pair."""
-        return {"".join(map(self.letter, pair)): number for number, pair in self.pairs.items()}
-
-    def ids_of(self, folded: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words given in letters, end to end, and how many each word has (nulls have none)."""
-        counts = pc.fill_null(pc.utf8_length(folded), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(folded)], pa.int32()), pc.fill_null(folded, "")), "")[0]
-        codes = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.int64)
-        ids = self.ids[codes - 0x800 * (codes >= 0xE000)]
-        if self.whole:  # pieces that no merge reaches stand for a word that equals them
-            ends = np.cumsum(counts)
-            for k, (start, end) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
-                own = self.whole.get(b"".join(self.piece_of[i] for i in ids[start:end].tolist()))
-                if own is not None:
-                    ids[start:end], counts[k] = -1, 1
-                    ids[start] = own
-            ids = ids[ids >= 0]
-        return ids, counts
+    def merges(self) -> list[tuple[str, int]]:
+        """Two letters and the number of the piece they merge into, in order of rank."""
+        return [("".join(map(self.letter, pair)), number) for number, pair in self.pairs.items()]
+
+    def first_merges(self) -> list[tuple[str, str]]:
+        """The merges applied to a whole block: two letters and the letter of the piece they merge into."""
+        return [(pair, self.letter(n)) for pair, n in self.merges()[: HEAD_MERGES if self.in_order else 0]]
+
+
+def _ids_of(folded: pa.Array, ids_by_number: np.ndarray, whole_words: dict[tuple, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words given in letters, end to end, and how many each word has (nulls have none)."""
+    counts = pc.fill_null(pc.utf8_length(folded), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(folded)], pa.int32()), pc.fill_null(folded, "")), "")[0]
+    codes = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+    ids = ids_by_number[codes - 0x800 * (codes >= 0xE000)]
+    if whole_words:
+        ends = np.cumsum(counts)
+        for k, (start, end) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
+            own = whole_words.get(tuple(ids[start:end].tolist()))
+            if own is not None:
+                ids[start:end], counts[k] = -1, 1
+                ids[start] = own
+        ids = ids[ids >= 0]
+    return ids, counts
 
 
 @lru_cache(maxsize=2)
@@ -144,10 +157,10 @@ def pieces_of(path: str) -> Pieces:
     return Pieces(path)
 
 
-def hashed_table(entries: dict[str, int]) -> Column:
+def hashed_table(entries: list[tuple[str, int]]) -> Column:
     """A literal map: maps of a few entries each, at the low bits of their keys' hash."""
     table: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for key, value in entries.items():
+    for key, value in entries:
         table[xxhash.xxh64_intdigest(key.encode(), seed=42) & (BUCKETS - 1)][key] = value
     return F.from_json(F.lit(json.dumps(table)), "array<map<string,int>>")
 
@@ -171,11 +184,11 @@ def merge_word(merges: Column, letters: Column, word: Column) -> Column:
     """The parts of one word, given and returned in letters."""
 
     def merge(parts: Column) -> Column:
-        pairs = F.sequence(F.lit(1), F.char_length(parts) - 1)
-        ranked = F.transform(pairs, lambda at: look_up(merges, F.substr(parts, at, F.lit(2))) * PLACES + at)
+        pairs = F.transform(F.sequence(F.lit(1), F.char_length(parts) - 1), lambda at: F.substr(parts, at, F.lit(2)))
+        ranked = F.transform(pairs, lambda pair, before: look_up(merges, pair) * PLACES + before)
 
         def join(low: Column) -> Column:
-            at = low.bitwiseAND(F.lit(PLACES - 1))
+            at = low.bitwiseAND(F.lit(PLACES - 1)) + 1
             piece = F.get(letters, F.shiftright(low, PLACES.bit_length() - 1))
             return F.when(low.isNull(), parts).otherwise(F.concat(F.substr(parts, F.lit(1), at - 1), piece, F.substr(parts, at + 2)))
 
@@ -190,62 +203,49 @@ def in_letters(text: Column) -> Column:
 
 
 def _gather_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (doc_id, words) gathered into one row per block: ids, word counts, distinct words and their numbers."""
-    held: list[pa.RecordBatch] = []
-    size = 0
+    """Rows of (doc_id, words) gathered into one row per block: ids, word counts, distinct words and their numbers.
+
+    The numbers are compressed, as they only pass through the JVM.
+    """
+    names, counts, coded, size = [], [], [], 0
 
     def block() -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        lists = table.column("words").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
-        counts = lists.value_lengths()
-        columns = [table.column("doc_id").combine_chunks(), counts.cast(pa.int32()), coded.indices.cast(pa.int32()), coded.dictionary]
-        names = ["doc_ids", "counts", "numbers", "words"]
-        return pa.RecordBatch.from_arrays(
-            [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=names
-        )
+        chunks = pa.chunked_array(coded).unify_dictionaries().chunks
+        numbers = np.concatenate([c.indices.to_numpy() for c in chunks])
+        packed = zstandard.compress(numbers.astype("<i4").tobytes(), 1)
+        row = [pa.chunked_array(names).combine_chunks(), pa.chunked_array(counts).combine_chunks(), chunks[-1].dictionary]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in row]
+        for held in (names, counts, coded):
+            held.clear()
+        return pa.RecordBatch.from_arrays([*lists, pa.array([packed], pa.binary())], names=["doc_ids", "counts", "words", "numbers"])
 
     for batch in batches:
-        words = batch.column("words")
-        sizes = _list_bytes(words)
-        begin = 0
-        while begin < batch.num_rows:
-            upto = size + np.cumsum(sizes[begin:])
-            end = begin + max(1, int(np.searchsorted(upto, BLOCK_BYTES, side="right")))
-            if held and size + sizes[begin] > BLOCK_BYTES:
-                yield block()
-                held, size = [], 0
-                continue
-            held.append(batch.slice(begin, end - begin))
-            size += int(sizes[begin:end].sum())
-            begin = end
-    if held:
+        coded.append(batch.column("words").flatten().dictionary_encode())
+        names.append(batch.column("doc_id"))
+        counts.append(batch.column("words").value_lengths().cast(pa.int32()))
+        size += len(coded[-1]) + len(batch)
+        if size > BLOCK_WORDS:
+            yield block()
+            size = 0
+    if names:
         yield block()
 
 
-def _list_bytes(words: pa.Array) -> np.ndarray:
-    """Bytes of all words of each list."""
-    lengths = pc.binary_length(words.flatten()).to_numpy(zero_copy_only=False)
-    upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    ends = np.cumsum(words.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
-    return np.diff(upto[np.concatenate([[0], ends])])
-
-
-def _spread(batches: Iterator[pa.RecordBatch], path: str, rows: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], path: str, ids_by_number: np.ndarray, whole_words: dict, rows: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Blocks of folded words back to documents and their ids, some `rows` words at a time."""
-    own, library = pieces_of(path), None
+    library = None
     for block in (batch.slice(k, 1) for batch in batches for k in range(batch.num_rows)):
-        doc_ids, counts, numbers, folded, long_words = (block.column(k)[0].values for k in range(5))
-        pool, each = own.ids_of(folded)
+        doc_ids, counts, folded, long_words = (block.column(k)[0].values for k in range(4))
+        numbers = np.frombuffer(zstandard.decompress(block.column("numbers")[0].as_py()), "<i4")
+        pool, each = _ids_of(folded, ids_by_number, whole_words)
         first = np.cumsum(each) - each
         if len(long_words):
-            library = library or tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=own.ranks, special_tokens={})
+            library = library or tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=read_ranks(path), special_tokens={})
             more = [np.array(library._encode_single_piece(w.encode()), np.int32) for w in long_words.to_pylist()]
             places = np.flatnonzero(folded.is_null().to_numpy(zero_copy_only=False))
             each[places] = [len(m) for m in more]
             first[places] = len(pool) + np.cumsum(each[places]) - each[places]
             pool = np.concatenate([pool, *more])
-        numbers = numbers.to_numpy()
         ends = np.concatenate([[0], np.cumsum(counts.to_numpy(), dtype=np.int64)])
         begin = 0
         while begin < len(doc_ids):
@@ -253,47 +253,58 @@ def _spread(batches: Iterator[pa.RecordBatch], path: str, rows: int = 1 << 19) -
             of = numbers[ends[begin] : ends[stop]]
             upto = np.concatenate([[0], np.cumsum(each[of])])
             ids = pool[np.repeat(first[of] - upto[:-1], each[of]) + np.arange(upto[-1])]
-            borders = pa.array(upto[ends[begin : stop + 1] - ends[begin]], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [doc_ids.slice(begin, stop - begin), pa.ListArray.from_arrays(borders, pa.array(ids, pa.int32()))], names=["doc_id", "ids"]
-            )
+            borders = upto[ends[begin : stop + 1] - ends[begin]]
+            packed = [None, pa.py_buffer((4 * borders).astype(np.int32)), pa.py_buffer(ids.astype("<i4"))]
+            columns = [
+                doc_ids.slice(begin, stop - begin), pa.ListArray.from_arrays(pa.array(borders, pa.int32()), pa.array(ids, pa.int32())),
+                pa.Array.from_buffers(pa.binary(), stop - begin, packed),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "packed"])
             begin = stop
 
 
+def fold_words(words: Column | str, own: Pieces) -> Column:
+    """The parts of each word of an array, in letters; null for words of more than `LONG_WORD` bytes.
+
+    All words, joined, first undergo the `HEAD_MERGES` merges of lowest rank one after the other, which for
+    these most frequent pairs is cheaper than to look them up word by word.
+    """
+    merges, letters = hashed_table(own.merges()), string_table([own.letter(n) for n in range(len(own.pieces))])
+    gap = own.letter(len(own.pieces))
+    short = F.transform(words, lambda w: F.when(F.octet_length(w) <= LONG_WORD, in_letters(w)).otherwise(""))
+    joined = F.array_join(short, gap)
+    first = own.first_merges()
+    if first:
+        table = F.from_json(F.lit(json.dumps(first)), "array<array<string>>")
+        joined = F.aggregate(table, joined, lambda s, pair: F.replace(s, F.get(pair, F.lit(0)), F.get(pair, F.lit(1))))
+    # No word is empty but those left out.
+    return let(
+        merges,
+        lambda m: let(letters, lambda s: F.transform(F.split(joined, gap), lambda w: F.when(w != "", merge_word(m, s, w)))),
+    )
+
+
 def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id and ids (array<int>) by the ranks in the file `path`."""
-    bounded_batches(docs.sparkSession)
+    """One row per document by the ranks in the file `path`: doc_id, ids (array<int>), and the same ids `packed` as
+    little-endian unsigned 32-bit integers.
+    """
+    bounded_batches(docs.sparkSession, BATCH_BYTES)
     own = pieces_of(path)
     words = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.regexp_extract_all(whole(text), F.lit(WORD), F.lit(0)).alias("words")
     )
-    blocks = words.mapInArrow(_gather_blocks, "doc_ids array<bigint>, counts array<int>, numbers array<int>, words array<string>")
-    merges, letters = hashed_table(own.merges()), string_table([own.letter(n) for n in range(len(own.pieces))])
-
-    def fold(word: Column, merges: Column, letters: Column) -> Column:
-        return F.when(F.octet_length(word) <= LONG_WORD, merge_word(merges, letters, in_letters(word)))
-
-    folded = let(merges, lambda m: let(letters, lambda s: F.transform("words", lambda w: fold(w, m, s))))
+    blocks = words.mapInArrow(_gather_blocks, "doc_ids array<bigint>, counts array<int>, words array<string>, numbers binary")
     long_words = F.filter("words", lambda w: F.octet_length(w) > LONG_WORD)
-    blocks = blocks.select("doc_ids", "counts", "numbers", folded.alias("folded"), long_words.alias("long_words"))
-    return blocks.mapInArrow(lambda batches: _spread(batches, path), "doc_id bigint, ids array<int>")
+    blocks = blocks.select("doc_ids", "counts", fold_words("words", own).alias("folded"), long_words.alias("long_words"), "numbers")
+    ids, whole_words = own.ids, own.whole
+    return blocks.mapInArrow(lambda batches: _spread(batches, path, ids, whole_words), "doc_id bigint, ids array<int>, packed binary")
 
 
 def decode_ids(ids: Column | str, path: str) -> Column:
     """The bytes that ids stand for: their pieces from a literal table, joined."""
-    own = pieces_of(path).piece_of
-    pieces = [own[i].decode(BYTES) if i in own else None for i in range(max(own) + 1)]
-    return F.encode(_joined(ids, string_table(pieces)), BYTES)
-
-
-def ids_as_bytes(ids: Column | str, path: str) -> Column:
-    """Ids as little-endian unsigned 32-bit integers."""
-    octets = [i.to_bytes(4, "little").decode(BYTES) for i in range(max(pieces_of(path).piece_of) + 1)]
-    return F.encode(_joined(ids, string_table(octets)), BYTES)
-
-
-def _joined(ids: Column | str, table: Column) -> Column:
-    return let(table, lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+    own = {rank: piece.decode(BYTES) for piece, rank in read_ranks(path).items()}
+    table = string_table([own.get(i) for i in range(max(own) + 1)])
+    return F.encode(let(table, lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "")), BYTES)
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -301,6 +312,6 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     return encode_documents(docs, path).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(ids_as_bytes("ids", path), 256).alias("ids_sha256"),
+        F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2(decode_ids("ids", path), 256).alias("decoded_sha256"),
     )

@@ -83,7 +83,11 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs without ASCII white space, and the first word of each text."""
-    ink = ~BLANK[data]
+    return runs(~BLANK[data], offsets)
+
+
+def runs(ink: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of marked bytes within each text, and the first run of each text."""
     before = np.zeros_like(ink)
     before[1:] = ink[:-1]
     after = np.zeros_like(ink)

@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.errors import IllegalArgumentException
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farewise.llm.common import cut, whole
+from farewise.llm.common import LOWER, bounded_batches, cut, flat, mixed, runs, slices, span_hashes, whole
 from farewise.session import scratch_path
 
 LEAST_DOCS = 10
@@ -38,23 +39,74 @@ TOP_TERMS = 10
 SCALE = 10**9
 #: Factors of `SCALE`, so that its product with a count fits a long at each step of a division.
 SCALE_PARTS = (31250, 32000)
-#: Fixed value: what separates terms, all ASCII but letters.
-SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Fixed value: bytes of terms, all but ASCII without its letters.
+TERM_BYTE = np.array([b >= 0x80 or chr(b).isalpha() for b in range(256)])
+#: Hashes kept to estimate the number of distinct terms, within about 3 %.
+SKETCH = 4096
 #: Distinct terms of one fit, kept or not, about 100 bytes each in the driver and the executors.
 MODEL_TERMS = 4_000_000
 #: (language, source, term) rows of one chunk, sources of one group and salts of a language's pairs.
 CHUNK_ROWS = 50_000
 GROUP_SOURCES = 128
 SALTS = 16
+SLICE_BYTES = 1 << 20
+TAGGED = "lang string, source string, terms array<string>"
 COUNTS = "lang string, source string, index int, n bigint"
 SUMS = "lang string, a string, b string, value bigint, shared bigint"
 
 
-def tagged_terms(text: Column, lang: Column) -> Column:
-    """The terms of a text, each behind its language and a byte that no term has."""
-    found = F.filter(F.split(F.translate(text, UPPER, LOWER), SEPARATORS), lambda t: t != "")
-    return F.transform(found, lambda t: F.concat(lang, F.lit("\0"), t))
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of documents with their lower-cased bytes, starts and ends of terms, and the first term of each text."""
+    for batch in batches:
+        for part in slices(batch, "text", SLICE_BYTES):
+            data, offsets = flat(part.column("text"))
+            data = LOWER[data]
+            starts, ends, first = runs(TERM_BYTE[data], offsets)
+            yield part, data, starts, ends, first
+
+
+def _tagged(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[pa.RecordBatch]:
+    """The terms of each text, each behind its language and a byte that no term has; `once` leaves out repetitions."""
+    for part, data, starts, ends, first in _terms(batches):
+        tags, upto = flat(part.column("lang"))
+        gap = len(upto) - 1
+        # Sources of the output's bytes: all tags with their ends, then the text; tag and term take turns.
+        tags = np.insert(tags, upto[1:], 0)
+        upto = upto + np.arange(gap + 1)
+        text_of = np.repeat(np.arange(gap), np.diff(first))
+        source = np.empty(2 * len(starts), np.int64)
+        sizes = np.empty_like(source)
+        source[0::2], source[1::2] = upto[text_of], starts + len(tags)
+        sizes[0::2], sizes[1::2] = np.diff(upto)[text_of], ends - starts
+        places = np.concatenate([[0], np.cumsum(sizes)])
+        take = np.arange(places[-1]) + np.repeat(source - places[:-1], sizes)
+        values = pa.Array.from_buffers(
+            pa.large_string(), len(starts), [None, pa.py_buffer(places[::2].copy()), pa.py_buffer(np.concatenate([tags, data])[take])]
+        )
+        if once:
+            coded = values.dictionary_encode()
+            pairs = np.unique(text_of << 32 | coded.indices.to_numpy())
+            values, first = coded.dictionary.take(pa.array(pairs & 0xFFFFFFFF)), np.searchsorted(pairs >> 32, np.arange(gap + 1))
+        terms = pa.ListArray.from_arrays(pa.array(first, pa.int32()), values.cast(pa.string()))
+        yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("source"), terms], names=["lang", "source", "terms"])
+
+
+def _least_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The `SKETCH` smallest hashes of a task's (language, term) pairs."""
+    least = np.zeros(0, np.uint64)
+    for part, data, starts, ends, first in _terms(batches):
+        tags, upto = flat(part.column("lang"))
+        own = np.array([xxhash.xxh64_intdigest(tags[a:b].tobytes()) for a, b in zip(upto[:-1], upto[1:], strict=True)], np.uint64)
+        hashes = np.unique(mixed(span_hashes(data, starts, ends) ^ np.repeat(own, np.diff(first))))
+        least = np.unique(np.concatenate([least, hashes[:SKETCH]]))[:SKETCH]
+    yield pa.RecordBatch.from_arrays([pa.array((least >> np.uint64(1)).astype(np.int64))], names=["hash"])
+
+
+def distinct_terms(docs: DataFrame) -> int:
+    """About how many distinct (language, term) pairs there are, from the smallest hashes of all."""
+    least = docs.mapInArrow(_least_hashes, "hash bigint").distinct().orderBy("hash").limit(SKETCH)
+    n, most = least.agg(F.count(F.lit(1)), F.max("hash")).first()
+    return n if n < SKETCH else int((SKETCH - 1) * 2.0**63 / most)
 
 
 def _sum_vectors(batches: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
@@ -100,18 +152,17 @@ def term_counts(docs: DataFrame) -> DataFrame:
     `docs` has lang, source and text without nulls.
     """
     spark = docs.sparkSession
-    tagged = docs.select("lang", "source", tagged_terms(F.col("text"), F.col("lang")).alias("terms"))
-    words = tagged.select(F.explode(F.array_distinct("terms")).alias("term"))
-    distinct = words.agg(F.approx_count_distinct(F.xxhash64("term"))).first()[0]
-    fits = max(1, -(-distinct // MODEL_TERMS))
+    bounded_batches(spark, 4 << 20)
+    tagged = docs.mapInArrow(_tagged, TAGGED)
+    # A vocabulary depends on document counts alone, so it is fitted to each document's distinct terms.
+    presence = docs.mapInArrow(lambda batches: _tagged(batches, once=True), TAGGED)
+    fits = max(1, -(-distinct_terms(docs.select("lang", "text")) // MODEL_TERMS))
     tables = []
     for k in range(fits):
-        part = tagged if fits == 1 else tagged.withColumn(
-            "terms", F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(fits)) == k)
-        )
+        own = F.filter("terms", lambda t: F.pmod(F.xxhash64(t), F.lit(fits)) == k) if fits > 1 else F.col("terms")
         vectorizer = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(LEAST_DOCS), vocabSize=2**31 - 1)
         try:
-            model = vectorizer.fit(part)
+            model = vectorizer.fit(presence.select(own.alias("terms")))
         except IllegalArgumentException as error:
             if "vocabulary size should be > 0" not in str(error):
                 raise
@@ -119,7 +170,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         path = scratch_path(spark, "vocabulary")
         model.write().save(path)
         names = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "tag"))
-        sums = model.transform(part).select("lang", "source", "vector").mapInArrow(_sum_vectors, COUNTS)
+        sums = model.transform(tagged.withColumn("terms", own)).select("lang", "source", "vector").mapInArrow(_sum_vectors, COUNTS)
         sums = sums.groupBy("lang", "source", "index").agg(F.sum("n").alias("n"))
         term = F.substring_index("tag", "\0", -1).alias("term")
         tables.append(cut(sums.join(names, "index").select("lang", "source", term, "n"), "term-counts"))

@@ -25,8 +25,8 @@ MIN_WORDS = 20
 MAX_REPEATED = 30
 #: A host fails when its shrunk failure rate is above this.
 HOST_LIMIT = 0.5
-#: Bounds of the prior's weight, in documents.
-PRIOR_WEIGHT = (2.0, 200.0)
+#: Default bounds of the prior's weight, in documents.
+PRIOR_WEIGHT: tuple[float | None, float | None] = (2.0, 200.0)
 SYMBOLS = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -100,11 +100,15 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def host_verdicts(judged: DataFrame, host: str = "host", failed: str = "base_failed") -> DataFrame:
+def host_verdicts(
+    judged: DataFrame, host: str = "host", failed: str = "base_failed", bounds: tuple[float | None, float | None] = PRIOR_WEIGHT
+) -> DataFrame:
     """Per host: documents, failures, shrunk failure rate and whether the host fails.
 
     The prior's mean is the corpus rate; its weight follows from the spread of the hosts' rates beyond what
-    sampling alone gives (moments), within PRIOR_WEIGHT.
+    sampling alone gives (moments). `bounds` are the least and the largest weight, in documents; None leaves the
+    fitted weight as it is (above 0). Where nothing can be fitted, the weight is the upper bound, or without one the
+    number of documents.
     """
     hosts = judged.filter(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("bad")
@@ -115,8 +119,8 @@ def host_verdicts(judged: DataFrame, host: str = "host", failed: str = "base_fai
         F.sum("bad").cast("double").alias("b"), F.sum("n").cast("double").alias("d"), F.count(F.lit(1)).alias("k"),
         F.sum(F.col("n") * rate * rate).alias("s2"), F.sum(F.col("n") * F.col("n").cast("double")).alias("n2"),
     ).first()
-    low, high = PRIOR_WEIGHT
-    mean, weight = 0.0, high
+    low, high = bounds[0] or 0.0, float("inf") if bounds[1] is None else bounds[1]
+    mean, weight = 0.0, min(high, prior["d"] or 0.0) if bounds[1] is None else high
     if prior["d"]:
         mean = prior["b"] / prior["d"]
         noise = mean * (1 - mean)
@@ -141,23 +145,26 @@ def judge_documents(docs: DataFrame, text: str = "text", host: str = "source", d
 
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that stay, with all their columns. Texts are measured again rather than shuffled."""
-    rows = measured(docs, text, F.col(host).cast("string").alias("host")).withColumn("base_failed", base_failed())
-    failed = unused(docs, "_failed_host")
-    bad_hosts = host_verdicts(rows).filter("host_failed").select(F.col("host").alias(failed))
-    return _passing(docs, text).join(bad_hosts, F.col(host).cast("string") == F.col(failed), "left_anti")
+    """The documents that stay, with all their columns. Each text is measured once, into a stored table."""
+    failed, bad = unused(docs, "_failed"), unused(docs, "_failed_host")
+    rows = cut(_with_failure(docs, text, failed), "quality-measured")
+    judged = rows.select(F.col(host).cast("string").alias("host"), F.col(failed).alias("base_failed"))
+    bad_hosts = host_verdicts(judged).filter("host_failed").select(F.col("host").alias(bad))
+    good = rows.filter(~F.col(failed)).drop(failed)
+    return good.join(bad_hosts, F.col(host).cast("string") == F.col(bad), "left_anti")
 
 
-def _passing(docs: DataFrame, text: str) -> DataFrame:
-    """Rows whose own measures pass."""
+def _with_failure(docs: DataFrame, text: str, failed: str) -> DataFrame:
+    """All columns, and whether a row's own measures fail."""
     bounded_batches(docs.sparkSession)
-    names, value = docs.columns, unused(docs, "_text")
+    value = unused(docs, "_text")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, value):
                 m = measure(part.column(value))
-                good = (m["n_words"] >= MIN_WORDS) & (100 * m["n_repeat_words"] <= MAX_REPEATED * m["n_words"])
-                yield part.select(names).filter(pa.array(good))
+                poor = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED * m["n_words"])
+                yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(poor)], names=[*names, failed])
 
-    return docs.withColumn(value, whole(text)).mapInArrow(run, docs.schema)
+    return docs.withColumn(value, whole(text)).mapInArrow(run, docs.withColumn(failed, F.lit(True)).schema)

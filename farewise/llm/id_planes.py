@@ -1,14 +1,15 @@
 """Token ids stored as compressed bit or byte planes with a chunk index.
 
 File format. A segment holds the ids of whole documents. Its ids are cut into blocks of a fixed number; a block is
-transposed into planes (bit k, or byte k, of every id), each plane is compressed with zstandard, and planes that are
-all zero take no bytes. The block index (place, number of ids, bytes of each plane) and the documents' ids and
+transposed into planes (bit k, or byte k, of every id), each plane that has a set bit is compressed with zstandard, and
+the others take no bytes. The block index (place, number of ids, bytes of each plane) and the documents' ids and
 lengths stand beside the payload. Segments are rows of a Parquet table without further compression, so that any
 store Spark can write holds the files, a lost executor's task leaves nothing behind, and segments are read in
 parallel; rows are in ascending doc_id order by (shard, segment).
 
 Defined results: null text is empty and yields the end id alone; null doc_ids come first; rows of equal id stand side
-by side in the order of a hash of their text; an empty table gives an empty file table. Texts are encoded whole.
+by side in the order of a hash of their text; an empty table gives an empty file table. Ids are those of whole texts; a text longer than a segment is a segment of
+its own. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -37,12 +38,13 @@ DOCS = "doc_id bigint, shard int, segment int, start bigint, n_tokens bigint, id
 
 
 def to_planes(ids: np.ndarray, kind: str) -> list[bytes]:
-    """Planes of a block, lowest first: 32 bit planes or 4 byte planes."""
+    """Planes of a block, lowest first: 32 bit planes or 4 byte planes. A plane without a set bit is empty."""
+    used = int(np.bitwise_or.reduce(ids)) if len(ids) else 0
     octets = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
     if kind == "byte":
-        return [octets[:, k].tobytes() for k in range(4)]
-    bits = np.unpackbits(octets, axis=1, bitorder="little")
-    return [np.packbits(bits[:, k], bitorder="little").tobytes() for k in range(32)]
+        return [octets[:, k].tobytes() if used >> 8 * k & 255 else b"" for k in range(4)]
+    bits = np.unpackbits(octets[:, : -(-used.bit_length() // 8)], axis=1, bitorder="little")
+    return [np.packbits(bits[:, k], bitorder="little").tobytes() if used >> k & 1 else b"" for k in range(32)]
 
 
 def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
@@ -71,7 +73,7 @@ def pack_segment(ids: np.ndarray, kind: str, level: int = 3) -> tuple[bytes, lis
         at.append(place)
         counts.append(len(block))
         for plane in to_planes(block, kind):
-            packed = press.compress(plane) if plane.strip(b"\0") else b""
+            packed = press.compress(plane) if plane else b""
             payload.append(packed)
             sizes.append(len(packed))
             place += len(packed)

@@ -394,7 +394,9 @@ def link_documents(
     wanted = cut(wanted, "near-wanted")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(whole(text)).alias("text_key"), whole(text).alias("text"))
     same = (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    texts = asked_texts(texts, wanted).join(wanted, same).select("cid", "text")
+    # Rows equal in id and text are one row from here on, so repeated rows do not multiply the comparisons.
+    texts = asked_texts(texts, wanted).dropDuplicates(["text_key", "doc_id"])
+    texts = texts.join(wanted, same).select("cid", "text")
     sets = cut(shingle_sets(texts), "near-sets")
     links = cut(confirmed(star, sets, percent), "near-links")
     groups = components(links)

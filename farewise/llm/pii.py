@@ -165,7 +165,7 @@ class Finder:
         if at < self.cue_end or (at and text[at - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
             return
         start = end
-        while start < len(text) and start < end + 12 and text[start] in " :=#\"'":
+        while start < len(text) and text[start] in " :=#\"'":
             start += 1
         if start == end:
             return

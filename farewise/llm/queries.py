@@ -40,7 +40,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op2_id_planes")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return id_planes.store_and_read(table(spark, folder, "documents"), vocabulary, end_id=2)
+    return id_planes.store_and_read(table(spark, folder, "documents"), vocabulary, end_id=2, kind="byte")
 
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -80,7 +80,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     index = exact_dedup.fresh_index(docs)
-    verdicts = exact_dedup.deduplicate(docs, index)
+    verdicts = exact_dedup.deduplicate_in_batches(docs, index)
     index.drop()  # this query judges one table by itself; a lasting index is for batches to come
     return verdicts
 
@@ -178,7 +178,7 @@ _SHARE = "1 + (1000000000::HUGEINT * ({n} + 2)) // ({total} + 2 * terms)"
     "op12_divergence",
     rf"""
     WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-            regexp_extract_all(translate(coalesce(text, ''), '{divergence.UPPER}', '{divergence.LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            regexp_extract_all(translate(coalesce(text, ''), '{url_rules.UPPER}', '{url_rules.SMALL}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
         FROM documents),
     t AS (SELECT row, lang, source, unnest(ts) AS term FROM (SELECT *, row_number() OVER () AS row FROM d)),
     kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 10),

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farewise.llm.common import bounded_batches, flat, slices, whole
-from farewise.llm.tokens import MEMO_PIECES, TOKEN_BLOCK, PieceMemo
+from farewise.llm.tokens import MEMO_BYTES, TOKEN_BLOCK, PieceMemo
 
 BLANK_SIGN = "▁"
 #: Remembered answers whether two pieces may stand side by side.
@@ -65,7 +65,7 @@ def _fields(message: bytes) -> Iterator[tuple[int, object]]:
 class SentencePieceModel(PieceMemo):
     """Encoder and decoder of one model file."""
 
-    def __init__(self, path: str, kind: int | None = None, memo: int = MEMO_PIECES):
+    def __init__(self, path: str, kind: int | None = None, memo: int = MEMO_BYTES):
         with open(path, "rb") as file:
             fields = list(_fields(file.read()))
         rows = [dict(_fields(value)) for number, value in fields if number == 1]

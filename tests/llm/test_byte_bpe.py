@@ -48,7 +48,8 @@ def test_every_character_is_cut_like_the_library(make, library):
 
 
 def test_long_words_and_blocks(make, library, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", 5000)
+    monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", 1000)
+    monkeypatch.setattr(byte_bpe, "BATCH_BYTES", 100_000)
     draw = random.Random(4)
     long = ["a" * 300_000, "".join(draw.choice("etaoinsr") for _ in range(100_000)), " " * 70_000, "word " * 50_000, "9" * 1000]
     near = ["".join(draw.choice("abe") for _ in range(n)) for n in (255, 256, 257, 258)]

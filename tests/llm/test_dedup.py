@@ -26,11 +26,22 @@ def test_later_batches_meet_the_index(make):
     second = make(["x", "z", "z"], ids=[8, 9, 10])
     got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(second, index).collect()}
     assert got == {8: (1, 2, False), 9: (10, 2, False), 10: (10, 2, True)}
-    assert index.table().count() == 3
+    third = make(["x", "x", "z"], ids=[20, 21, 22])
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.deduplicate(third, index).collect()}
+    assert got == {20: (1, 4, False), 21: (1, 4, False), 22: (10, 3, False)}
+    assert index.totals().count() == 3
     plan = index.unseen(index.table().select("digest"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
 
 
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_of_one_table_equal_one_batch(make, odd, empty, batches):
+    for docs in (make(["x", "y", "x", None, "", "x ", "y", "x"], ids=[5, 2, 9, 1, 7, None, 3, 4]), odd, empty):
+        want = sorted(map(str, exact_dedup.deduplicate(docs, exact_dedup.fresh_index(docs)).collect()))
+        index = exact_dedup.fresh_index(docs)
+        assert sorted(map(str, exact_dedup.deduplicate_in_batches(docs, index, batches).collect())) == want
+
+
 def test_exact_tables(odd, odd_texts, empty):
     index = exact_dedup.fresh_index(odd)
     rows = exact_dedup.deduplicate(odd, index).collect()
@@ -125,3 +136,11 @@ def test_near_tables(odd, odd_texts, empty, make):
     assert kept.columns == odd.columns
     assert near_dedup.keep_one_of_each(empty).count() == 0
     assert near_dedup.keep_one_of_each(make(["a b", "A  B", "c"])).count() == 2
+
+
+def test_repeated_rows_are_compared_once(make):
+    base = passage(3, 300)
+    near = base.replace("the", "a", 1)
+    docs = make([base] * 300 + [near] * 300, ids=[1] * 300 + [2] * 300)
+    rows = near_dedup.link_documents(docs, percent=80).collect()
+    assert len(rows) == 600 and {r.component_id for r in rows} == {1}

@@ -40,6 +40,24 @@ def test_cued_kinds():
     assert pii.redact(text, pii.find(text)).startswith("IBAN: <ACCOUNT>, password=<SECRET>, https://<LOGIN> <SECRET>")
 
 
+def test_cues_reach_over_any_separators():
+    for gap in (1, 11, 12, 13, 500):
+        text = "password" + " " * gap + "b7db7aa4x"
+        assert [(k, text[a:b]) for k, a, b in pii.find(text)] == [("secret", "b7db7aa4x")]
+
+
+def test_prior_bounds_are_parameters(spark):
+    judged = spark.createDataFrame([(h, k < bad) for h, bad in (("a", 9), ("b", 1), ("c", 2)) for k in range(10)], "host string, base_failed boolean")
+    rates = {}
+    for bounds in ((2.0, 200.0), (5000.0, None), (None, None), (None, 0.5)):
+        rates[bounds] = {r.host: r.host_rate for r in host_rules.host_verdicts(judged, bounds=bounds).collect()}
+    # Host a stands above the corpus rate of 0.4: the more weight the prior has, the lower its shrunk rate.
+    assert 0.4 < rates[5000.0, None]["a"] < rates[None, None]["a"] < rates[None, 0.5]["a"] < 0.9
+    assert rates[2.0, 200.0] == rates[None, None]
+    alike = judged.filter("host = 'a'")
+    assert host_rules.host_verdicts(alike, bounds=(None, None)).first().host_rate == pytest.approx(0.9)
+
+
 def test_pii_tables(odd, odd_texts, empty, make):
     assert pii.find_pii(odd).count() == len(odd_texts) and pii.find_pii(empty).count() == 0
     clean = pii.redact_pii(odd)

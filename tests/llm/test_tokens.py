@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -30,9 +31,53 @@ def noise():
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_pieces_encode_as_the_library_does(path, odd_texts, noise):
-    texts = [*odd_texts, *noise]
-    ids, offsets = tokens.PieceEncoder(path, memo=50).encode(*flat(pa.array(texts)))
-    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == library_ids(path, texts)
+    check_pieces(path, [*odd_texts, *noise], memo=2000)
+
+
+def check_pieces(path, texts, memo):
+    """A few texts at a time, so that later blocks meet remembered pieces."""
+    own, expected = tokens.PieceEncoder(path, memo=memo), library_ids(path, texts)
+    for k in range(0, len(texts), 7):
+        ids, offsets = own.encode(*flat(pa.array(texts[k : k + 7], pa.string())))
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)] == expected[k : k + 7], texts[k : k + 7]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_all_scripts_are_cut_safely(path):
+    draw = np.random.default_rng(8)
+    scripts = ["привет мир, Ёж", "ΣΑΣ ΣΆΣ ς", "日本語 テスト", "مرحبا بالعالم", "e\u0301 \u0301a", "a\u00a0b", "x\u3000y", "\u2003 z", "q\u0085 r", "\u1680 k",
+               "\U0001f600 \U00010400x", "İI ıi", "½ ²x", "\u202f7", "it's DON'T", "  \n x", "straße STRASSE", "\x1c a"]
+    texts = [" ".join(draw.choice(scripts, draw.integers(1, 6))) for _ in range(150)] + ["".join(draw.choice(scripts, 5)) for _ in range(150)]
+    check_pieces(path, texts, memo=4000)
+    check_pieces(path, texts, memo=1 << 25)
+
+
+def test_memory_is_bounded_and_rare_pieces_are_left(noise):
+    own = tokens.PieceEncoder(BYTE, memo=20_000)
+    for k in range(40):
+        own.encode(*flat(pa.array([f" w{k}x{i} w{k}x{i} once{k}{i}" for i in range(30)])))
+        assert own.held <= 20_000 and not any(p.startswith(b" once") for p in own.number)
+    assert own.number
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_other_rules_get_whole_texts(path, tmp_path, odd_texts):
+    declared = json.loads(open(path, encoding="utf-8").read())
+    assert tokens.known_rules(declared) == ("byte" if path == BYTE else "word")
+    if path == BYTE:
+        declared["pre_tokenizer"]["add_prefix_space"] = True
+    else:
+        declared["normalizer"]["normalizers"].pop()
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(declared))
+    assert tokens.known_rules(declared) is None
+    check_pieces(str(other), odd_texts, memo=1 << 20)
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_texts_longer_than_a_block(path):
+    texts = ["x" * 200_000 + "é" * 100_000, "word " * 1_000_000, "", "яблоко " * 1000]
+    check_pieces(path, texts, memo=1 << 25)
 
 
 def test_sentencepiece_ids_are_the_librarys(odd_texts, noise):
