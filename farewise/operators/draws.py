@@ -196,20 +196,25 @@ def dml_sums(
     return partial.groupBy(*by, "draw_id").agg(F.array(*[F.sum(F.col("m")[i]) for i in range(12)]).alias("m"))
 
 
+def residual_sums(df: DataFrame, by: Sequence[str], cell: Sequence[str], fold: str) -> DataFrame:
+    """(by..., m array<double>): n, w and cross products of out-of-fold residuals per key."""
+    per = moments(df, list(dict.fromkeys([*by, *cell, fold])))
+    rest = Window.partitionBy(*list(dict.fromkeys([*by, *cell])))
+    w = F.sum("w").over(rest) - F.col("w")
+    means = {f"p_{i}": F.when(w > 0, (F.sum(f"s_{i}").over(rest) - F.col(f"s_{i}")) / w) for i in range(4)}
+    placed = per.withColumns(means).filter(F.col("p_0").isNotNull())
+    p, s = (lambda i: F.col(f"p_{i}")), (lambda i: F.col(f"s_{i}"))
+    products = [F.col(f"m_{i}{j}") - p(j) * s(i) - p(i) * s(j) + p(i) * p(j) * F.col("w") for i, j in _PAIRS]
+    sums = [F.sum(c.cast("double")) for c in (F.col("n"), F.col("w"), *products)]
+    return placed.groupBy(*by).agg(F.array(*sums).alias("m"))
+
+
 def fit_by(df: DataFrame, controls: Sequence[str], by: Sequence[str], estimator: str, expected_active, cell: Sequence[str], fold: str) -> DataFrame:
     """One fit per key of `by`: status, reason, effects, base rate, rank and condition number."""
     by, controls = list(by), tuple(controls)
     grams = weighted_gram(df, controls, by)
     if estimator == "dml":
-        per = moments(df, list(dict.fromkeys([*by, *cell, fold])))
-        rest = Window.partitionBy(*list(dict.fromkeys([*by, *cell])))
-        w = F.sum("w").over(rest) - F.col("w")
-        means = {f"p_{i}": F.when(w > 0, (F.sum(f"s_{i}").over(rest) - F.col(f"s_{i}")) / w) for i in range(4)}
-        placed = per.withColumns(means).filter(F.col("p_0").isNotNull())
-        p, s = (lambda i: F.col(f"p_{i}")), (lambda i: F.col(f"s_{i}"))
-        products = [F.col(f"m_{i}{j}") - p(j) * s(i) - p(i) * s(j) + p(i) * p(j) * F.col("w") for i, j in _PAIRS]
-        sums = placed.groupBy(*by).agg(F.array(*[F.sum(c.cast("double")) for c in (F.col("n"), F.col("w"), *products)]).alias("m"))
-        grams = null_safe_join(grams, sums, by, "left")
+        grams = null_safe_join(grams, residual_sums(df, by, cell, fold), by, "left")
     elif estimator not in ("naive_ols", "adjusted_ols", "contrast_ols"):
         raise ContractError(f"unknown estimator {estimator!r}")
     schema = ", ".join([*kinds(df, by), "status string", "reason string", *[f"{t} double" for t in THETAS], "intercept array<double>, coefficients array<double>, rank int, condition double"])

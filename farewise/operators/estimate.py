@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import any_of, is_finite, safe_div, total, weighted_mean
+from farewise.functions.skew import null_safe_join
 from farewise.operators.quality import check_contract
 from farewise.session import scratch_path
 from farewise.sources.tables import ContractError
@@ -75,7 +76,11 @@ def grouped_sums(
         if held:
             yield rows()
 
-    partial = source.mapInPandas(reduce_batches, schema)
+    return added(source.mapInPandas(reduce_batches, schema), by)
+
+
+def added(partial: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Vectors `g` summed element by element per key."""
     parts = partial.select(*by, F.posexplode("g").alias("i", "v"))
     summed = parts.groupBy(*by, "i").agg(F.sum("v").alias("v"))
     ordered = F.array_sort(F.collect_list(F.struct("i", "v")))
@@ -206,7 +211,7 @@ def residualize(df: DataFrame, cell: Sequence[str], fold: str | None = None) ->
         rest = Window.partitionBy(*cell)
         minus = {c: F.sum(c).over(rest) - F.col(c) for c in ["_w", *[f"_s{i}" for i in range(4)]]}
         sums = sums.select(*keys, *[e.alias(c) for c, e in minus.items()])
-    joined = df.join(sums, keys)
+    joined = null_safe_join(df, sums, keys, "inner")
     out = {
         r: F.col(c) - safe_div(f"_s{i}", "_w") for i, (r, c) in enumerate(zip(("r_tx", "r_ty", "r_yx", "r_yy"), names))
     }

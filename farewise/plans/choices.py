@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farewise.operators import choice, estimate, inference, resample
+from farewise.operators import choice, estimate, inference, keyed, resample
 from farewise.plans.catalogue import kept, query, shown, sql_shown
 from farewise.plans.sqlkit import cross_products, eliminated, normal_cdf, normal_quantiles, recursive, t_quantiles
 from farewise.plans.trips import _CTX_CTES, _context, on_silver
@@ -279,6 +279,17 @@ def e04(spark, sf):
     return shown(theta_rows(spark, estimate.fit_ols(on_a_line(train(spark, sf)), CONTROLS, "contrast_ols")))
 
 
+def out_of_fold(source: str, by: str, times: str) -> str:
+    """Residuals around the cell means of the other folds, within each draw."""
+    rest = lambda v: f"(SUM({times} * {v}) OVER cell - SUM({times} * {v}) OVER part)"
+    residuals = ", ".join(f"{c} - {rest(f'w * {c}')} / NULLIF({rest('w')}, 0) AS u{i}" for i, c in enumerate(_MOMENT_COLS))
+    return f"SELECT *, {residuals} FROM {source} WINDOW cell AS (PARTITION BY {by}, zone_id, hr), part AS (PARTITION BY {by}, zone_id, hr, fold)"
+
+
+def dml_ctes(source: str, by: str, times: str = "1") -> dict[str, str]:
+    return {"oof": out_of_fold(source, by, times), "os": centred_sums(["u0", "u1", "u2", "u3"], "oof", by, times)}
+
+
 _OUT_OF_FOLD = "SELECT *, " + ", ".join(
     f"{c} - (SUM(w * {c}) OVER cell - SUM(w * {c}) OVER part) / (SUM(w) OVER cell - SUM(w) OVER part) AS u{i}" for i, c in enumerate(_MOMENT_COLS)
 ) + " FROM train WINDOW cell AS (PARTITION BY zone_id, hr), part AS (PARTITION BY zone_id, hr, fold)"
@@ -411,6 +422,40 @@ def e13(spark, sf):
     return shown(_theta_errors(spark, inference.day_cr1_covariance(df, model, gram), model))
 
 
+# The same by dataset: inverse, coefficients and row scores have a key.
+_KEYED_SCORES = {
+    **_KEYED,
+    "kinv_m": _INVERSE_M.replace("SELECT [", "SELECT dataset, [", 1).replace("FROM train", "FROM tagged GROUP BY dataset"),
+    **recursive(kinv_steps=eliminated("kinv_m", _WIDTH, "dataset")),
+    "kinv": f"SELECT dataset, list_transform(m, lambda r: r[{_WIDTH + 1}:{2 * _WIDTH}]) AS a FROM kinv_steps WHERE k = {_WIDTH}",
+    "kbeta": f"SELECT dataset, list_transform(m, lambda r: r[{_WIDTH + 1}]) AS b_x, list_transform(m, lambda r: r[{_WIDTH + 2}]) AS b_y FROM kfit WHERE k = {_WIDTH}",
+    "kx": f"SELECT *, [{', '.join(f'({c})::DOUBLE' for c in DESIGN)}] AS x FROM tagged",
+    "kload": "SELECT kx.*, b_x, b_y, list_transform(a, lambda r: w * list_dot_product(r, x)) AS load FROM kx JOIN kinv USING (dataset) JOIN kbeta USING (dataset)",
+    "kscored": "SELECT *, list_dot_product(load, x) AS lev, " + ", ".join(f"q_{s} - list_dot_product(b_{s}, x) AS e_{s}" for s in "xy") + " FROM kload",
+}
+_KEYED_KINDS = {"dataset": "i", "status": "", **_SE_KINDS, "degrees": "r"}
+
+
+def _keyed_errors(spark, sf, method: str) -> DataFrame:
+    rows = keyed.keyed_covariance(keyed_train(spark, sf), CONTROLS, ["dataset"], method)
+    return shown(rows.select("dataset", "status", *keyed.ERRORS, F.col("degrees").cast("double").alias("degrees")))
+
+
+@query("E11_hc3_covariance_by", sql_shown(on_blocks("SELECT dataset, 'ok' AS status, " + ", ".join(f"SQRT(SUM(POW(load[{k + 1}] * e_{y} / (1 - lev), 2))) AS se_{y}{t}" for y in "xy" for k, t in enumerate("xy")) + f", COUNT(*) - {_WIDTH} AS degrees FROM kscored GROUP BY dataset", **_KEYED_SCORES), _KEYED_KINDS))
+def e11_by(spark, sf):
+    return _keyed_errors(spark, sf, "hc3")
+
+
+@query("E12_dml_score_covariance_by", sql_shown(on_blocks("SELECT dataset, 'ok' AS status, " + ", ".join(f"SQRT(SUM(POW(w * e_{y} * ({a}) / (g0 * g2 - g1 * g1), 2))) AS se_{y}{t}" for y in "xy" for t, a in (("x", "g2 * u0 - g1 * u1"), ("y", "g0 * u1 - g1 * u0"))) + ", NULL::DOUBLE AS degrees FROM ksc GROUP BY dataset", tagged=_KEYED["tagged"], **dml_ctes("tagged", "dataset"), kth=f"SELECT dataset, m_00 AS g0, m_01 AS g1, m_11 AS g2, {closed_form()} FROM os", ksc="SELECT oof.*, g0, g1, g2, " + ", ".join(f"u{2 + j} - u0 * theta_{y}x - u1 * theta_{y}y AS e_{y}" for j, y in enumerate("xy")) + " FROM oof JOIN kth USING (dataset)"), _KEYED_KINDS))
+def e12_by(spark, sf):
+    return _keyed_errors(spark, sf, "score")
+
+
+@query("E13_day_cr1_covariance_by", sql_shown(on_blocks("SELECT dataset, 'ok' AS status, " + ", ".join(f"SQRT(SUM(POW(d_{y}{t}, 2)) * COUNT(*) / (COUNT(*) - 1) * (SUM(n) - 1) / (SUM(n) - {_WIDTH})) AS se_{y}{t}" for y in "xy" for t in "xy") + ", COUNT(*) - 1 AS degrees FROM kdays GROUP BY dataset", **_KEYED_SCORES, kdays="SELECT dataset, day_id, COUNT(*) AS n, " + ", ".join(f"SUM(load[{k + 1}] * e_{y}) AS d_{y}{t}" for y in "xy" for k, t in enumerate("xy")) + " FROM kscored GROUP BY 1, 2"), _KEYED_KINDS))
+def e13_by(spark, sf):
+    return _keyed_errors(spark, sf, "day_cr1")
+
+
 PLUS_TEN = {"scenario_id": "x_plus_10", "multiplier_x0": 1.0, "multiplier_y0": 1.0, "multiplier_x1": 1.1, "multiplier_y1": 1.0, "n_sessions": 10000.0}
 _D = math.log(1.1)
 _MEANS = f"SELECT [{', '.join(f'SUM(w * {z}) / SUM(w)' for z in Z)}] AS c FROM train"
@@ -517,17 +562,6 @@ def f01_adjusted(spark, sf):
     return shown(resample.day_bootstrap(train(spark, sf), CONTROLS, 20).select("draw_id", "status", *resample.THETAS))
 
 
-def out_of_fold(source: str, by: str, times: str) -> str:
-    """Residuals around the cell means of the other folds, within each draw."""
-    rest = lambda v: f"(SUM({times} * {v}) OVER cell - SUM({times} * {v}) OVER part)"
-    residuals = ", ".join(f"{c} - {rest(f'w * {c}')} / NULLIF({rest('w')}, 0) AS u{i}" for i, c in enumerate(_MOMENT_COLS))
-    return f"SELECT *, {residuals} FROM {source} WINDOW cell AS (PARTITION BY {by}, zone_id, hr), part AS (PARTITION BY {by}, zone_id, hr, fold)"
-
-
-def dml_ctes(source: str, by: str, times: str = "1") -> dict[str, str]:
-    return {"oof": out_of_fold(source, by, times), "os": centred_sums(["u0", "u1", "u2", "u3"], "oof", by, times)}
-
-
 _DML_BOOT = {**mult(20), **dml_ctes("sampled", "draw_id", "times")}
 _DML_JACK = {
     "left_rows": "SELECT train.*, out_day FROM train JOIN (SELECT DISTINCT day_id AS out_day FROM train) ON day_id <> out_day",

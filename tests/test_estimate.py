@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from farewise.operators import choice, draws, estimate, inference, resample
+from farewise.operators import choice, draws, estimate, inference, keyed, resample
 from farewise.sources.tables import ContractError
 
 THETA = np.array([[-0.60, 0.15], [0.12, -0.50]])
@@ -324,3 +324,44 @@ def test_status_follows_the_stability_of_intervals(spark):
     assert found == {"a": "ok", None: "ok"}
     some = table.withColumn("calm", F.when(F.col("draw_id") > 5, F.col("calm")))
     assert resample.bootstrap_status(some, 40, 30, values=["calm"]).first().interval_status == "interval_unstable"
+
+
+def test_keyed_covariances_equal_one_key_at_a_time(noisy, monkeypatch):
+    _, df = noisy
+    table = df.withColumn("dataset", F.when(F.dayofmonth("day_id") % 2 == 0, "even"))
+    parts = {"even": table.filter("dataset = 'even'"), None: table.filter("dataset is null")}
+    for salts in (1, 16):
+        monkeypatch.setattr(keyed, "SALTS", salts)
+        for method in keyed.METHODS:
+            found = {r.dataset: r for r in keyed.keyed_covariance(table, CONTROLS, ["dataset"], method).collect()}
+            assert found.keys() == parts.keys()
+            for key, part in parts.items():
+                gram, active, constants = estimate.collect_gram(part, CONTROLS)
+                if method == "score":
+                    model = estimate.fit_dml(part, CONTROLS, "fold")
+                    one = inference.dml_score_covariance(estimate.residualize(part, ["zone_id", "hr"], "fold"), model, gram)
+                else:
+                    model = estimate.fit_from_gram(gram, "adjusted_ols", active, constants)
+                    one = (inference.hc3_covariance if method == "hc3" else inference.day_cr1_covariance)(part, model, gram)
+                row = found[key]
+                assert (row.status, row.degrees, row.method) == ("ok", one.degrees, one.method)
+                np.testing.assert_allclose(row.covariance, one.matrix.ravel(), rtol=1e-6, atol=1e-12)
+                size = len(one.matrix) // 2
+                assert [row[e] ** 2 for e in keyed.ERRORS] == pytest.approx([one.matrix[i, i] for i in (0, 1, size, size + 1)])
+
+
+def test_keys_that_cannot_be_fitted_fail_alone(noisy):
+    _, df = noisy
+    lone = df.filter("zone_id = 0").limit(3).withColumn("dataset", F.lit(1))
+    flat = df.withColumn("log_multiplier_y", F.lit(0.1)).withColumn("dataset", F.lit(2))
+    good = df.withColumn("dataset", F.lit(3))
+    table = lone.unionByName(flat).unionByName(good)
+    for method in keyed.METHODS:
+        found = {r.dataset: r for r in keyed.keyed_covariance(table, CONTROLS, ["dataset"], method).collect()}
+        assert found[3].status == "ok" and found[1].status == "failed" and found[1].reason and found[1].covariance is None
+        assert found[2].status == "ok" and found[2].se_xx > 0 and found[2].se_xy is None
+    contrast = keyed.keyed_covariance(good.withColumn("log_multiplier_y", 0.5 * F.col("log_multiplier_x")), CONTROLS, ["dataset"], "day_cr1", "contrast_ols")
+    assert contrast.first().status == "ok"
+    assert keyed.keyed_covariance(good.limit(0), CONTROLS, ["dataset"]).count() == 0
+    with pytest.raises(ContractError, match="unknown covariance"):
+        keyed.keyed_covariance(good, CONTROLS, ["dataset"], "hc9")
