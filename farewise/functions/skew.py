@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import any_of, total
+from farewise.session import scratch_path
 
 SKETCH_ACCURACY = 10_000
+#: Rows up to which a group's values are summarized as they are: a megabyte or less a group and metric.
+EXACT_ROWS = 10_000
 #: Pieces in which a bracket is ranked.
 PIECES = 64
 
@@ -50,11 +53,47 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolated quantiles per group plus `extra` aggregates in one table.
 
-    One plan at every size. A first aggregate sketches each metric, which brackets every target rank
-    within two sketch steps (groups too small for that are bracketed by their range). A second
-    pass counts the values of the gaps between brackets as one number each and the values inside by
-    value. A group's bracket is ranked in PIECES consecutive pieces that meet only as totals, so no
-    task ranks a whole bracket.
+    A first aggregate counts the groups' rows, beside `extra`, and is stored. Groups of up to EXACT_ROWS rows are
+    read off a mergeable summary of their values, which at that size is exact; only the rows of larger ones are
+    sketched and ranked by `bracketed_quantiles`. Both give the same values.
+    """
+    keys = list(keys)
+    if not keys:
+        found = bracketed_quantiles(df, keys, wanted)
+        return _beside(df.agg(*extra), found) if extra else found
+    metrics = list(dict.fromkeys((q.value, q.valid) for q in wanted))
+    source = {(q.value, q.valid): q.source for q in wanted}
+    sizes = df.groupBy(*keys).agg(*extra, *[F.count(source[m]).alias(f"_n{i}") for i, m in enumerate(metrics)])
+    path = scratch_path(df.sparkSession, "group-sizes")
+    sizes.write.parquet(path)
+    sizes = df.sparkSession.read.schema(sizes.schema).parquet(path)
+    large = sizes.filter(any_of([F.col(f"_n{i}") > EXACT_ROWS for i in range(len(metrics))])).select(*keys)
+    if large.isEmpty():
+        found = _summarized(df, keys, wanted)
+    else:
+        small = _summarized(null_safe_join(df, large, keys, "left_anti"), keys, wanted)
+        found = small.unionByName(bracketed_quantiles(null_safe_join(df, large, keys, "left_semi"), keys, wanted))
+    return null_safe_join(sizes.drop(*[f"_n{i}" for i in range(len(metrics))]), found, keys, "left")
+
+
+def _summarized(df: DataFrame, keys: Sequence[str], wanted: Sequence[Quantile]) -> DataFrame:
+    """Quantiles of groups of bounded size: counts by value, merged over tasks."""
+    probs: dict[tuple[str, str | None], list[float]] = {}
+    for q in wanted:
+        probs.setdefault((q.value, q.valid), []).append(q.prob)
+    source = {(q.value, q.valid): q.source for q in wanted}
+    states = [F.percentile(source[m], F.array(*map(F.lit, ps))).alias(f"_p{i}") for i, (m, ps) in enumerate(probs.items())]
+    place = {(m, p): F.col(f"_p{i}")[ps.index(p)] for i, (m, ps) in enumerate(probs.items()) for p in ps}
+    return df.groupBy(*keys).agg(*states).select(*keys, *[place[(q.value, q.valid), q.prob].alias(q.name) for q in wanted])
+
+
+def bracketed_quantiles(df: DataFrame, keys: Sequence[str], wanted: Sequence[Quantile]) -> DataFrame:
+    """Linear-interpolated quantiles of groups of any size.
+
+    A first aggregate sketches each metric, which brackets every target rank within two sketch steps (groups too
+    small for that are bracketed by their range). A second pass counts the values of the gaps between brackets as one
+    number each and the values inside by value. A group's bracket is ranked in PIECES consecutive pieces that meet
+    only as totals, so no task ranks a whole bracket.
     """
     keys = list(keys)
     probs: dict[tuple[str, str | None], list[float]] = {}
@@ -71,8 +110,7 @@ def exact_quantiles(
         ends = [F.lit(e) for p in probs[m] for e in (max(0.0, p - step), min(1.0, p + step))]
         state = F.percentile_approx(source[m], F.array(*ends), F.lit(SKETCH_ACCURACY))
         sketches.append(F.struct(F.count(source[m]).alias("n"), F.min(source[m]).alias("least"), F.max(source[m]).alias("most"), state.alias("ends")).alias(f"_s{i}"))
-    plain = df.groupBy(*keys).agg(*extra, *sketches)
-    brackets = plain.select(*keys, *[f"_s{i}" for i in range(len(metrics))])
+    brackets = df.groupBy(*keys).agg(*sketches)
     joined = null_safe_join(df, brackets, keys, "inner") if keys else _beside(df, brackets)
     places = []
     for i, m in enumerate(metrics):
@@ -110,11 +148,7 @@ def exact_quantiles(
             F.max(F.when(own, rank - F.floor(rank))).alias(f"_f{j}"),
         ]
         values.append((F.col(f"_a{j}") + F.col(f"_f{j}") * (F.col(f"_b{j}") - F.col(f"_a{j}"))).alias(q.name))
-    found = ranked.groupBy(*keys).agg(*picks).select(*keys, *values)
-    shown = plain.drop(*[f"_s{i}" for i in range(len(metrics))])
-    if not keys:
-        return _beside(shown, found) if extra else found
-    return null_safe_join(shown, found, keys, "left")
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, *values)
 
 
 def _beside(df: DataFrame, row: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from farewise.functions import skew
 from farewise.functions.skew import Quantile, exact_quantiles, with_neighbour, with_running_max
 
 
@@ -31,6 +32,18 @@ def test_quantiles_are_exact_for_hot_and_cold_groups(skewed):
     assert (got.n == pdf.groupby("k").size().reindex(got.index)).all()
 
 
+@pytest.mark.parametrize("limit", [0, 5, 10**9])
+def test_small_and_large_groups_take_ways_that_agree(skewed, monkeypatch, limit):
+    pdf, df = skewed
+    part = df.filter("k < 40 and (k > 0 or v > 1.5)").withColumn("k", F.nullif("k", F.lit(3)))
+    monkeypatch.setattr(skew, "EXACT_ROWS", limit)
+    got = exact_quantiles(part, ["k"], WANTED, [F.count("*").alias("n")]).toPandas().set_index("k").sort_index()
+    frame = part.toPandas()
+    valid = frame[frame.ok].groupby("k", dropna=False).v
+    np.testing.assert_allclose(got.p50.to_numpy(float), valid.median().reindex(got.index).to_numpy(float), atol=1e-12)
+    np.testing.assert_allclose(got.all90, frame.groupby("k", dropna=False).v.quantile(0.9).reindex(got.index), atol=1e-12)
+
+
 def test_global_quantile_without_keys(skewed):
     pdf, df = skewed
     got = exact_quantiles(df, [], WANTED[-1:]).first()[0]
