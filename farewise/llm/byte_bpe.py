@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import bounded_batches, whole
+from farewise.llm.common import bounded_batches, released, whole
 
 #: Words of a block, repeats included, and bytes of the batches that it is gathered from.
 BLOCK_WORDS = 7_000_000
@@ -293,11 +293,11 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
     words = docs.select(
         F.col(doc_id).cast("bigint").alias("doc_id"), F.regexp_extract_all(whole(text), F.lit(WORD), F.lit(0)).alias("words")
     )
-    blocks = words.mapInArrow(_gather_blocks, "doc_ids array<bigint>, counts array<int>, words array<string>, numbers binary")
+    blocks = words.mapInArrow(released(_gather_blocks), "doc_ids array<bigint>, counts array<int>, words array<string>, numbers binary")
     long_words = F.filter("words", lambda w: F.octet_length(w) > LONG_WORD)
     blocks = blocks.select("doc_ids", "counts", fold_words("words", own).alias("folded"), long_words.alias("long_words"), "numbers")
     ids, whole_words = own.ids, own.whole
-    return blocks.mapInArrow(lambda batches: _spread(batches, path, ids, whole_words), "doc_id bigint, ids array<int>, packed binary")
+    return blocks.mapInArrow(released(lambda batches: _spread(batches, path, ids, whole_words)), "doc_id bigint, ids array<int>, packed binary")
 
 
 def decode_ids(ids: Column | str, path: str) -> Column:

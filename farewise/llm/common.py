@@ -7,7 +7,9 @@ the memory of a block is bounded (a text longer than a block forms a block of it
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +160,30 @@ def per_text(first: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """The C library's way to hand freed memory back to the system, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for `mapInArrow`, handing its memory back when a partition ends: workers stay for later tasks."""
+
+    def whole_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = _trim()
+            if trim is not None:
+                trim(0)
+
+    return whole_partition
+
+
 def bounded_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
     """Let Spark hand Python at most about `limit` bytes per Arrow batch, whatever the texts' length."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

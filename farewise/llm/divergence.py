@@ -31,7 +31,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farewise.llm.common import LOWER, bounded_batches, cut, flat, mixed, runs, slices, span_hashes, whole
+from farewise.llm.common import LOWER, bounded_batches, cut, flat, mixed, released, runs, slices, span_hashes, whole
 from farewise.session import scratch_path
 
 LEAST_DOCS = 10
@@ -104,7 +104,7 @@ def _least_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def distinct_terms(docs: DataFrame) -> int:
     """About how many distinct (language, term) pairs there are, from the smallest hashes of all."""
-    least = docs.mapInArrow(_least_hashes, "hash bigint").distinct().orderBy("hash").limit(SKETCH)
+    least = docs.mapInArrow(released(_least_hashes), "hash bigint").distinct().orderBy("hash").limit(SKETCH)
     n, most = least.agg(F.count(F.lit(1)), F.max("hash")).first()
     return n if n < SKETCH else int((SKETCH - 1) * 2.0**63 / most)
 
@@ -153,9 +153,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark, 4 << 20)
-    tagged = docs.mapInArrow(_tagged, TAGGED)
+    tagged = docs.mapInArrow(released(_tagged), TAGGED)
     # A vocabulary depends on document counts alone, so it is fitted to each document's distinct terms.
-    presence = docs.mapInArrow(lambda batches: _tagged(batches, once=True), TAGGED)
+    presence = docs.mapInArrow(released(lambda batches: _tagged(batches, once=True)), TAGGED)
     fits = max(1, -(-distinct_terms(docs.select("lang", "text")) // MODEL_TERMS))
     tables = []
     for k in range(fits):
@@ -170,7 +170,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         path = scratch_path(spark, "vocabulary")
         model.write().save(path)
         names = spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("index", "tag"))
-        sums = model.transform(tagged.withColumn("terms", own)).select("lang", "source", "vector").mapInArrow(_sum_vectors, COUNTS)
+        sums = model.transform(tagged.withColumn("terms", own)).select("lang", "source", "vector").mapInArrow(released(_sum_vectors), COUNTS)
         sums = sums.groupBy("lang", "source", "index").agg(F.sum("n").alias("n"))
         term = F.substring_index("tag", "\0", -1).alias("term")
         tables.append(cut(sums.join(names, "index").select("lang", "source", term, "n"), "term-counts"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import bounded_batches, flat, slices, whole, words
+from farewise.llm.common import bounded_batches, flat, released, slices, whole, words
 
 PIECE_BYTES = 1 << 16
 #: The marks of prefix, suffix and middle, and the parts' order in each form.
@@ -175,14 +175,14 @@ def output_pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole(text).alias("text"), *draws(F.col(doc_id)))
-    return rows.mapInArrow(_cut, PIECES).repartition("key").sortWithinPartitions("key", "place")
+    return rows.mapInArrow(released(_cut), PIECES).repartition("key").sortWithinPartitions("key", "place")
 
 
 def restored_pieces(pieces: DataFrame) -> DataFrame:
     """Pieces in text order, from pieces in output order; each document begins with a row of place -1 of its figures."""
-    return pieces.mapInArrow(_assemble, RESTORING).sortWithinPartitions("key", "place")
+    return pieces.mapInArrow(released(_assemble), RESTORING).sortWithinPartitions("key", "place")
 
 
 def fill_in_middle(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: its form, lengths, and digests of its output and of the text restored from it."""
-    return restored_pieces(output_pieces(docs, text, doc_id)).mapInArrow(_restore, RESULT)
+    return restored_pieces(output_pieces(docs, text, doc_id)).mapInArrow(released(_restore), RESULT)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import bounded_batches, cut, flat, mixed, per_text, slices, span_hashes, unused, whole, window_hashes, words
+from farewise.llm.common import bounded_batches, cut, flat, mixed, per_text, released, slices, span_hashes, unused, whole, window_hashes, words
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -93,7 +93,7 @@ def measured(docs: DataFrame, text: str, *columns: Column) -> DataFrame:
                 arrays = [part.column(c) for c in names] + [pa.array(v.astype(np.int64)) for v in found.values()]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*names, *found])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(released(run), schema)
 
 
 def base_failed() -> Column:
@@ -167,4 +167,4 @@ def _with_failure(docs: DataFrame, text: str, failed: str) -> DataFrame:
                 poor = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED * m["n_words"])
                 yield pa.RecordBatch.from_arrays([*part.select(names).columns, pa.array(poor)], names=[*names, failed])
 
-    return docs.withColumn(value, whole(text)).mapInArrow(run, docs.withColumn(failed, F.lit(True)).schema)
+    return docs.withColumn(value, whole(text)).mapInArrow(released(run), docs.withColumn(failed, F.lit(True)).schema)

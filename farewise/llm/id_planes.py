@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farewise.llm.common import bounded_batches, flat, slices, whole
+from farewise.llm.common import bounded_batches, flat, released, slices, whole
 from farewise.llm.tokens import TOKEN_BLOCK, encoder, with_end
 from farewise.session import scratch_path
 
@@ -138,7 +138,7 @@ def write_ids(
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole(text).alias("text"))
     order = ["doc_id", "tie"]
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
-    out = rows.select("doc_id", "text").mapInArrow(run, SEGMENTS)
+    out = rows.select("doc_id", "text").mapInArrow(released(run), SEGMENTS)
     out.write.option("compression", "none").parquet(path)
 
 
@@ -170,7 +170,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     bounded_batches(spark)
-    return spark.read.schema(SEGMENTS).parquet(path).mapInArrow(run, DOCS)
+    return spark.read.schema(SEGMENTS).parquet(path).mapInArrow(released(run), DOCS)
 
 
 def document_starts(spark: SparkSession, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farewise.llm.common import (
-    LOWER, STEP, bounded_batches, cut, drop_tables, flat, mixed, powers, slices, span_hashes, times_step, unused, whole, window_hashes, words,
+    LOWER, STEP, bounded_batches, cut, drop_tables, flat, mixed, powers, released, slices, span_hashes, times_step, unused, whole, window_hashes, words,
 )
 
 WIDTH = 5
@@ -134,7 +134,7 @@ def sign(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 )
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(whole(text)).alias("text_key"), whole(text).alias("text"))
-    return rows.mapInArrow(run, SIGNED)
+    return rows.mapInArrow(released(run), SIGNED)
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("cid"), lists], names=["cid", "shingles"])
 
-    return texts.mapInArrow(run, "cid bigint, shingles array<bigint>")
+    return texts.mapInArrow(released(run), "cid bigint, shingles array<bigint>")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,7 +168,7 @@ def likely_pairs(pairs: DataFrame, sketches: DataFrame, threshold: float) -> Dat
                 keep = pa.array(_alike(a, b) >= threshold - MARGIN)
                 yield batch.select(["a", "b"]).filter(keep)
 
-    return joined.mapInArrow(run, "a bigint, b bigint")
+    return joined.mapInArrow(released(run), "a bigint, b bigint")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -227,7 +227,7 @@ def _forests(links: DataFrame) -> DataFrame:
                 forest, taken = Forest(), 0
         yield trees()
 
-    return links.select("a", "b").mapInArrow(run, "a bigint, b bigint")
+    return links.select("a", "b").mapInArrow(released(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def key_map(keys: DataFrame, column: str) -> np.ndarray:
     bits = keys.select(F.pmod(F.col(column), F.lit(MAP_BITS)).alias("bit")).distinct()
     bits = bits.repartition(MAP_PARTS, F.floor(F.col("bit") / size))
     out = np.zeros(MAP_BITS // 8, np.uint8)
-    for row in bits.mapInArrow(mark, "part int, bits binary").collect():
+    for row in bits.mapInArrow(released(mark), "part int, bits binary").collect():
         out[row["part"] * size // 8 : (row["part"] + 1) * size // 8] |= np.frombuffer(row["bits"], np.uint8)
     return out
 
@@ -359,7 +359,7 @@ def asked_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             if keep.any():
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def link_documents(

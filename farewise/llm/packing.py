@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import bounded_batches, flat, slices, whole
+from farewise.llm.common import bounded_batches, flat, released, slices, whole
 from farewise.llm.tokens import TOKEN_BLOCK, encoder, with_end
 
 POOL = 2048
@@ -175,4 +175,4 @@ def pack(
     columns: list[Column] = [F.col(doc_id).cast("bigint").alias("doc_id"), whole(text).alias("text")]
     if prompt:
         columns.append(whole(prompt).alias("prompt"))
-    return docs.select(*columns).mapInArrow(run, PIECES)
+    return docs.select(*columns).mapInArrow(released(run), PIECES)

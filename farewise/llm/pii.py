@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from farewise.llm.common import bounded_batches, whole
+from farewise.llm.common import bounded_batches, released, whole
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "secret", "login")
@@ -253,7 +253,7 @@ def find_pii(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
             )
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole(text).alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def redact_pii(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -268,7 +268,7 @@ def redact_pii(docs: DataFrame, text: str = "text", length: str | None = "n_char
             clean = [t and redact(t, find(t)) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(clean, batch.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(released(run), docs.schema)
     if length and length in docs.columns:
         out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
     return out.select(*docs.columns)

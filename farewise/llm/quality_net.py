@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import bounded_batches, cut, flat, slices, span_hashes, whole
+from farewise.llm.common import bounded_batches, cut, flat, released, slices, span_hashes, whole
 
 BUCKETS = 1 << 14
 DIMS = 48
@@ -118,9 +118,9 @@ def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
         rows = [v.tobytes() for v in totals.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(rows, pa.binary())], names=["part", "sums"])
 
-    partial = docs.select(whole(text).alias("text")).mapInArrow(gather, "part int, sums binary")
+    partial = docs.select(whole(text).alias("text")).mapInArrow(released(gather), "part int, sums binary")
     table = np.zeros((BUCKETS, DIMS + 1))
-    for row in partial.repartition(PARTS, "part").mapInArrow(add, "part int, sums binary").collect():
+    for row in partial.repartition(PARTS, "part").mapInArrow(released(add), "part int, sums binary").collect():
         at = row["part"] * size
         table[at : at + size] += np.frombuffer(row["sums"], "<i8").reshape(size, DIMS + 1)
     seen, sums = table[:, :1], table[:, 1:]
@@ -233,7 +233,7 @@ def score_documents(
                 )
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole(text).alias("text"))
-    features = cut(rows.mapInArrow(pool, "doc_id bigint, features binary"), "quality-features")
+    features = cut(rows.mapInArrow(released(pool), "doc_id bigint, features binary"), "quality-features")
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).distinct()
     known = known.filter(~held_out(F.col("doc_id")))
     picked = F.xxhash64(F.col("doc_id"), F.lit("sample"))
@@ -247,5 +247,5 @@ def score_documents(
             x = np.frombuffer(b"".join(batch.column("features").to_pylist()), "<f4").reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(net.scores(x))], names=["doc_id", "score"])
 
-    scored = features.mapInArrow(score, "doc_id bigint, score double")
+    scored = features.mapInArrow(released(score), "doc_id bigint, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import bounded_batches, flat, slices, whole
+from farewise.llm.common import bounded_batches, flat, released, slices, whole
 from farewise.llm.tokens import TOKEN_BLOCK, encoder
 
 COUNTS = "doc_id bigint, section bigint, name string, start bigint, end bigint, n_tokens bigint, n_crossing bigint"
@@ -129,4 +129,4 @@ def count_tokens(
     columns = [F.col(doc_id).cast("bigint").alias("doc_id"), value.alias("text")]
     if sections is not None:
         columns.append(sections.cast("array<struct<name:string,start:bigint,end:bigint>>").alias("sections"))
-    return docs.select(*columns).mapInArrow(run, COUNTS)
+    return docs.select(*columns).mapInArrow(released(run), COUNTS)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farewise.llm.common import bounded_batches, flat, slices, whole
+from farewise.llm.common import bounded_batches, flat, released, slices, whole
 from farewise.llm.tokens import MEMO_BYTES, TOKEN_BLOCK, PieceMemo
 
 BLANK_SIGN = "▁"
@@ -242,7 +242,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
                 )
 
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, round_trip boolean")
+    return rows.mapInArrow(released(run), "doc_id bigint, n_tokens bigint, ids array<int>, ids_crc32 bigint, round_trip boolean")
 
 
 def decode_documents(tokens: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:
@@ -259,4 +259,4 @@ def decode_documents(tokens: DataFrame, path: str, ids: str = "ids", doc_id: str
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], names=["doc_id", "text"])
 
     empty = F.coalesce(F.col(ids).cast("array<int>"), F.expr("cast(array() as array<int>)"))
-    return tokens.select(F.col(doc_id).cast("bigint").alias("doc_id"), empty.alias("ids")).mapInArrow(run, "doc_id bigint, text string")
+    return tokens.select(F.col(doc_id).cast("bigint").alias("doc_id"), empty.alias("ids")).mapInArrow(released(run), "doc_id bigint, text string")

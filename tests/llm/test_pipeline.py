@@ -62,4 +62,4 @@ def test_stages_take_odd_and_empty_tables(spark, odd, empty):
 def test_all_are_registered():
     names = contract.queries()
     assert "pipeline" in names and [n for n in names if n.startswith("op")] == sorted((n for n in queries.QUERIES if n.startswith("op")), key=list(names).index)
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))

@@ -49,11 +49,11 @@ def test_cues_reach_over_any_separators():
 def test_prior_bounds_are_parameters(spark):
     judged = spark.createDataFrame([(h, k < bad) for h, bad in (("a", 9), ("b", 1), ("c", 2)) for k in range(10)], "host string, base_failed boolean")
     rates = {}
-    for bounds in ((2.0, 200.0), (5000.0, None), (None, None), (None, 0.5)):
+    for bounds in ((2.0, 200.0), (5000.0, None), (None, None), (None, 0.1)):
         rates[bounds] = {r.host: r.host_rate for r in host_rules.host_verdicts(judged, bounds=bounds).collect()}
     # Host a stands above the corpus rate of 0.4: the more weight the prior has, the lower its shrunk rate.
-    assert 0.4 < rates[5000.0, None]["a"] < rates[None, None]["a"] < rates[None, 0.5]["a"] < 0.9
-    assert rates[2.0, 200.0] == rates[None, None]
+    assert 0.4 < rates[5000.0, None]["a"] < rates[None, None]["a"] < rates[None, 0.1]["a"] < 0.9
+    assert 0.4 < rates[2.0, 200.0]["a"] < rates[None, None]["a"]
     alike = judged.filter("host = 'a'")
     assert host_rules.host_verdicts(alike, bounds=(None, None)).first().host_rate == pytest.approx(0.9)
 
