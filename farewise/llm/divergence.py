@@ -49,7 +49,7 @@ MODEL_TERMS = 4_000_000
 CHUNK_ROWS = 50_000
 GROUP_SOURCES = 128
 SALTS = 16
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 TAGGED = "lang string, source string, terms array<string>"
 COUNTS = "lang string, source string, index int, n bigint"
 SUMS = "lang string, a string, b string, value bigint, shared bigint"
@@ -66,27 +66,38 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _tagged(batches: Iterator[pa.RecordBatch], once: bool = False) -> Iterator[pa.RecordBatch]:
-    """The terms of each text, each behind its language and a byte that no term has; `once` leaves out repetitions."""
+    """The terms of each text, each behind its language and a byte that no term has.
+
+    `once` leaves out repetitions within a text and all columns but the terms.
+    """
     for part, data, starts, ends, first in _terms(batches):
         tags, upto = flat(part.column("lang"))
         gap = len(upto) - 1
-        # Sources of the output's bytes: all tags with their ends, then the text; tag and term take turns.
+        # The output's bytes come from all tags with their ends, then the text; tag and term take turns.
         tags = np.insert(tags, upto[1:], 0)
         upto = upto + np.arange(gap + 1)
         text_of = np.repeat(np.arange(gap), np.diff(first))
-        source = np.empty(2 * len(starts), np.int64)
-        sizes = np.empty_like(source)
-        source[0::2], source[1::2] = upto[text_of], starts + len(tags)
+        sizes = np.empty(2 * len(starts), np.int64)
         sizes[0::2], sizes[1::2] = np.diff(upto)[text_of], ends - starts
         places = np.concatenate([[0], np.cumsum(sizes)])
-        take = np.arange(places[-1]) + np.repeat(source - places[:-1], sizes)
+        # Places of bytes need eight bytes each only where a text is very long.
+        kind = np.int32 if max(places[-1], len(tags) + len(data)) < 2**31 else np.int64
+        shift = np.empty(len(sizes), kind)
+        shift[0::2], shift[1::2] = upto[text_of] - places[:-1:2], starts + len(tags) - places[1::2]
+        take = np.repeat(shift, sizes)
+        take += np.arange(places[-1], dtype=kind)
         values = pa.Array.from_buffers(
             pa.large_string(), len(starts), [None, pa.py_buffer(places[::2].copy()), pa.py_buffer(np.concatenate([tags, data])[take])]
         )
+        del take, shift
         if once:
             coded = values.dictionary_encode()
-            pairs = np.unique(text_of << 32 | coded.indices.to_numpy())
-            values, first = coded.dictionary.take(pa.array(pairs & 0xFFFFFFFF)), np.searchsorted(pairs >> 32, np.arange(gap + 1))
+            # First occurrences keep their order, so the pairs stay grouped by text.
+            pairs = pa.array(text_of << 32 | coded.indices.to_numpy()).unique().to_numpy()
+            terms = coded.dictionary.take(pa.array(pairs & 0xFFFFFFFF)).cast(pa.string())
+            first = np.searchsorted(pairs >> 32, np.arange(gap + 1))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(first, pa.int32()), terms)], names=["terms"])
+            continue
         terms = pa.ListArray.from_arrays(pa.array(first, pa.int32()), values.cast(pa.string()))
         yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("source"), terms], names=["lang", "source", "terms"])
 
@@ -109,7 +120,7 @@ def distinct_terms(docs: DataFrame) -> int:
     return n if n < SKETCH else int((SKETCH - 1) * 2.0**63 / most)
 
 
-def _sum_vectors(batches: Iterator[pa.RecordBatch], limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def _sum_vectors(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Sums of sparse vectors by (language, source), over about `limit` entries of a task at a time."""
     groups: dict[tuple[str, str], int] = {}
     keys: list[np.ndarray] = []
@@ -155,7 +166,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
     bounded_batches(spark, 4 << 20)
     tagged = docs.mapInArrow(released(_tagged), TAGGED)
     # A vocabulary depends on document counts alone, so it is fitted to each document's distinct terms.
-    presence = docs.mapInArrow(released(lambda batches: _tagged(batches, once=True)), TAGGED)
+    presence = docs.mapInArrow(released(lambda batches: _tagged(batches, once=True)), "terms array<string>")
     fits = max(1, -(-distinct_terms(docs.select("lang", "text")) // MODEL_TERMS))
     tables = []
     for k in range(fits):

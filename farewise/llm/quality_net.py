@@ -217,6 +217,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def least_picked(known: DataFrame, features: DataFrame, sample: int) -> DataFrame:
+    """The `sample` labelled documents of the smallest hashed ids, with their features.
+
+    Only hashes of ids are counted to find a bound that lets slightly more than `sample` rows pass; features are
+    joined to those alone, and the few rows too many are cut exactly.
+    """
+    picked = F.xxhash64(F.col("doc_id"), F.lit("sample"))
+    ids = known.join(features.select("doc_id"), "doc_id").select(picked.alias("picked"))
+    many, share = ids.count(), 0.0
+    if many > sample:
+        share = (sample + 5 * sample**0.5) / many
+        while share < 1 and ids.filter(F.col("picked") <= _bound(share)).count() < sample:
+            share *= 1.5
+        if share < 1:
+            known = known.filter(picked <= _bound(share))
+    return known.join(features, "doc_id").orderBy(picked, "doc_id", "y", "features").limit(sample)
+
+
+def _bound(share: float) -> int:
+    """The hash below which a share of all hashes lies."""
+    return int(share * 2**64) - 2**63
+
+
 def score_documents(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE
 ) -> DataFrame:
@@ -236,8 +259,7 @@ def score_documents(
     features = cut(rows.mapInArrow(released(pool), "doc_id bigint, features binary"), "quality-features")
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("y")).distinct()
     known = known.filter(~held_out(F.col("doc_id")))
-    picked = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    chosen = known.join(features, "doc_id").orderBy(picked, "doc_id", "y", "features").limit(sample)
+    chosen = least_picked(known, features, sample)
     table = chosen.select("y", "features", (F.crc32(F.concat(F.lit("calibrate"), F.col("doc_id").cast("string")).cast("binary")) % 5 == 0).alias("c")).toArrow()
     x = np.frombuffer(b"".join(table.column("features").to_pylist()), "<f4").reshape(-1, FEATURES)
     net = train(x, table.column("y").to_numpy(), table.column("c").to_numpy().astype(bool))

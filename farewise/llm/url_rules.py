@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Hexadecimal digits of a digest that the join compares.
 PREFIX_DIGITS = 8
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -29,9 +30,14 @@ def url_path(url: Column) -> Column:
 
 
 def _digest(host: Column, path: Column) -> Column:
+    """Digest of an expression, whose host begins with a dot: a suffix of an URL's host then begins at a label."""
     return F.sha2(F.concat(host, F.lit("\n"), path), 256)
 
 
+def _prefix(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, PREFIX_DIGITS), 16, 10).cast("bigint")
+
+
 def rule_table(rules: DataFrame) -> DataFrame:
     """Rules (host, path, verdict) with their digest; a path is cut after its last slash for the join."""
     host = F.translate("host", UPPER, SMALL)
@@ -41,8 +47,8 @@ def rule_table(rules: DataFrame) -> DataFrame:
         rules.filter("host is not null and host != '' and verdict is not null")
         .select(host.alias("rule_host"), path.alias("rule_path"), F.col("verdict").alias("rule_verdict"), stem.alias("stem"))
         .distinct()
-        .withColumn("rule_digest", _digest(F.col("rule_host"), F.col("stem")))
-        .withColumn("rule_key", F.substring("rule_digest", 1, PREFIX_DIGITS))
+        .withColumn("rule_digest", _digest(F.concat(F.lit("."), "rule_host"), F.col("stem")))
+        .withColumn("rule_key", _prefix(F.col("rule_digest")))
     )
 
 
@@ -63,7 +69,7 @@ def judge_urls(
     parts = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.least(F.size(parts), F.lit(labels))),
-        lambda n: F.array_join(F.slice(parts, -n, n), "."),
+        lambda n: F.concat(F.lit("."), F.array_join(F.slice(parts, -n, n), ".")),
     )
     # Prefixes that end in a slash, the empty one first; at most as many slashes as any rule has.
     pieces = F.split("path", "/")
@@ -71,12 +77,14 @@ def judge_urls(
         F.sequence(F.lit(0), F.least(F.size(pieces) - 1, F.lit(slashes))),
         lambda n: F.when(n == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(pieces, 1, n), "/"), F.lit("/"))),
     )
-    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _digest(h, p))))
-    spread = own.withColumn("digest", F.explode(pairs if labels else F.array(F.lit(""))))
-    spread = spread.withColumn("key", F.substring("digest", 1, PREFIX_DIGITS))
+    keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: _prefix(_digest(h, p)))))
+    spread = own.withColumn("key", F.explode(keys if labels else F.array(F.lit(0).cast("bigint"))))
+    # Only prefixes are join keys; of what they bring together the whole digest is computed and compared.
+    host_end = F.substring(F.concat(F.lit("."), "host"), -F.length("rule_host") - 1, F.length("rule_host") + 1)
+    path_start = F.substring("path", F.lit(1), F.length("stem"))
     sure = (
         (F.col("key") == F.col("rule_key"))
-        & (F.col("digest") == F.col("rule_digest"))
+        & (_digest(host_end, path_start) == F.col("rule_digest"))
         & F.col("path").startswith(F.col("rule_path"))
     )
     length = F.length("rule_host") + F.length("rule_path")

@@ -139,3 +139,20 @@ def test_only_ids_and_urls_are_read(spark):
     pages = spark.createDataFrame([(1, "http://a.com/", "x" * 10)], "page_id bigint, url string, html string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     assert "html" not in url_rules.judge_urls(pages.withColumn("more", F.lit(1)), rules).columns
+
+
+def test_prefixes_alone_join_and_whole_digests_decide(spark, monkeypatch):
+    rules = spark.createDataFrame([("a.com", "/x/", "block"), ("com", "/", "allow"), ("b.com", "", "block")], "host string, path string, verdict string")
+    urls = ["http://a.com/x/1", "http://za.com/x/1", "http://z.a.com/x/", "http://a.com/y", "http://b.com", "http://bb.com", "no", "http://b.com.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+
+    def judged():
+        return sorted((r.page_id, r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules).collect())
+
+    want = judged()
+    assert [r[1] for r in want] == ["a.com/x/", "com/", "a.com/x/", "com/", "b.com", None, None, None]
+    plan = url_rules.judge_urls(pages, rules)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in next(line for line in plan.splitlines() if "Join" in line)
+    # Prefixes that collide often change nothing.
+    monkeypatch.setattr(url_rules, "PREFIX_DIGITS", 1)
+    assert judged() == want
