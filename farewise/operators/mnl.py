@@ -81,15 +81,13 @@ def _design(j: int) -> list[Column]:
     return [F.lit(1.0 if j == 0 else 0.0), F.lit(1.0 if j == 2 else 0.0), F.col(f"t{j}"), F.col(f"c{j}")]
 
 
-def utilities(beta: Sequence[float]) -> list[Column]:
-    """Utility per alternative, NULL where it is not available."""
-    return [
-        F.when(F.col(f"av{j}"), total([F.lit(float(b)) * x for b, x in zip(beta, _design(j))]))
-        for j in range(ALTERNATIVES)
-    ]
+def utilities(beta: Sequence[float | Column]) -> list[Column]:
+    """Utility per alternative, NULL where it is not available; parameters are numbers or columns."""
+    weights = [b if isinstance(b, Column) else F.lit(float(b)) for b in beta]
+    return [F.when(F.col(f"av{j}"), total([b * x for b, x in zip(weights, _design(j))])) for j in range(ALTERNATIVES)]
 
 
-def log_probabilities(df: DataFrame, beta: Sequence[float]) -> DataFrame:
+def log_probabilities(df: DataFrame, beta: Sequence[float | Column]) -> DataFrame:
     """Availability-masked log-softmax lp<j>; the largest utility is taken out first."""
     with_u = df.withColumns({f"u{j}": u for j, u in enumerate(utilities(beta))})
     top = F.greatest(*[F.col(f"u{j}") for j in range(ALTERNATIVES)])
@@ -106,21 +104,31 @@ def _chosen() -> Column:
     return out
 
 
-def _newton_sums(df: DataFrame, beta: Sequence[float]) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log-likelihood, gradient and information at beta from one aggregate of 15 sums."""
+def newton_terms(df: DataFrame, beta: Sequence[float | Column], *keep: str) -> DataFrame:
+    """Per row, what `newton_columns` sums up, beside the columns to keep."""
     k = len(beta)
     scored = log_probabilities(df, beta)
     p = [F.coalesce(F.exp(F.col(f"lp{j}")), F.lit(0.0)) for j in range(ALTERNATIVES)]
     x = [_design(j)[:k] for j in range(ALTERNATIVES)]
-    named = scored.select(
-        _chosen().alias("ll"),
+    return scored.select(
+        *keep, _chosen().alias("ll"),
         *[total([p[j] * x[j][a] for j in range(ALTERNATIVES)]).alias(f"e{a}") for a in range(k)],
         *[total([F.when(F.col("choice_index") == j, x[j][a]).otherwise(0.0) for j in range(ALTERNATIVES)]).alias(f"o{a}") for a in range(k)],
         *[total([p[j] * x[j][a] * x[j][b] for j in range(ALTERNATIVES)]).alias(f"q{a}{b}") for a in range(k) for b in range(a, k)],
     )
+
+
+def newton_columns(k: int) -> list[Column]:
+    """Log-likelihood, gradient and upper triangle of the information as sums."""
     sums = [F.sum("ll")] + [F.sum(F.col(f"o{a}") - F.col(f"e{a}")) for a in range(k)]
     sums += [F.sum(F.col(f"q{a}{b}") - F.col(f"e{a}") * F.col(f"e{b}")) for a in range(k) for b in range(a, k)]
-    row = named.agg(*sums).first()
+    return sums
+
+
+def _newton_sums(df: DataFrame, beta: Sequence[float]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood, gradient and information at beta from one aggregate of 15 sums."""
+    k = len(beta)
+    row = newton_terms(df, beta).agg(*newton_columns(k)).first()
     gradient = np.array(row[1 : 1 + k], float)
     information = np.zeros((k, k))
     information[np.triu_indices(k)] = row[1 + k :]

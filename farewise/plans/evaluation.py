@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from farewise.functions.scalars import fingerprint, hash_uniform, is_finite, safe_div, weighted_mean
 from farewise.functions.stats import binom_test, clopper_pearson, holm_adjust, norm_ppf, t_ppf
-from farewise.operators import estimate, evaluate, mnl, policy, resample
+from farewise.operators import choice_fits, estimate, evaluate, mnl, policy, resample
 from farewise.plans.catalogue import query, shown, sql_shown
 from farewise.plans.choices import (
     _ADJUSTED,
@@ -530,7 +530,7 @@ def o05_constants(spark, sf):
     return shown(spark.createDataFrame([row], "asc_0 double, asc_2 double, log_likelihood double"))
 
 
-def _newton_sql() -> str:
+def _newton_sql(name: str = "nw", source: str = "mt") -> str:
     """Recursive body: twelve Newton steps from zero; b holds the estimates, se their errors."""
     x = [["1", "0", "t0", "c0"], ["0", "0", "t1", "c1"], ["0", "1", "t2", "c2"]]
     p = ["p0", "p1", "p2"]
@@ -542,7 +542,7 @@ def _newton_sql() -> str:
         unit = ["1.0" if a == b else "0.0" for b in range(4)]
         rows.append("[" + ", ".join([*second, f"SUM({chosen[a]} - ({mean[a]}))", *unit]) + "]")
     utility = "b[1] + b[3] * t0 + b[4] * c0 AS u0, b[3] * t1 + b[4] * c1 AS u1, b[2] + b[3] * t2 + b[4] * c2 AS u2"
-    shares = f"SELECT k, b, choice_index, t0, t1, t2, c0, c1, c2, EXP(u0) / d AS p0, EXP(u1) / d AS p1, CASE WHEN av2 THEN EXP(u2) ELSE 0 END / d AS p2 FROM (SELECT *, EXP(u0) + EXP(u1) + CASE WHEN av2 THEN EXP(u2) ELSE 0 END AS d FROM (SELECT nw.k, nw.b, mt.*, {utility} FROM nw CROSS JOIN mt WHERE k < 12))"
+    shares = f"SELECT k, b, choice_index, t0, t1, t2, c0, c1, c2, EXP(u0) / d AS p0, EXP(u1) / d AS p1, CASE WHEN av2 THEN EXP(u2) ELSE 0 END / d AS p2 FROM (SELECT *, EXP(u0) + EXP(u1) + CASE WHEN av2 THEN EXP(u2) ELSE 0 END AS d FROM (SELECT {name}.k, {name}.b, {source}.*, {utility} FROM {name} CROSS JOIN {source} WHERE k < 12))"
     body = f"SELECT k, b, [{', '.join(rows)}]::DOUBLE[][] AS m FROM ({shares}) GROUP BY k, b"
     for i in range(1, 5):
         body = f"SELECT k, b, list_transform(m, lambda r, i: CASE WHEN i = {i} THEN list_transform(r, lambda v: v / m[{i}][{i}]) ELSE list_transform(r, lambda v, j: v - r[{i}] * m[{i}][j] / m[{i}][{i}]) END) AS m FROM ({body})"
@@ -560,6 +560,25 @@ def o05(spark, sf):
     return shown(spark.createDataFrame(rows, "parameter string, estimate double, standard_error double"), 5)
 
 
+_KEYED_NEWTON = {}
+for _k in (0, 1):
+    _KEYED_NEWTON |= {f"mt{_k}": f"{_TASKS_SQL} AND person_id % 2 = {_k}", f"nw{_k}": _newton_sql(f"nw{_k}", f"mt{_k}")}
+_KEYED_FITS = " UNION ALL ".join(
+    f"SELECT {k} AS dataset, 'ok' AS status, (SELECT COUNT(*) FROM mt{k}) AS n, UNNEST(['asc_0', 'asc_2', 'time', 'cost']) AS parameter, "
+    f"UNNEST(b) AS estimate, UNNEST(se) AS standard_error FROM nw{k} WHERE k = 12"
+    for k in (0, 1)
+)
+
+
+@query("O05_fit_mnl_by", sql_shown(on_tasks(_KEYED_FITS, **_KEYED_NEWTON), {"dataset": "i", "status": "", "n": "i", "parameter": "", "estimate": "r5", "standard_error": "r5"}))
+def o05_by(spark, sf):
+    data = mnl.choice_features(mnl.prepare_choices(tasks(spark, sf))).withColumn("dataset", (F.col("person_id") % 2).cast("int"))
+    fits = choice_fits.fit_mnl_by(data, ["dataset"])
+    names = F.array(*[F.lit(p) for p in mnl.PARAMETERS])
+    rows = fits.select("dataset", "status", "n", F.explode(F.arrays_zip(names.alias("parameter"), F.col("beta").alias("estimate"), F.col("standard_errors").alias("standard_error"))).alias("r"))
+    return shown(rows.select("dataset", "status", "n", "r.parameter", "r.estimate", "r.standard_error"), 5)
+
+
 @query("O06_score_mnl", sql_shown(on_tasks("SELECT split, SUM(n) AS n_tasks, COUNT(*) AS n_people, SUM(l) / SUM(n) AS log_loss, AVG(l / n) AS person_mean_loss, SUM(h) / SUM(n) AS accuracy FROM (SELECT split, person_id, COUNT(*) AS n, SUM(-lpc) AS l, SUM((pick = choice_index)::INT)::DOUBLE AS h FROM lp JOIN sp USING (person_id) WHERE lpc IS NOT NULL GROUP BY 1, 2) GROUP BY 1", people=_PEOPLE, sp=_SPLIT_P, ut=_UTIL, lp=_LP), {"split": "", "n_tasks": "i", "n_people": "i", "log_loss": "r", "person_mean_loss": "r", "accuracy": "r"}))
 def o06(spark, sf):
     data = mnl.split_people(mnl.choice_features(mnl.prepare_choices(tasks(spark, sf))), 42)
