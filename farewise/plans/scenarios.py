@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from farewise.functions.scalars import ntz
-from farewise.operators import choice, demand, resample, scenario
+from farewise.operators import analytic, choice, demand, inference, resample, scenario
 from farewise.plans.catalogue import query, shown, sql_shown
 from farewise.plans.choices import (
     _ADJUSTED,
+    _SCORE_CTES,
+    _TQ,
     _WIDTH,
     T,
     Y,
+    Z,
     ZONES,
     _dot,
     coefficient,
@@ -179,6 +182,30 @@ def g07_forecast(spark, sf):
     return shown(out.select("scenario_id", "metric_id", "estimate", "status", "scenario_status"), 4)
 
 
+# Standard errors of every metric: squares of each training row's influence on it, at the mean controls of its set.
+_ANALYTIC = {
+    "cm": f"SELECT r.scenario_id, multiplier_x0, multiplier_y0, multiplier_x1, multiplier_y1, r.n_sessions AS asked, [{', '.join(f'SUM(b.n_sessions::DOUBLE * {z}) / SUM(b.n_sessions::DOUBLE)' for z in Z)}] AS c FROM req r JOIN blocks b ON r.target_context_set = 'all' OR r.target_context_set = 'zone_' || b.zone_id GROUP BY 1, 2, 3, 4, 5, 6",
+    "infl": "SELECT scenario_id, asked AS n_sessions, " + ", ".join(f"(list_dot_product(load[3:{_WIDTH}], c) + load[1] * LN(multiplier_x{i}) + load[2] * LN(multiplier_y{i})) * e_{y} / (1 - lev) AS p_{y}{i}" for y in "xy" for i in (0, 1)) + " FROM scored, cm",
+    "gr": "SELECT *, " + ", ".join(f"-p_x{i} - p_y{i} AS p_none{i}" for i in (0, 1)) + " FROM infl",
+    "se": " UNION ALL ".join(f"SELECT scenario_id, '{m}' AS metric_id, SQRT(SUM(POW({e.replace('* n', '* n_sessions')}, 2))) AS se FROM gr GROUP BY 1" for m, _, _, e, _ in _METRICS),
+    "tq_in": f"SELECT 1 AS id, 0.975::DOUBLE AS p, (COUNT(*) - {_WIDTH})::DOUBLE AS df FROM train",
+    **_TQ,
+}
+_SURE = _STATUS.replace("'interval_unstable'", "'ok'")
+
+
+@query("G07_analytic_forecast", sql_shown(on_blocks(f"""SELECT scenario_id, metric_id, CASE WHEN seen THEN estimate END AS estimate, CASE WHEN stopped THEN st ELSE point END AS status, CASE WHEN seen THEN 'ok' ELSE 'interval_unavailable' END AS interval_status,
+CASE WHEN seen THEN estimate - hi * se END AS lower, CASE WHEN seen THEN estimate + hi * se END AS upper, st AS scenario_status FROM (SELECT *, NOT stopped AND point = 'ok' AS seen FROM (
+SELECT *, st IN ('out_of_support', 'invalid_probability') OR (baseline_support <> 'ok' AND target_support <> 'ok') AS stopped, CASE period WHEN 'baseline' THEN baseline_support WHEN 'target' THEN target_support ELSE CASE WHEN target_support <> 'ok' THEN target_support ELSE baseline_support END END AS point
+FROM (SELECT mm.*, baseline_support, target_support, {_SURE} AS st FROM mm JOIN wide USING (scenario_id)))) JOIN se USING (scenario_id, metric_id), (SELECT hi FROM tq WHERE step = 48)""", **{**_SCORE_CTES, **_SUPPORT, **_SCENARIO}, wide=_WIDE, mm=_METRIC_SQL, **_ANALYTIC), {"scenario_id": "", "metric_id": "", "estimate": "r4", "status": "", "interval_status": "", "lower": "r4", "upper": "r4", "scenario_status": ""}))
+def g07_analytic(spark, sf):
+    df, gram, model = fitted(spark, sf)
+    metrics = scenario.scenario_metrics(model, encoded(spark, sf), requests(spark))
+    intervals = analytic.scenario_intervals(model, inference.hc3_covariance(df, model, gram), encoded(spark, sf), requests(spark))
+    out = scenario.forecast(metrics, _gates(spark, sf, model), intervals)
+    return shown(out.select("scenario_id", "metric_id", "estimate", "status", "interval_status", "lower", "upper", "scenario_status"), 4)
+
+
 _ELIG = f"SELECT scenario_id, zone_id, is_weekend, is_peak, MIN(n) AS min_blocks, COUNT(*) FILTER (WHERE cx IS NULL OR cy IS NULL OR n < {MIN_BLOCKS}) AS failing_corners, COUNT(*) FILTER (WHERE cx IS NULL OR cy IS NULL OR n < {MIN_BLOCKS}) = 0 AS eligible FROM tab GROUP BY 1, 2, 3, 4"
 
 
