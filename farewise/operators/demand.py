@@ -59,6 +59,53 @@ def demand_plan(
     )
 
 
+def demand_plans(
+    model: Model, blocks: DataFrame, gates: DataFrame, requests: DataFrame, key: Sequence[str] = ("zone_id", "block_start")
+) -> DataFrame:
+    """`demand_plan` of every request over the blocks of its context set, behind its scenario_id, in one job.
+
+    Base shares are computed once per block; blocks then meet the requests of all contexts and of their own zone by
+    the name of the set. A request without gates has a NULL status and NULL rates.
+    """
+    ends = [c for c in ("block_end",) if c not in key]
+    own = F.concat(F.lit("zone_"), F.col("zone_id").cast("string"))
+    based = blocks.select(
+        *key, *ends, F.col(WEIGHT).alias("quote_sessions"), (seconds_between("block_start", "block_end") / 3600).alias("block_hours"),
+        model.baseline(0).alias("_bx"), model.baseline(1).alias("_by"), F.explode(F.array(F.lit("all"), own)).alias("target_context_set"),
+    )
+    status = (
+        F.when(~F.col("probability_valid"), "invalid_probability")
+        .when(~F.col("identified"), "not_identified")
+        .when(F.col("target_support") != "ok", F.col("target_support"))
+        .when(F.col("baseline_support") != "ok", F.col("baseline_support"))
+        .when(F.col("probability_valid"), "ok")
+    )
+    logs = [[F.ln(F.col(f"multiplier_{s}{i}")) for s in "xy"] for i in (0, 1)]
+    effects = [model.effect(j, *logs[i]).alias(f"_e{s}{i}") for i in (0, 1) for j, s in enumerate("xy")]
+    asked = requests.join(gates, "scenario_id", "left").select("scenario_id", "target_context_set", status.alias("status"), *effects)
+    sessions = F.col("quote_sessions").cast("double")
+    services = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(s.upper()).alias("service_id"),
+                    *[((F.col(f"_b{s}") + F.col(f"_e{s}{i}")) * sessions).alias(n) for i, n in ((0, "baseline_expected"), (1, "expected"))],
+                )
+                for s in "xy"
+            ]
+        )
+    ).alias("s")
+    usable = F.col("status") == "ok"
+    rows = based.join(asked, "target_context_set").select("scenario_id", *key, *ends, "block_hours", "quote_sessions", "status", services)
+    return rows.select(
+        "scenario_id", *key, *ends, "block_hours", "quote_sessions", "s.service_id", "status",
+        F.when(usable, F.col("s.expected")).alias("expected_bookings"),
+        F.when(usable, F.col("s.baseline_expected")).alias("baseline_expected_bookings"),
+        F.when(usable, F.col("s.expected") / F.col("block_hours")).alias("request_rate"),
+        F.when(usable, F.col("s.baseline_expected") / F.col("block_hours")).alias("baseline_request_rate"),
+    )
+
+
 def plan_summary(plan: DataFrame) -> DataFrame:
     """Sessions, expected bookings and choices outside both services over the plan."""
     x = F.col("service_id") == "X"

@@ -255,6 +255,19 @@ def h01(spark, sf):
     return shown(build_plan(spark, sf)[1], 5)
 
 
+_PLAN_GATE = "CASE WHEN NOT probability_valid THEN 'invalid_probability' WHEN target_support <> 'ok' THEN target_support WHEN baseline_support <> 'ok' THEN baseline_support ELSE 'ok' END"
+_PLANS = " UNION ALL ".join(
+    f"SELECT scenario_id, zone_id, block_start, block_start + INTERVAL '4' HOUR AS block_end, 4.0::DOUBLE AS block_hours, pb.n_sessions AS quote_sessions, '{y.upper()}' AS service_id, {_PLAN_GATE} AS status, ({b} + e{y}1) * pb.n_sessions AS after, ({b} + e{y}0) * pb.n_sessions AS before FROM pb JOIN probs q ON q.target_context_set = 'all' OR q.target_context_set = 'zone_' || pb.zone_id JOIN wide USING (scenario_id)"
+    for y, b in (("x", "bx"), ("y", "by_"))
+)
+
+
+@query("H01_demand_plans", sql_shown(on_blocks("SELECT * EXCLUDE (after, before), CASE WHEN status = 'ok' THEN after END AS expected_bookings, CASE WHEN status = 'ok' THEN before END AS baseline_expected_bookings, CASE WHEN status = 'ok' THEN after / 4 END AS request_rate, CASE WHEN status = 'ok' THEN before / 4 END AS baseline_request_rate FROM plans", **{**_SUPPORT, **_SCENARIO}, wide=_WIDE, pb=_PLAN_BASE, plans=_PLANS), {"scenario_id": "", **_PLAN_KINDS}))
+def h01_plans(spark, sf):
+    _, _, model = fitted(spark, sf)
+    return shown(demand.demand_plans(model, plan_blocks(spark, sf), _gates(spark, sf, model), requests(spark)), 5)
+
+
 @query("H01_plan_summary", sql_shown(on_blocks("SELECT SUM(quote_sessions) FILTER (WHERE service_id = 'X') AS quote_sessions, SUM(baseline_expected_bookings) AS baseline_expected_bookings, SUM(expected_bookings) AS expected_bookings, SUM(quote_sessions) FILTER (WHERE service_id = 'X') - SUM(expected_bookings) AS expected_outside_choices FROM plan", **_PLAN_CTES), {"quote_sessions": "i", "baseline_expected_bookings": "r4", "expected_bookings": "r4", "expected_outside_choices": "r4"}))
 def h01_summary(spark, sf):
     return shown(demand.plan_summary(build_plan(spark, sf)[1]), 4)

@@ -121,6 +121,25 @@ def test_plan_tiles_reconciles_and_closes_its_gates(spark, world):
     assert closed.first()["status"] == "insufficient_support"
 
 
+def test_plans_of_a_request_table_equal_one_plan_at_a_time(spark, world):
+    _, df, model = world
+    start = F.col("slot_start_local")
+    blocks = df.withColumns({"block_start": start, "block_end": F.timestamp_add("HOUR", F.lit(3), start)})
+    asked = ask(spark, ("up", "all", 1.0, 1.0, 1.1, 1.0, 1), ("own", "zone_1", 1.1, 1.0, 0.9, 1.05, 1), ("far", "zone_2", 1.0, 1.0, 1.3, 1.0, 1), ("none", "zone_9", 1.0, 1.0, 1.1, 1.0, 1))
+    gates = scenario.scenario_gates(model, df, asked, scenario.joint_support(df, df, asked, 0))
+    plans = demand.demand_plans(model, blocks, gates, asked).cache()
+    assert plans.filter("scenario_id = 'none'").count() == 0
+    for r in asked.filter("scenario_id != 'none'").collect():
+        own = blocks if r.target_context_set == "all" else blocks.filter(F.concat(F.lit("zone_"), "zone_id") == r.target_context_set)
+        want = demand.demand_plan(model, own, gates, r.asDict()).toPandas()
+        got = plans.filter(F.col("scenario_id") == r.scenario_id).drop("scenario_id").toPandas()[list(want.columns)]
+        order = ["zone_id", "block_start", "service_id"]
+        pd.testing.assert_frame_equal(got.sort_values(order, ignore_index=True), want.sort_values(order, ignore_index=True), check_dtype=False)
+    assert {r.status for r in plans.filter("scenario_id = 'far'").select("status").collect()} == {"out_of_support"}
+    lost = demand.demand_plans(model, blocks, gates.filter("scenario_id != 'up'"), asked).filter("scenario_id = 'up'")
+    assert lost.filter("status is null and expected_bookings is null").count() == 2 * blocks.count()
+
+
 def test_action_values_equal_a_context_by_context_sum(spark, world):
     pdf, df, model = world
     values = {(r["multiplier_x"], r["multiplier_y"]): r for r in policy.model_action_values(df, model).collect()}
