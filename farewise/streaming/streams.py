@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,86 +57,116 @@ def stream_slot_mart(silver: DataFrame, minutes: int = 30, delay: str = "1 hour"
 
 
 _REQUEST_OUT = "request_id bigint, service_id string, state string, created_at timestamp, pickup_at timestamp, ended_at timestamp"
-_REQUEST_STATE = "service_id string, first_us bigint, created_us bigint, pickup_us bigint, ended_us bigint, ending string, closed boolean"
+# One list per field, with one place per held request; NEVER stands for a time that has not come.
+_REQUEST_STATE = (
+    "ids array<bigint>, unnamed array<bigint>, first_us array<bigint>, created_us array<bigint>, pickup_us array<bigint>, "
+    "ended_us array<bigint>, ending array<bigint>, closed array<bigint>, until_us array<bigint>, services array<string>"
+)
 # The states that end a request.
 _TERMINAL = ("completed", "canceled", "expired")
+_NEVER = (1 << 63) - 1
+#: Groups of requests, by hash of the id, that share one call and one state row.
+REQUEST_GROUPS = 1024
 
 
 def _micros(times: pd.Series) -> pd.Series:
     return times.astype("datetime64[us]").astype("int64")
 
 
-def _instant(us: int | None):
-    return pd.NaT if us is None else pd.Timestamp(us, unit="us")
-
-
-def _least(*values: int | None) -> int | None:
-    known = [v for v in values if v is not None]
-    return min(known) if known else None
+def _instants(us: np.ndarray) -> pd.Series:
+    known = us != _NEVER
+    return pd.Series(np.where(known, us, 0).astype("datetime64[us]")).where(known)
 
 
 def stream_request_state(
-    events: DataFrame, deadline_seconds: int, delay: str = "1 hour", replay_seconds: int = 3600
-) -> DataFrame:
+    events: DataFrame, deadline_seconds: int, delay: str = "1 hour", replay_seconds: int = 3600,
+    groups: int = REQUEST_GROUPS,
+) -> DataFrame:
     """Carry open requests between batches; emit a request once, when it ended or timed out for good.
 
     State per open request is the earliest creation, pickup and end seen so far, so the order of
     arrival within the delay does not matter. A request is emitted when the watermark passes its
     end, or its creation plus the deadline if that comes first; events replayed within
     `replay_seconds` of that meet a closed marker and change nothing.
+
+    Requests are dealt by hash into `groups` groups. A call and a state row serve a whole group, so the
+    number of Python calls does not grow with the requests; a state row holds the group's open requests.
+    Events without a time cannot be placed and are left out.
     """
     span = deadline_seconds * 1_000_000
+    margin = replay_seconds * 1_000_000
 
     def advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else (None,) * 6 + (False,)
-        service, ending, closed = held[0], held[5], bool(held[6])
-        first, created, pickup, ended = (None if pd.isna(v) else int(v) for v in held[1:5])
-        if state.hasTimedOut and closed:
+        held = state.get if state.exists else ([],) * 10
+        # Columns of `rows`: id, unnamed, first, created, pickup, ended, ending, closed, until; a closed row leads its request.
+        parts = [np.array(held[:9], dtype="int64").T.reshape(-1, 9)]
+        services = [pd.Series(held[9], dtype=object)]
+        for batch in () if state.hasTimedOut else batches:
+            us, name = _micros(batch["at"]).to_numpy(), batch["state"]
+            at = lambda mask, us=us: np.where(mask, us, _NEVER)
+            ending = pd.Categorical(name, categories=_TERMINAL).codes.astype("int64")
+            fields = [
+                batch["id"].to_numpy("int64"), batch["unnamed"].to_numpy("int64"), us, at(name == "created"), at(name == "on_trip"),
+                at(ending >= 0), ending, np.zeros(len(us), "int64"), np.full(len(us), _NEVER),
+            ]
+            parts.append(np.column_stack(fields))
+            services.append(batch["service_id"].astype(object))
+        rows = np.concatenate(parts)
+        if not len(rows):
             state.remove()
             return
-        for batch in () if closed or state.hasTimedOut else batches:
-            if not len(batch):
-                continue
-            us, name = _micros(batch["at"]), batch["state"]
-            least = lambda mask, us=us: int(us[mask].min()) if mask.any() else None
-            service = _least_text(service, batch["service_id"])
-            first = _least(first, int(us.min()))
-            created = _least(created, least(name == "created"))
-            pickup = _least(pickup, least(name == "on_trip"))
-            over = least(name.isin(_TERMINAL))
-            if over is not None and (ended is None or over < ended):
-                ended, ending = over, str(name[name.isin(_TERMINAL) & (us == over)].iloc[0])
+        codes, names = pd.factorize(pd.concat(services, ignore_index=True), sort=True)
+        service = np.where(codes < 0, len(names), codes)
+        known = len(parts[0])
+        order = np.lexsort((rows[:, 6], rows[:, 5], 1 - rows[:, 7], rows[:, 1], rows[:, 0]))
+        rows, service, fresh = rows[order], service[order], order >= known
+        starts = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+        lead = rows[starts]
+        closed = lead[:, 7] == 1
+        least = np.minimum.reduceat(rows[:, 2:5], starts, axis=0)
+        first, created, pickup = np.where(closed[:, None], lead[:, 2:5], least).T
+        service = np.where(closed, service[starts], np.minimum.reduceat(service, starts))
+        touched = np.logical_or.reduceat(fresh, starts)
+        ended, ending = lead[:, 5], lead[:, 6]
+
         now = state.getCurrentWatermarkMs() * 1000
-        due = (first if created is None else created) + span
-        at = due if ended is None else min(ended, due)
-        if not closed and now > at:
-            ended, ending = (ended, ending) if ended is not None and ended <= due else (due, "deadline_passed")
+        due = np.where(created == _NEVER, first, created) + span
+        at = np.minimum(ended, due)
+        out = ~closed & (now > at)
+        if out.any():
+            in_time = ended[out] <= due[out]
+            label = np.array([*_TERMINAL, "deadline_passed"], dtype=object)[np.where(in_time, ending[out], len(_TERMINAL))]
+            ids = pd.array(lead[out, 0], dtype="Int64")
+            ids[lead[out, 1] == 1] = pd.NA
             yield pd.DataFrame(
                 {
-                    "request_id": [key[0]], "service_id": [service], "state": [ending], "created_at": [_instant(created)],
-                    "pickup_at": [_instant(pickup)], "ended_at": [_instant(ended)],
+                    "request_id": ids, "service_id": np.array([*names, None], dtype=object)[service[out]], "state": label,
+                    "created_at": _instants(created[out]), "pickup_at": _instants(pickup[out]), "ended_at": _instants(at[out]),
                 }
             )
-            closed, at = True, max(now, at) + replay_seconds * 1_000_000
-        elif closed:
-            at = max(at, now) + replay_seconds * 1_000_000
-        state.update((service, first, created, pickup, ended, ending, closed))
-        state.setTimeoutTimestamp(max(at // 1000 + 1, now // 1000 + 1))
-
-    timed = events.select("request_id", "service_id", "state", instant("event_ts").alias("at"))
+        until = np.where(out | (closed & touched), np.maximum(at, now) + margin, lead[:, 8])
+        closed = closed | out
+        kept = ~closed | (until >= now)
+        if not kept.any():
+            state.remove()
+            return
+        fields = np.column_stack([lead[:, 0], lead[:, 1], first, created, pickup, ended, ending, closed, until])[kept]
+        state.update((*fields.T.tolist(), np.array([*names, None], dtype=object)[service[kept]].tolist()))
+        wake = int(np.where(closed, until, at)[kept].min())
+        state.setTimeoutTimestamp(max(wake // 1000 + 1, now // 1000 + 1))
+
+    number = F.col("request_id").cast("bigint")
+    timed = events.select(
+        F.pmod(F.xxhash64(number), F.lit(groups)).alias("group"), F.coalesce(number, F.lit(0)).alias("id"),
+        number.isNull().cast("int").alias("unnamed"), "service_id", "state", instant("event_ts").alias("at"),
+    ).filter("at is not null")
     return (
         timed.withWatermark("at", delay)
-        .groupBy("request_id")
+        .groupBy("group")
         .applyInPandasWithState(advance, _REQUEST_OUT, _REQUEST_STATE, "append", "EventTimeTimeout")
     )
 
 
-def _least_text(known: str | None, values: pd.Series) -> str | None:
-    present = values.dropna()
-    found = [*([known] if known is not None else []), *([str(present.min())] if len(present) else [])]
-    return min(found) if found else None
-
-
 def stream_ledger(events: DataFrame, roster: DataFrame, fares: DataFrame, delay: str = "30 days") -> DataFrame:
     """Settle each completion once although the log may be replayed within the delay.
 

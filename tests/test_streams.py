@@ -98,6 +98,30 @@ def test_replayed_and_shuffled_events_change_nothing(spark, log, rows):
     assert len(kept) == again.count() and kept <= rows(plain)
 
 
+def test_requests_share_calls_and_state_rows(spark, rows):
+    minutes = F.col("id") % 3000
+    steps = F.explode(F.array(*[F.struct(F.lit(n).alias("state"), F.lit(m).alias("after")) for n, m in (("created", 0), ("on_trip", 20), ("completed", 50))])).alias("s")
+    whole = spark.range(20_000).withColumns({"request_id": F.when(F.col("id") > 0, F.col("id") + (1 << 53)), "service_id": F.when(F.col("id") % 7 > 0, F.lit("X")), "minutes": minutes}).select(
+        "request_id", "service_id", "minutes", steps
+    ).filter("s.state != 'completed' or request_id % 5 > 0")
+    at = F.timestamp_add("MINUTE", (F.col("minutes") + F.col("s.after")).cast("int"), ntz(str(DAY)))
+    log = whole.select("request_id", "service_id", at.alias("event_ts"), F.col("s.state").alias("state"))
+    stream = streams.stream_request_state(in_files(spark, log, ["event_ts"], "many", 3), 6 * 3600)
+    path = scratch_path(spark, "many-requests")
+    query = stream.writeStream.format("parquet").trigger(availableNow=True).option("checkpointLocation", f"{path}-checkpoint").start(path)
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= streams.REQUEST_GROUPS
+    life = log.groupBy("request_id", "service_id").agg(
+        *[F.min(F.when(F.col("state") == s, F.col("event_ts"))).alias(s) for s in ("created", "on_trip", "completed")]
+    )
+    due = F.col("created") + F.expr("INTERVAL 6 HOURS")
+    ended = F.coalesce("completed", due)
+    expected = life.select("request_id", "service_id", F.when(F.col("completed").isNull(), "deadline_passed").otherwise("completed").alias("state"), "created", "on_trip", ended.alias("ended"))
+    expected = expected.filter(F.col("ended") < closed_before(log, "event_ts"))
+    got = spark.read.schema(stream.schema).parquet(path).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("created_at", "pickup_at", "ended_at")})
+    assert rows(got) == rows(expected) and got.count() == expected.count() > 15_000
+
+
 def test_replayed_completions_are_paid_once(spark, log):
     stream = in_files(spark, log.unionByName(log), ["event_ts", "request_id"], "replays", 6)
     roster = spark.createDataFrame([(v, f"d{v}") for v in range(2)], "vehicle_id bigint, driver_id string")
