@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from farewise.functions.scalars import col
 from farewise.functions.skew import null_safe_join, with_running_max
+from farewise.session import scratch_path
 
 _STEPS = 200
 
@@ -36,7 +37,11 @@ def beta_cdf(x, a, b):
     c, d = np.ones_like(z), 1 - (p + q) * z / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, _STEPS):
+    # Every element stops at its own step, so its value does not depend on what else is in the batch. The fraction
+    # needs steps in proportion to the root of its size.
+    live = inside.copy()
+    for m in range(1, _STEPS + int(10 * np.sqrt(np.max(a + b, initial=0, where=inside)))):
+        before = h
         for top in (
             m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)),
             -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1)),
@@ -46,7 +51,9 @@ def beta_cdf(x, a, b):
             d = 1 / np.where(np.abs(d) < tiny, tiny, d)
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * c * d
-        if np.all(np.abs(c * d - 1) < 1e-15):
+        h = np.where(live, h, before)
+        live &= ~(np.abs(c * d - 1) < 1e-15)
+        if not live.any():
             break
     value = np.where(inside, front * h / p, 0.0)
     low_end, high_end = x <= 0, x >= 1
@@ -197,9 +204,13 @@ def holm_adjust(df: DataFrame, p: str, family: list[str], out: str = "p_holm") -
 
     Equal p-values share one adjusted value, so the work runs on distinct p-values with their
     counts, cut into pieces of p: ranks are piece offsets plus ranks inside a piece, and the
-    step-down maximum carries over between pieces. No family is sorted in one task.
+    step-down maximum carries over between pieces. No family is sorted in one task. The tests are
+    stored first: adjusted values are joined by p, which computed twice may differ in its last bit.
     """
     keys = list(family)
+    path = scratch_path(df.sparkSession, "tests")
+    df.write.parquet(path)
+    df = df.sparkSession.read.schema(df.schema).parquet(path)
     tests = df.filter(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
     tests = tests.withColumn("_piece", F.floor(100 * F.ln(F.greatest(F.col("_p"), F.lit(1e-300)))))
     along = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,7 +1,9 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from farewise.functions import stats
 
@@ -45,3 +47,22 @@ def test_holm_by_hand(spark):
     got = {(r["f"], r["i"]): r["p_holm"] for r in stats.holm_adjust(df, "p", ["f"]).collect()}
     assert got[("a", 1)] == pytest.approx(0.03) and got[("a", 2)] == pytest.approx(0.06) and got[("a", 3)] == pytest.approx(0.06)
     assert got[("a", 4)] is None and got[("b", 1)] == got[("b", 2)] == pytest.approx(0.6) and got[("b", 3)] == pytest.approx(0.9)
+
+
+def test_p_values_do_not_depend_on_their_batch():
+    k, n = np.array([5376, 5368, 5270, 5372, 5379, 5404]), 5647
+    whole = stats.binomial_p_value(k, n, 0.95, "less")
+    assert whole.tolist() == [float(stats.binomial_p_value(x, n, 0.95, "less")) for x in k]
+    i = np.arange(340_000 - 1500)
+    log = np.array([math.lgamma(340_001) - math.lgamma(j + 1) - math.lgamma(340_001 - j) for j in i[-20_000:]]) + i[-20_000:] * math.log(0.995) + (340_000 - i[-20_000:]) * math.log(0.005)
+    assert float(stats.binomial_p_value(i[-1], 340_000, 0.995, "less")) == pytest.approx(np.exp(log).sum(), rel=1e-6)
+
+
+def test_holm_meets_p_values_that_change_when_computed_again(spark):
+    @F.pandas_udf("double")
+    def noisy(i: pd.Series) -> pd.Series:
+        return (i + 1) / 100 * (1 + 1e-15 * np.random.default_rng().integers(0, 50, len(i)))
+
+    df = spark.range(40).select("id", noisy.asNondeterministic()("id").alias("p"))
+    got = stats.holm_adjust(df, "p", []).toPandas()
+    assert len(got) == 40 and got.p_holm.notna().all()
