@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from farewise.functions.scalars import ntz, safe_div, seconds_between
 from farewise.functions.skew import Quantile, exact_quantiles, with_neighbour, with_running_max
+from farewise.session import scratch_path
 
 # Request, vehicle and offer states.
 OPEN_STATES = ("created", "queued", "assigned", "pickup", "on_trip")
@@ -19,6 +20,9 @@ SERVICEABLE_STATES = ("idle", "dispatch", "to_pickup", "on_trip")
 RESPONSES = ("accepted", "rejected", "timed_out")
 
 RANK_SALTS = 64
+RANK_PLACE = ["origin_zone_id", "service_id"]
+#: Tried vehicles of a request for which the first list of ranks has room.
+RANK_PREFIX = 32
 
 
 def within(ts: str | Column, start: Column, end: Column) -> Column:
@@ -202,35 +206,66 @@ def rank_candidates(
 ) -> DataFrame:
     """The k nearest eligible idle vehicles per request by (pickup seconds, vehicle id).
 
-    Vehicles are ranked once per (zone, service) instead of once per request: a request that
-    already tried m vehicles needs only the first k + m of that list, minus the tried ones.
-    It fetches exactly those ranks by an equi-join, so no request meets the whole fleet.
+    `requests` has one row per request. Vehicles are ranked once per (zone, service) instead of once per
+    request, and the list is stored. Of the tried vehicles only those on the list of their request's place matter:
+    the j-th candidate stands at rank j plus the tried ones ranked before it. A request thus fetches exactly its k
+    ranks by an equi-join; it meets neither the fleet nor its tried vehicles row by row. A list of k + RANK_PREFIX
+    ranks serves all requests that tried up to RANK_PREFIX of its vehicles; if one tried more, a list as long as the
+    most attempts of such requests ask for takes its place.
     """
-    done = tried.select("request_id", "vehicle_id").distinct()
-    attempts = done.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_tried"))
-    asking = requests.select("request_id", "service_id", "origin_zone_id").join(attempts, "request_id", "left").fillna(0, ["n_tried"])
+    done = tried.select("request_id", "vehicle_id")
+    asking = requests.select("request_id", "service_id", "origin_zone_id")
     if max_attempts is not None:
-        asking = asking.filter(F.col("n_tried") < max_attempts)
-    reach = asking.agg(F.max("n_tried") + k).scalar()
+        attempts = done.distinct().groupBy("request_id").agg(F.count(F.lit(1)).alias("n_tried"))
+        asking = asking.join(attempts, "request_id", "left").filter(F.coalesce("n_tried", F.lit(0)) < max_attempts).drop("n_tried")
+
+    ranked = _ranked_vehicles(vehicles, od, max_eta, k + RANK_PREFIX)
+    passed = _tried_ranks(asking, ranked, done)
+    many = passed.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > RANK_PREFIX)
+    if not many.isEmpty():
+        most = done.join(many, "request_id", "left_semi").distinct().groupBy("request_id").count().agg(F.max("count")).first()[0]
+        ranked = _ranked_vehicles(vehicles, od, max_eta, k + most)
+        passed = _tried_ranks(asking, ranked, done)
+
+    # A tried rank has `free` untried ones before it, so it shifts the candidates from the next one on.
+    nth = F.row_number().over(Window.partitionBy("request_id").orderBy("position"))
+    free = passed.withColumn("free", F.col("position") - nth).filter(F.col("free") < k)
+    shifts = free.groupBy("request_id", "free").agg(F.count(F.lit(1)).alias("n")).groupBy("request_id").agg(
+        F.collect_list(F.struct("free", "n")).alias("shifts")
+    )
+    rank = F.col("candidate_rank")
+    shift = F.aggregate(F.filter("shifts", lambda x: x["free"] < rank), F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["n"])
+    wanted = asking.join(shifts, "request_id", "left").withColumn("candidate_rank", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    wanted = wanted.withColumn("position", (rank + F.coalesce(shift, F.lit(0))).cast("int")).drop("shifts")
+    return wanted.join(ranked, [*RANK_PLACE, "position"]).select("request_id", "vehicle_id", "pickup_seconds", "candidate_rank")
+
 
+def _ranked_vehicles(vehicles: DataFrame, od: DataFrame, max_eta: float, reach: int) -> DataFrame:
+    """The first `reach` idle vehicles of each (zone, service), stored."""
     idle = vehicles.filter("state = 'idle'").select("vehicle_id", "zone_id", F.explode(F.array_distinct("eligible_services")).alias("service_id"))
     near = od.filter(F.col("pickup_seconds") <= max_eta).select(
         F.col("origin_zone_id").alias("zone_id"), F.col("destination_zone_id").alias("origin_zone_id"), "pickup_seconds"
     )
     reachable = idle.join(near, "zone_id").withColumn("_salt", F.pmod(F.hash("vehicle_id"), F.lit(RANK_SALTS)))
-    place, order = ["origin_zone_id", "service_id"], [F.col("pickup_seconds"), F.col("vehicle_id")]
-    first = F.row_number().over(Window.partitionBy(*place, "_salt").orderBy(*order))
+    order = [F.col("pickup_seconds"), F.col("vehicle_id")]
+    first = F.row_number().over(Window.partitionBy(*RANK_PLACE, "_salt").orderBy(*order))
     partial = reachable.withColumn("_r", first).filter(F.col("_r") <= reach)
-    final = F.row_number().over(Window.partitionBy(*place).orderBy(*order))
+    final = F.row_number().over(Window.partitionBy(*RANK_PLACE).orderBy(*order))
     ranked = partial.withColumn("position", final).filter(F.col("position") <= reach)
+    return _stored(ranked.select(*RANK_PLACE, "position", "vehicle_id", "pickup_seconds"), "ranked-vehicles")
 
-    wanted = asking.withColumn("position", F.explode(F.sequence(F.lit(1), (F.col("n_tried") + k).cast("int"))))
-    fetched = wanted.join(ranked.select(*place, "position", "vehicle_id", "pickup_seconds"), [*place, "position"])
-    fresh = fetched.join(done, ["request_id", "vehicle_id"], "left_anti")
-    choice = F.row_number().over(Window.partitionBy("request_id").orderBy("position"))
-    return fresh.withColumn("candidate_rank", choice).filter(F.col("candidate_rank") <= k).select(
-        "request_id", "vehicle_id", "pickup_seconds", "candidate_rank"
-    )
+
+def _tried_ranks(asking: DataFrame, ranked: DataFrame, done: DataFrame) -> DataFrame:
+    """(request_id, position), stored: ranks of a request's place that hold a vehicle it has tried."""
+    listed = done.join(ranked.select("vehicle_id"), "vehicle_id", "left_semi").join(asking, "request_id")
+    places = ranked.select(*RANK_PLACE, "vehicle_id", "position")
+    return _stored(listed.join(places, [*RANK_PLACE, "vehicle_id"]).select("request_id", "position").distinct(), "tried-ranks")
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def double_bookings(offers: DataFrame) -> DataFrame:

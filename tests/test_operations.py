@@ -91,6 +91,39 @@ def test_candidates_equal_brute_force_even_for_a_request_that_tried_many(spark):
     assert capped.filter("request_id = 0").count() == 0
 
 
+def test_tried_vehicles_off_the_list_are_not_carried_along(spark):
+    vehicles = spark.range(2000).select(F.col("id").alias("vehicle_id"), (F.col("id") % 2).alias("zone_id"), F.array(F.lit("X")).alias("eligible_services"), F.lit("idle").alias("state"))
+    requests = spark.range(3000).select(F.col("id").alias("request_id"), F.lit("X").alias("service_id"), (F.col("id") % 2).alias("origin_zone_id"))
+    od = spark.createDataFrame([(a, b, 50.0 if a == b else 1000.0) for a in (0, 1) for b in (0, 1)], "origin_zone_id bigint, destination_zone_id bigint, pickup_seconds double")
+    far = spark.range(180_000).select((F.col("id") % 3000).alias("request_id"), (1000 + F.xxhash64("id") % 500 + 500).alias("vehicle_id"))
+    tried = far.unionByName(spark.createDataFrame([(0, 0), (0, 4), (0, 4), (0, 10), (2, 2)], far.schema))
+    written = lambda: sum(e.totalShuffleWrite() for e in _executors(spark))
+    start = written()
+    got = {(r["request_id"], r["candidate_rank"]): r["vehicle_id"] for r in ops.rank_candidates(requests, vehicles, od, tried, 300, 3).collect()}
+    assert written() - start < 500_000
+    first = {0: [2, 6, 8], 2: [0, 4, 6]}
+    assert got == {(r, i + 1): v for r in range(3000) for i, v in enumerate(first.get(r, [r % 2, r % 2 + 2, r % 2 + 4]))}
+
+
+def _executors(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_each_tried_rank_moves_the_candidates_on(spark):
+    """All patterns of tried ranks around the first list's end, against the plain way."""
+    n, k = ops.RANK_PREFIX + 12, 3
+    vehicles = spark.range(n).select(F.col("id").alias("vehicle_id"), F.lit(0).cast("bigint").alias("zone_id"), F.array(F.lit("X")).alias("eligible_services"), F.lit("idle").alias("state"))
+    od = spark.createDataFrame([(0, 0, 50.0)], "origin_zone_id bigint, destination_zone_id bigint, pickup_seconds double")
+    skipped = {r: set(range(r % 4, n if r > n else r, 1 + r % 3)) for r in range(n + 8)}
+    requests = spark.createDataFrame([(r, "X", 0) for r in skipped], "request_id bigint, service_id string, origin_zone_id bigint")
+    for kept in (range(20), skipped):
+        tried = spark.createDataFrame([(r, v) for r in kept for v in skipped[r]], "request_id bigint, vehicle_id bigint")
+        got = {(r["request_id"], r["candidate_rank"]): r["vehicle_id"] for r in ops.rank_candidates(requests, vehicles, od, tried, 300, k).collect()}
+        expected = {(r, i + 1): v for r in skipped for i, v in enumerate([v for v in range(n) if r not in kept or v not in skipped[r]][:k])}
+        assert got == expected
+
+
 def test_overlaps_and_repeats_among_offers(spark):
     rows = [("a", 1, 7, at(0), 600, "accepted"), ("b", 2, 7, at(5), 60, "accepted"), ("c", 3, 7, at(11), 60, "accepted"), ("d", 1, 8, at(1), 60, "rejected"), ("e", 1, 7, at(60 * 24), 1, "rejected")]
     offers = spark.createDataFrame(rows, "offer_key string, request_id int, vehicle_id int, offered_at timestamp_ntz, response_seconds int, state string")
